@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "decompose_by_role"
+from . import relational, textual
+
+FLAGSHIP = "mock_study"
 
 
 def queries() -> dict:
-    return {}
+    return relational.QUERIES | textual.QUERIES
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return relational.ORACLE_SQL | textual.ORACLE_SQL
