@@ -12,29 +12,34 @@ import numpy as np
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Order of the suffixes by their first `depth` symbols; ties keep text order."""
+    """Order of the suffixes by their first `depth` symbols, in any order among equals.
+
+    The first sort takes as many symbols at once as fit into 63 bits; each
+    further one doubles the depth.
+    """
     n = len(text)
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-    order = np.argsort(rank, kind="stable")
-    step = 1
-    while step < depth:
-        follow = np.zeros(n, dtype=np.int64)
-        follow[: n - step] = rank[step:] + 1
-        both = rank * (n + 1) + follow
-        order = np.argsort(both, kind="stable")
-        sorted_both = both[order]
+    bits = max(1, int(text.max()).bit_length())
+    step = min(63 // bits, depth)
+    keys = np.zeros(n, dtype=np.int64)
+    for i in range(step):
+        keys <<= bits
+        keys[: n - i] |= text[i:]
+    while True:
+        order = np.argsort(keys)
+        in_order = keys[order]
         new = np.zeros(n, dtype=np.int64)
-        new[1:] = np.cumsum(sorted_both[1:] != sorted_both[:-1])
+        np.cumsum(in_order[1:] != in_order[:-1], out=new[1:])
+        if step >= depth or new[-1] == n - 1:
+            return order
         rank = np.empty(n, dtype=np.int64)
         rank[order] = new
-        if new[-1] == n - 1:
-            break
+        keys = rank * (n + 1)
+        keys[: n - step] += rank[step:] + 1
         step *= 2
-    return order
 
 
 class WaveletTree:
-    """rank(symbol, i): how often the symbol stands before place i, level by level of its bits."""
+    """Ranks of symbols (how often one stands before a place), level by level of their bits."""
 
     def __init__(self, symbols: np.ndarray, levels: int):
         self.levels = levels
@@ -55,20 +60,19 @@ class WaveletTree:
         mask = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
         return self.before[level][at] + np.bitwise_count(self.words[level][at] & mask)
 
-    def ranks(self, symbols: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """rank at two places of each symbol."""
-        start = np.zeros(len(symbols), dtype=np.int64)
-        low, high = low.astype(np.int64), high.astype(np.int64)
+    def leaves(self, low: np.ndarray, high: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where two places come to stand among the leaves when each symbol's bits are followed.
+
+        Less the symbol's first leaf, they are its ranks at the places.
+        """
         k = len(symbols)
+        place = np.concatenate([low, high]).astype(np.int64)
+        both = np.concatenate([symbols, symbols])
         for level in range(self.levels):
-            bit = ((symbols >> (self.levels - 1 - level)) & 1).astype(bool)
-            ones = self._ones(level, np.concatenate([start, low, high])).astype(np.int64)
-            s1, l1, h1 = ones[:k], ones[k : 2 * k], ones[2 * k :]
-            z = self.zeros[level]
-            start = np.where(bit, z + s1, start - s1)
-            low = np.where(bit, z + l1, low - l1)
-            high = np.where(bit, z + h1, high - h1)
-        return low - start, high - start
+            bit = (both >> (self.levels - 1 - level)) & 1
+            ones = self._ones(level, place)
+            place = np.where(bit == 1, ones + self.zeros[level], place - ones)
+        return place[:k], place[k:]
 
 
 class FMIndex:
@@ -83,14 +87,23 @@ class FMIndex:
         alphabet = int(self.text.max()) + 1
         counts = np.bincount(self.text, minlength=alphabet)
         self.first = np.cumsum(counts) - counts
+        self.last = np.cumsum(counts)
         self.tree = WaveletTree(self.text[order - 1], max(1, (alphabet - 1).bit_length()))
+        none = np.zeros(alphabet, dtype=np.int64)
+        leaf, _ = self.tree.leaves(none, none, np.arange(alphabet))
+        self.shift = self.first - leaf
         of_place = np.repeat(weights.astype(np.int64), self.lengths + 1)
         self.weight = np.concatenate([[0], np.cumsum(of_place[order])])
 
     def extend(self, symbols: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Suffix ranges after one more symbol to the left."""
-        a, b = self.tree.ranks(symbols, low, high)
-        return self.first[symbols] + a, self.first[symbols] + b
+        a, b = self.first[symbols], self.last[symbols]
+        later = np.flatnonzero((low > 0) | (high < len(self.text)))  # the whole range needs no rank
+        if len(later):
+            x, y = self.tree.leaves(low[later], high[later], symbols[later])
+            shift = self.shift[symbols[later]]
+            a[later], b[later] = x + shift, y + shift
+        return a, b
 
     def weight_of(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         return self.weight[high] - self.weight[np.minimum(low, high)]
