@@ -70,25 +70,34 @@ def features_of(text: str, prefixes: frozenset[str] | None = None) -> set[str]:
     return bag
 
 
-def _without_copies(bags: list[tuple[set[str], int]]) -> list[tuple[set[str], int]]:
-    """One row for each near-copy class: texts alike in one of three pairs of least word hashes."""
+def _distinct_rows(rows: list[tuple[str, int]]) -> list[int]:
+    """Places of one row for each near-copy class: texts alike in one of three pairs of least word hashes."""
     seen, out = set(), []
-    for bag, y in bags:
-        raw = [w.encode() for w in bag]
+    for place, (text, y) in enumerate(rows):
+        raw = [w.encode() for w in words_of(text)]
         keys = {(i, min(crc32(w, i) for w in raw), min(crc32(w, i + 9) for w in raw), y) for i in range(3)} if raw else set()
         if not keys & seen:
-            out.append((bag, y))
+            out.append(place)
         seen |= keys
     return out
 
 
-def _vocabulary(bags: list[tuple[set[str], int]], least: int, z: float, most: int) -> list[str]:
-    n = [0, 0]
+def _vocabulary(rows: list[tuple[str, int]], least: int, z: float, most: int, buckets: int = 1 << 20) -> list[str]:
+    """Features whose document frequency differs by `z` standard errors, the clearest first.
+
+    Frequencies are counted by hash bucket first, so that only features whose
+    bucket is frequent enough get an exact count; memory does not grow with
+    the number of different words.
+    """
+    n = [sum(y == k for _, y in rows) for k in (0, 1)]
+    counts = np.zeros(buckets, dtype=np.int32)
+    for text, _ in rows:
+        counts[list({crc32(w.encode()) % buckets for w in features_of(text)})] += 1
     df: dict[str, list[int]] = {}
-    for bag, y in bags:
-        n[y] += 1
-        for w in bag:
-            df.setdefault(w, [0, 0])[y] += 1
+    for text, y in rows:
+        for w in features_of(text):
+            if w in KIND or counts[crc32(w.encode()) % buckets] >= least:
+                df.setdefault(w, [0, 0])[y] += 1
     scored = []
     for w, (a, b) in df.items():
         if a + b < least and w not in KIND:
@@ -104,23 +113,23 @@ def fit(rows: list[tuple[str, int]], least: int = 5, z: float = 4.0, most: int =
     """Train on (text, label) rows by full-batch gradient steps with momentum."""
     if not rows:
         return WordModel({}, -math.inf)
-    bags = _without_copies([(features_of(text), y) for text, y in rows])
-    vocabulary = _vocabulary(bags, least, z, most)
+    rows = [rows[i] for i in _distinct_rows(rows)]
+    vocabulary = _vocabulary(rows, least, z, most)
     place = {w: i for i, w in enumerate(vocabulary)}
     doc, col = [], []
     swap_from, swap_to = [], []
-    for i, (bag, _) in enumerate(bags):
-        for w in bag:
-            if w in place:
-                doc.append(i)
-                col.append(place[w])
-            if w in KIND:
-                for other in IDENTITY_TERMS[KIND[w]]:
-                    if other not in bag:  # a name outside the vocabulary weighs nothing
-                        swap_from.append(place.get(w, -1))
-                        swap_to.append(place.get(other, -1))
+    for i, (text, _) in enumerate(rows):
+        bag = features_of(text)
+        for w in bag & place.keys():
+            doc.append(i)
+            col.append(place[w])
+        for w in bag & KIND.keys():
+            for other in IDENTITY_TERMS[KIND[w]]:
+                if other not in bag:  # a name outside the vocabulary weighs nothing
+                    swap_from.append(place.get(w, -1))
+                    swap_to.append(place.get(other, -1))
     doc, col = np.array(doc, dtype=np.int64), np.array(col, dtype=np.int64)
-    y = np.array([y for _, y in bags], dtype=float)
+    y = np.array([y for _, y in rows], dtype=float)
     start, end = np.array(swap_from, dtype=np.int64), np.array(swap_to, dtype=np.int64)
     k = len(vocabulary)
     theta, moved = np.zeros(k + 1), np.zeros(k + 1)
@@ -128,9 +137,9 @@ def fit(rows: list[tuple[str, int]], least: int = 5, z: float = 4.0, most: int =
     base = y.mean().clip(1e-3, 1 - 1e-3)
     bias = math.log(base / (1 - base))
     for _ in range(epochs):
-        logit = bias + np.bincount(doc, theta[col], len(bags))
+        logit = bias + np.bincount(doc, theta[col], len(rows))
         gap = 1 / (1 + np.exp(-np.clip(logit, -60, 60))) - y
-        grad = np.bincount(col, gap[doc], k + 1) / len(bags) + ridge * theta
+        grad = np.bincount(col, gap[doc], k + 1) / len(rows) + ridge * theta
         if len(start):
             change = theta[end] - theta[start]  # place -1 is the spare last weight, kept at 0
             pull = 2 * swap_penalty / len(start) * change
@@ -163,20 +172,20 @@ def score_toxicity(docs: DataFrame, model: WordModel) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
 
 
-def train(docs: DataFrame, labels: DataFrame, fold: int = 2, parts: int = 4, most: int = 8000) -> WordModel:
+def train(docs: DataFrame, labels: DataFrame, fold: int = 2, parts: int = 4, most: int = 5000) -> WordModel:
     """A model from at most `most` labelled rows outside the held-out fold."""
     rows = labelled_sample(docs, labels, "toxic", fold, parts, most)
     return fit([(text.decode("utf-8", "replace"), y) for text, y in rows])
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, fold: int = 2, parts: int = 4, most: int = 8000, limit: float = 0.3) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, fold: int = 2, parts: int = 4, most: int = 5000, limit: float = 0.3) -> DataFrame:
     """Score all rows with a model fitted outside the held-out fold."""
     held = F.coalesce(bucket_of(F.col("doc_id"), parts) == fold, F.lit(False))
     scored = score_toxicity(docs, train(docs, labels, fold, parts, most))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= limit).cast("int").alias("predicted"))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, fold: int = 2, parts: int = 4, most: int = 8000, limit: float = 0.3) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, fold: int = 2, parts: int = 4, most: int = 5000, limit: float = 0.3) -> DataFrame:
     """The rows of docs scored below `limit`, with all their columns."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, fold, parts, most))
 
