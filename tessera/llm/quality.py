@@ -76,15 +76,19 @@ def score_text(text: bytes, memo: Memo) -> float:
 
 
 def _bag(text: bytes, buckets: int, low: int, high: int, seen: dict) -> tuple[np.ndarray, np.ndarray]:
+    """A text's feature ids and their shares of all its features."""
     words = text.split()
     ids: list[int] = []
     for word in words:
         got = seen.get(word)
         if got is None:
+            if len(seen) >= 50_000:
+                seen.clear()
             got = seen[word] = subwords(word, buckets, low, high)
         ids += got
     ids += subwords(REPEAT, buckets, low, high) * sum(map(eq, words, words[1:]))
-    return np.unique(np.array(ids, dtype=np.int32), return_counts=True)
+    unique, n = np.unique(np.array(ids, dtype=np.int32), return_counts=True)
+    return unique, (n / max(1, n.sum())).astype(np.float32)
 
 
 def fit(rows: list[tuple[bytes, int]], buckets: int = 1 << 16, dims: int = 8, low: int = 3, high: int = 3, epochs: int = 6, rate: float = 0.5, seed: int = 7) -> SubwordModel:
@@ -99,10 +103,9 @@ def fit(rows: list[tuple[bytes, int]], buckets: int = 1 << 16, dims: int = 8, lo
     steps, at = max(1, epochs * len(bags)), 0
     for _ in range(epochs):
         for i in rng.permutation(len(bags)):
-            ids, n, y = bags[i]
+            ids, share, y = bags[i]
             lr = rate * (1 - at / steps)
             at += 1
-            share = (n / max(1, n.sum())).astype(np.float32)
             hidden = share @ vectors[ids]
             z = hidden @ out + bias
             p = np.exp(z - z.max())
@@ -132,7 +135,7 @@ def score_quality(docs: DataFrame, model: SubwordModel) -> DataFrame:
     return docs.select("doc_id", utf8(F.col("text")).alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
 
 
-def quality(docs: DataFrame, labels: DataFrame, fold: int = 1, parts: int = 3, most: int = 6000) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, fold: int = 1, parts: int = 3, most: int = 4000) -> DataFrame:
     """Fit outside the held-out fold on at most `most` labelled rows, score all rows."""
     model = fit(labelled_sample(docs, labels, "quality", fold, parts, most))
     held = F.coalesce(bucket_of(F.col("doc_id"), parts) == fold, F.lit(False))
