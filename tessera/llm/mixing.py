@@ -11,8 +11,10 @@ Everything is DataFrame or SQL; what reaches the driver is a count of cells.
 
 Targets: the natural share to the power `temper`, rescaled, unless a share is
 given for the value; given shares are kept as they are and the others share
-what is left of one. Topic: the column `topic` where there is one, else the
-initial-letter range (a-f, g-m, n-s, t-z, other) that begins most words.
+what is left of one. Topic: the column `topic` where there is one, else a
+lexical class, the letter of a, e, o and t that begins most words after a
+blank (`other` where none does). Mass: one, and one for each blank and line
+end, which is the number of words of a text without runs of blanks.
 
 Nulls and odd input: a null source, language or topic is the value `(none)`; a
 null or empty text has mass 1 so that it can be drawn; the draw is a hash of
@@ -26,25 +28,30 @@ import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut
+from .common import cut, set_apart
 
 DIMENSIONS = ("source", "lang", "topic")
 NONE = "(none)"
-WORD = r"[^\x20\x09-\x0D]+"
-RANGES = {"a-f": "[A-Fa-f]", "g-m": "[G-Mg-m]", "n-s": "[N-Sn-s]", "t-z": "[T-Zt-z]"}
+INITIALS = ("a", "e", "o", "t")
 
 #: Up to so many cells are raked in one task and broadcast; a row is under 200 bytes, so that is under 20 MB. More are raked and joined by shuffles.
 SMALL_CELLS = 100_000
 
 
-def initials_pattern(letters: str) -> str:
-    return rf"(^|[\x20\x09-\x0D]){letters}"
+def features_sql(text: str, size: str) -> tuple[str, dict[str, str]]:
+    """SQL of a text's mass, and of twice the words that begin with each letter.
+
+    Counts are lost bytes after a plain replacement; `size` is the engine's
+    function for a string's bytes.
+    """
+    lost = lambda part: f"({size}({text}) - {size}(replace({text}, {part}, '')))"
+    return f"CAST(1 + {lost(chr(39) + ' ' + chr(39))} + {lost('chr(10)')} AS BIGINT)", {x: lost(f"' {x}'") for x in INITIALS}
 
 
-def topic_sql(counts: list[str]) -> str:
-    """The range with the largest count; the first of equals; `other` where all are 0."""
-    best = f"greatest({', '.join(counts)})"
-    cases = " ".join(f"WHEN {c} = {best} THEN '{name}'" for name, c in zip(RANGES, counts))
+def topic_sql(counts: dict[str, str]) -> str:
+    """The letter with the largest count; the first of equals; `other` where all are 0."""
+    best = f"greatest({', '.join(counts.values())})"
+    cases = " ".join(f"WHEN {c} = {best} THEN '{name}'" for name, c in counts.items())
     return f"CASE WHEN {best} = 0 THEN 'other' {cases} END"
 
 
@@ -97,21 +104,20 @@ def draw_sql(seed: int, doc_id: str, dialect: str = "spark") -> str:
 
 def with_cells(docs: DataFrame) -> DataFrame:
     """docs with _source, _lang, _topic and _tokens."""
-    text = F.coalesce(F.col("text"), F.lit(""))
     named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NONE))
-    out = docs.withColumns({"_source": named("source"), "_lang": named("lang"), "_tokens": F.greatest(F.regexp_count(text, F.lit(WORD)), F.lit(1)).cast("long")})
+    mass, counts = features_sql("coalesce(text, '')", "octet_length")
+    out = docs.withColumns({"_source": named("source"), "_lang": named("lang"), "_tokens": F.expr(mass)})
     if "topic" in docs.columns:
         return out.withColumn("_topic", named("topic"))
-    for i, letters in enumerate(RANGES.values()):
-        out = out.withColumn(f"_i{i}", F.regexp_count(text, F.lit(initials_pattern(letters))))
-    counts = [f"_i{i}" for i in range(len(RANGES))]
-    return out.withColumn("_topic", F.expr(topic_sql(counts))).drop(*counts)
+    places = {x: f"_initial_{x}" for x in counts}
+    out = out.withColumns({places[x]: F.expr(c) for x, c in counts.items()})
+    return out.withColumn("_topic", F.expr(topic_sql(places))).drop(*places.values())
 
 
 def mix(docs: DataFrame, share: float = 0.8, temper: float = 0.7, rounds: int = 6, seed: int = 11, given: dict[str, dict[str, float]] | None = None) -> DataFrame:
-    """docs with _source, _lang, _topic, _tokens, cell_weight, probability and sampled."""
+    """docs with _source, _lang, _topic, _tokens, cell_weight, probability and sampled, in place of any of these names."""
     spark = docs.sparkSession
-    placed = with_cells(docs)
+    placed = with_cells(docs.drop("cell_weight", "probability", "sampled"))
     cells = placed.groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("tokens"))
     cells = cut(cells.select(*(F.col(f"_{d}").alias(d) for d in DIMENSIONS), "tokens"))
     small = cells.count() <= SMALL_CELLS
@@ -125,4 +131,5 @@ def mix(docs: DataFrame, share: float = 0.8, temper: float = 0.7, rounds: int =
 
 def sampled_documents(docs: DataFrame, **kw) -> DataFrame:
     """The drawn rows of docs, with its columns only."""
-    return mix(docs, **kw).where("sampled").select(*docs.columns)
+    apart, names = set_apart(docs, {"doc_id", "text", *DIMENSIONS})
+    return mix(apart, **kw).where("sampled").select(*names).toDF(*docs.columns)
