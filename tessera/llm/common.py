@@ -50,6 +50,15 @@ def bucket_of(key: Column, parts: int) -> Column:
     return F.crc32(key.cast("string")) % F.lit(parts)
 
 
+def set_apart(docs: DataFrame, used: set[str]) -> tuple[DataFrame, list[str]]:
+    """docs with every column outside `used` renamed by its place, so that none clashes with an operator's own; and the new names.
+
+    `.select(*names).toDF(*docs.columns)` turns it back.
+    """
+    names = [c if c in used else f"_column_{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), names
+
+
 def utf8(text: Column) -> Column:
     """The text's bytes; a null text has none."""
     return F.coalesce(text, F.lit("")).cast("binary")

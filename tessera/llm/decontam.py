@@ -23,7 +23,7 @@ import hashlib
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import utf8
+from .common import set_apart, utf8
 
 WINDOW = 13
 BLOCK = 2
@@ -115,13 +115,13 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[str, byte
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, window: int = WINDOW, block_bytes: int = 8 << 20) -> DataFrame:
-    """docs' columns (only `keep` where given) with n_words, spans and items.
+    """docs' columns (only `keep` where given) with n_words, spans and items, in place of any of these names.
 
     spans: merged [start, end) word ranges that are hit; items: the ids found,
     as strings. Each block of the benchmark is one more narrow pass in the
     same stage; the text goes no further than the last.
     """
-    names = docs.columns if keep is None else keep
+    names = [c for c in docs.columns if c not in RESULTS] if keep is None else keep
     blocks = _blocks(benchmark, block_bytes)
     out = docs if keep is None else docs.select(*dict.fromkeys([*keep, "text"]))
     out = out.withColumns({k: F.lit(None).cast(v) for k, v in RESULTS.items()})
@@ -171,4 +171,5 @@ def digest_of(items: list[str]) -> str:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs that are not contaminated, with all their columns."""
-    return contamination(docs, benchmark, window=window).where(~contaminated()).select(*docs.columns)
+    apart, names = set_apart(docs, {"text"})
+    return contamination(apart, benchmark, window=window).where(~contaminated()).select(*names).toDF(*docs.columns)

@@ -28,7 +28,7 @@ from itertools import accumulate, combinations, repeat
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut, utf8
+from .common import cut, set_apart, utf8
 from .components import components
 
 WORDS, MOST_BITS, SEED = 4, 4, 42
@@ -178,12 +178,13 @@ def one_of_each(docs: DataFrame, words: int = WORDS) -> DataFrame:
     Rows that repeat that doc_id are told apart by their text; of rows alike
     in both one stays. A class whose ids are all null keeps all its rows.
     """
-    classes = near_duplicates(docs, words)
-    kept = classes.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_n"))
-    rows = docs.join(kept, "doc_id")
-    once = rows.where("_n = 1").select(*docs.columns)
-    repeated = rows.where("_n > 1").select(*docs.columns)
-    least = repeated.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("_h"))
-    repeated = repeated.join(least, "doc_id").where(F.xxhash64("text") == F.col("_h")).dropDuplicates(["doc_id"]).select(*docs.columns)
-    nameless = docs.where(F.col("doc_id").isNull())
-    return once.unionByName(repeated).unionByName(nameless)
+    apart, names = set_apart(docs, {"doc_id", "text"})
+    classes = near_duplicates(apart, words)
+    kept = classes.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
+    rows = apart.join(kept, "doc_id")
+    once = rows.where("rows = 1").select(*names)
+    repeated = rows.where("rows > 1").withColumn("digest", F.xxhash64("text"))
+    least = repeated.groupBy("doc_id").agg(F.min("digest").alias("digest"))
+    repeated = repeated.join(least, ["doc_id", "digest"]).dropDuplicates(["doc_id"]).select(*names)
+    nameless = apart.where(F.col("doc_id").isNull()).select(*names)
+    return once.unionByName(repeated).unionByName(nameless).toDF(*docs.columns)
