@@ -47,6 +47,11 @@ def count_tokens(text: str) -> int:
     return len(_TOKEN.findall(text))
 
 
+def token_starts(text: str) -> list[int]:
+    """Where each token begins; as many as begin before a place are in the text up to it."""
+    return [m.start() for m in _TOKEN.finditer(text)]
+
+
 def truncate(text: str, most: int) -> tuple[str, bool]:
     """The text up to the end of its last allowed token, and whether anything was cut."""
     end = 0

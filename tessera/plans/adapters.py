@@ -64,7 +64,9 @@ def disclosures(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = line.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", said.alias("said")))).alias("lines"))
     joined = head.join(lines, head.o_orderkey == lines.l_orderkey)
     body = F.array_join(F.transform("lines", lambda x: F.concat(F.col("scope"), x["said"])), " ")
-    return joined.select(F.col("o_orderkey").cast("string").alias("document_id"), F.concat_ws(" ", "head", body).alias("text"))
+    out = joined.select(F.col("o_orderkey").cast("string").alias("document_id"), F.concat_ws(" ", "head", body).alias("text"))
+    # what follows is work of Python on small rows: a fixed number of tasks is not merged again for its few bytes
+    return out.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "document_id")
 
 
 DISCLOSURES = f"""disclosures AS (SELECT CAST(o_orderkey AS VARCHAR) AS document_id,

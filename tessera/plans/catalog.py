@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from . import relational, textual
+from . import interchange, relational, textual
 
 FLAGSHIP = "mock_study"
 
 
 def queries() -> dict:
-    return relational.QUERIES | textual.QUERIES
+    return relational.QUERIES | textual.QUERIES | interchange.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return relational.ORACLE_SQL | textual.ORACLE_SQL
+    return relational.ORACLE_SQL | textual.ORACLE_SQL | interchange.ORACLE_SQL
