@@ -156,6 +156,7 @@ def transmitted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _edited(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = design.select_focal(A.atoms_of(disclosures(spark, sf_dir)), 7).join(_head_messages(spark, sf_dir), "document_id")
+    facts = facts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "document_id")  # Python work on small rows: not to be merged into few tasks
     facts = facts.withColumn("transmitted", M.transmitted_col("message", "canonical_value", "role"))
     line = A.render(F.col("role"), F.col("canonical_value"))
     return facts.withColumn("edit", M.counterfactual_col("message", "canonical_value", "role", "transmitted", line, 60))
