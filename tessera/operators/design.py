@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tessera.functions.draws import draw
 
+from .ranks import with_place
+
 KEYS = ("document_id", "role")
 
 
@@ -88,13 +90,11 @@ def grouped_folds(rows: DataFrame, folds: int) -> DataFrame:
     """rows with the fold of their document: its place among the sorted documents, modulo the folds.
 
     With fewer documents than folds there are as many folds as documents, two at least.
-    Places come from a rank over distinct documents only.
     """
-    documents = rows.select("document_id").distinct()
+    documents = with_place(rows.select("document_id").distinct(), ["document_id"], "_place")
     n = documents.count()
     used = folds if n >= folds else max(2, n)
-    place = F.row_number().over(W.orderBy("document_id")) - 1
-    return rows.join(documents.withColumn("fold", (place % used).cast("int")), "document_id")
+    return rows.join(documents.select("document_id", (F.col("_place") % used).cast("int").alias("fold")), "document_id")
 
 
 def split_partition(documents: DataFrame, seed: int, sizes: dict[str, int]) -> DataFrame:
