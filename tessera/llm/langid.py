@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import bucket_of, utf8
 
-LETTER = re.compile(r"[^\W\d_]")
+WORD_CHARACTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 ORDER = 3
 
@@ -42,6 +42,12 @@ class ContextTrees:
     bits: np.ndarray
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter; signs such as fractions count as word characters, but are none."""
+    first = WORD_CHARACTER.search(text)
+    return first is not None and (first[0].isalpha() or any(map(str.isalpha, text)))
+
+
 def _grams(symbols: np.ndarray, n: int, base: int) -> np.ndarray:
     out = np.zeros(max(0, len(symbols) - n + 1), dtype=np.int64)
     for i in range(n):
@@ -59,40 +65,40 @@ def fit(texts: dict[str, list[bytes]]) -> ContextTrees:
     base = int(symbol.max()) + 1
     streams = {k: symbol[v].astype(np.int64) for k, v in joined.items()}
 
-    # lengths without any context, then after each longer context that any language has met
-    lower = np.full((1, base, len(languages)), 8.0, dtype=np.float32)
-    lower_row = np.zeros(1, dtype=np.int64)
+    # rows[c] is the table row of context c, or of its longest ending that any language has met
+    table = np.full((1, base, len(languages)), 8.0, dtype=np.float32)
+    rows = np.zeros(1, dtype=np.int64)
     for order in range(ORDER + 1):
         counts = {k: np.unique(_grams(s, order + 1, base), return_counts=True) for k, s in streams.items()}
         contexts = np.unique(np.concatenate([*(g // base for g, _ in counts.values()), np.zeros(0, np.int64)]))
-        rows = lower_row[contexts % base ** max(0, order - 1)]
-        bits = lower[rows].copy()
+        shorter = rows[contexts % base ** max(0, order - 1)]
+        bits = table[shorter].copy()
         for k, lang in enumerate(languages):
             grams, n = counts[lang]
-            if not len(grams):
-                continue
-            at = np.searchsorted(contexts, grams // base)
-            total = np.bincount(at, n, len(contexts))
-            kinds = np.bincount(at, minlength=len(contexts))
-            here = kinds > 0
-            escape = np.zeros(len(contexts), dtype=np.float32)
-            escape[here] = -np.log2(kinds[here] / (total[here] + kinds[here]))
-            bits[:, :, k] += escape[:, None]
-            bits[at, grams % base, k] = -np.log2(n / (total + kinds)[at])
-        # rows of this order come after those of the lower ones
-        table = np.concatenate([lower, bits]) if order else bits
-        shift = len(lower) if order else 0
-        size = base**order
-        row = np.repeat(lower_row[None, :], max(1, size // len(lower_row)), axis=0).reshape(-1)[:size].copy() if order else np.zeros(1, dtype=np.int64)
-        row[contexts] = shift + np.arange(len(contexts))
-        lower, lower_row = table, row
-    return ContextTrees(languages, symbol, lower_row.astype(np.int32), lower.astype(np.float32))
+            if len(grams):
+                _add_language(bits[:, :, k], contexts, grams, n, base)
+        if order == 0:
+            table, rows = bits, np.zeros(1, dtype=np.int64)
+            continue
+        longer = np.tile(rows, base**order // len(rows))
+        longer[contexts] = len(table) + np.arange(len(contexts))
+        table, rows = np.concatenate([table, bits]), longer
+    return ContextTrees(languages, symbol, rows.astype(np.int32), table)
+
+
+def _add_language(bits: np.ndarray, contexts: np.ndarray, grams: np.ndarray, n: np.ndarray, base: int) -> None:
+    """Turn the lengths of the shorter contexts into those of `contexts`, in place."""
+    at = np.searchsorted(contexts, grams // base)
+    total = np.bincount(at, n, len(contexts))
+    kinds = np.bincount(at, minlength=len(contexts))
+    met = kinds > 0
+    bits[met] -= np.log2(kinds[met] / (total[met] + kinds[met])).astype(np.float32)[:, None]
+    bits[at, grams % base] = -np.log2(n / (total + kinds)[at])
 
 
 def code_lengths(texts: list[bytes], trees: ContextTrees, chunk: int = 1 << 20) -> np.ndarray:
     """(text, language) bits of every whole text; each starts after line ends."""
     base = int(trees.symbol.max()) + 1
-    start = trees.symbol[10]
     out = np.zeros((len(texts), len(trees.languages)))
     i = 0
     while i < len(texts):
@@ -114,7 +120,6 @@ def code_lengths(texts: list[bytes], trees: ContextTrees, chunk: int = 1 << 20)
                 bits[ends - sizes + k] = 0
             out[i:j] = np.add.reduceat(bits, ends - sizes, axis=0, dtype=np.float64)
         i = j
-    assert start >= 0
     return out
 
 
@@ -134,7 +139,7 @@ def predict(texts: list[bytes], trees: ContextTrees) -> tuple[list[str], list[fl
     with np.errstate(under="ignore"):
         odds = np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000.0))
     share = 1 / odds.sum(axis=1)
-    known = [LETTER.search(t.decode("utf-8", "replace")) is not None for t in texts]
+    known = [has_letter(t.decode("utf-8", "replace")) for t in texts]
     lang = [trees.languages[b] if k else UNKNOWN for b, k in zip(best, known)]
     return lang, [float(p) if k else 0.0 for p, k in zip(share, known)]
 

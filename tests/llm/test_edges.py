@@ -98,6 +98,7 @@ def test_language(odd, empty):
     und = {r.doc_id for r in got.where("lang_pred = 'und'").collect()}
     assert {1, 2, 3, 9} <= und and 7 not in und
     assert langid.languages(empty).count() == 0
+    assert [langid.has_letter(t) for t in ("", "½ 12", "½ a", "_9", "漢")] == [False, False, True, False, True]
 
 
 def brute_bits(trees_of, text, languages):
@@ -182,6 +183,8 @@ def test_raking_meets_its_targets(spark):
         assert got == pytest.approx(given[d], abs=1e-6)
     expected = mixing.mix(docs, share=0.2, rounds=25, given=given).agg(F.sum(F.col("probability") * F.col("_tokens")) / F.sum("_tokens")).first()[0]
     assert expected == pytest.approx(0.2, abs=1e-6)
+    only = mixing.mix(docs, rounds=3, given={"source": {"s0": 1.0}, "lang": {"fr": 1.0}}).collect()
+    assert len(only) == 400 and all(0 <= r.probability <= 1 for r in only)
 
 
 def test_simhash(spark, odd, empty):
