@@ -109,7 +109,7 @@ def _vocabulary(rows: list[tuple[str, int]], least: int, z: float, most: int, bu
     return [w for *_, w in sorted(scored)[:most]]
 
 
-def fit(rows: list[tuple[str, int]], least: int = 5, z: float = 4.0, most: int = 4096, ridge: float = 2e-4, swap_penalty: float = 1.0, epochs: int = 600, rate: float = 0.5) -> WordModel:
+def fit(rows: list[tuple[str, int]], least: int = 5, z: float = 4.0, most: int = 4096, ridge: float = 5e-5, swap_penalty: float = 1.0, epochs: int = 1000, rate: float = 0.5) -> WordModel:
     """Train on (text, label) rows by full-batch gradient steps with momentum."""
     if not rows:
         return WordModel({}, -math.inf)
