@@ -117,7 +117,7 @@ def links(fps: DataFrame, block: int = 4096) -> DataFrame:
         for i, three in enumerate(index_positions())
     ]
     listed = fps.select("fp", F.explode(F.array(*(F.expr(k) for k in keys))).alias("key"))
-    sizes = listed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = cut(listed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     listed = listed.join(sizes, "key").withColumn("blocks", F.expr(f"cast(ceil(n / {block}) as int)"))
     mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("mine", j).alias("i"), F.greatest("mine", j).alias("j")))
