@@ -19,7 +19,7 @@ def language_violations(files: DataFrame, key: str, text: str, terms: tuple[str,
 def visible_svg_text(svg: Column) -> Column:
     """Text of text, tspan, title and desc elements, one line each."""
     parts = F.regexp_extract_all(svg, F.lit(r"(?s)<(?:\w+:)?(?:text|tspan|title|desc)\b[^>]*>([^<]*)"), F.lit(1))
-    return F.array_join(F.filter(F.transform(parts, F.trim), lambda x: x != ""), "\n")
+    return F.array_join(F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != ""), "\n")
 
 
 def reference_gaps(files: DataFrame, key: str, text: str) -> DataFrame:
