@@ -34,7 +34,7 @@ def placeholder_counts(files: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def latex_escape(value: Column) -> Column:
-    return F.regexp_replace(value, r"([&%$#_{}])", r"\\\\$1")
+    return F.regexp_replace(value, r"([&%$#_{}])", r"\\$1")
 
 
 def shown(value: Column, places: int = 3) -> Column:

@@ -114,5 +114,5 @@ def latex_rows(table: DataFrame, key: str, values: dict[str, str]) -> DataFrame:
     for c in values:
         shown = F.coalesce(F.format_number(c, 3), F.lit("---"))
         cells.append(F.when(F.coalesce(f"_b_{c}", F.lit(False)), F.concat(F.lit("\\textbf{"), shown, F.lit("}"))).otherwise(shown))
-    escaped = F.regexp_replace(key, r"([&%$#_{}])", r"\\\\$1")
+    escaped = F.regexp_replace(key, r"([&%$#_{}])", r"\\$1")
     return out.select(key, F.concat(F.concat_ws(" & ", escaped, *cells), F.lit(r" \\")).alias("row"))
