@@ -184,7 +184,8 @@ def repeated_segments(docs: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), utf8(F.col("text")).alias("text"))
     _segments(texts).write.option("compression", "zstd").parquet(segments)
     listed = spark.read.parquet(segments)
-    shared_keys = listed.groupBy("key").agg(F.sum("times").alias("n")).where("n > 1").select("key")
+    # a table of its own, not an aggregate in the join's stage: so Spark can split a hot key's rows
+    shared_keys = cut(listed.groupBy("key").agg(F.sum("times").alias("n")).where("n > 1").select("key"))
     listed = listed.join(shared_keys, "key", "left_semi")
     of_doc = listed.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("key", "first", "windows")).alias("listed"))
     long_enough = texts.where(F.octet_length("text") >= 2 * WINDOW - 1)
@@ -212,7 +213,7 @@ def repeated_segments(docs: DataFrame) -> DataFrame:
     of_windows = windows.select("words_digest", "offset", "window_digest").join(apart_hits, "window_digest")
     of_windows = of_windows.groupBy("words_digest").agg(F.bit_or(F.expr("shiftleft(1L, offset)")).alias("hit"))
     hits = hits.unionByName(of_windows)
-    hit = passages.select("doc_id", "text_key", "first", "words_digest").join(hits, "words_digest")
+    hit = passages.select("doc_id", "text_key", "first", "words_digest").join(cut(hits), "words_digest")
     of_doc = cut(hit.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("first", "hit")).alias("listed")))
     discard(spark, cut_out)
     discard(spark, kept)
