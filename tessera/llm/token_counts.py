@@ -21,6 +21,8 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.utils import AnalysisException
 
+from .common import cut
+
 STORE_SCHEMA = "content binary, tokenizer string, n_tokens long"
 
 #: Below U+0250 (Latin letters and signs) both encoders split alike; texts with any other character are left to the tokenizer library itself.
@@ -105,6 +107,7 @@ def token_counts(docs: DataFrame, store: str, path: str, ranks_path: str | None
     counted = todo.mapInArrow(encode, "content binary, n_tokens long")
     new = counted.groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
     new.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(store)
-    counts = _stored(spark, store).where(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
+    # a table of its own, not an aggregate in the join's stage: so Spark can split the rows of a text with many copies
+    counts = cut(_stored(spark, store).where(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens")))
     keyed = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("content"))
     return keyed.join(counts, "content", "left").select("doc_id", "n_bytes", "n_tokens")
