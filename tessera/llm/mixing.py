@@ -11,7 +11,7 @@ Everything is DataFrame or SQL; what reaches the driver is a count of cells.
 
 Targets: the natural share to the power `temper`, rescaled, unless a share is
 given for the value; given shares are kept as they are and the others share
-what is left of one. Topic: the column `topic` where there is one, else a
+what is left of one (cells without a share are never drawn). Topic: the column `topic` where there is one, else a
 lexical class, the letter of a, e, o and t that begins most words after a
 blank (`other` where none does). Mass: one, and one for each blank and line
 end, which is the number of words of a text without runs of blanks.
@@ -36,6 +36,8 @@ INITIALS = ("a", "e", "o", "t")
 
 #: Up to so many cells are raked in one task and broadcast; a row is under 200 bytes, so that is under 20 MB. More are raked and joined by shuffles.
 SMALL_CELLS = 100_000
+#: Rounds in one plan; between plans the weights are cut off, for a plan's analysis grows with its depth.
+ROUNDS_AT_ONCE = 6
 
 
 def features_sql(text: str, size: str) -> tuple[str, dict[str, str]]:
@@ -49,22 +51,27 @@ def features_sql(text: str, size: str) -> tuple[str, dict[str, str]]:
 
 
 def topic_sql(counts: dict[str, str]) -> str:
-    """The letter with the largest count; the first of equals; `other` where all are 0."""
+    """The letter with the largest count; the first of equals; `other` where all are 0.
+
+    The last letter is the ELSE, so that the result is never null: else a join
+    on it would first filter for nulls and count everything twice.
+    """
     best = f"greatest({', '.join(counts.values())})"
-    cases = " ".join(f"WHEN {c} = {best} THEN '{name}'" for name, c in counts.items())
-    return f"CASE WHEN {best} = 0 THEN 'other' {cases} END"
+    *first, last = counts
+    cases = " ".join(f"WHEN {counts[name]} = {best} THEN '{name}'" for name in first)
+    return f"CASE WHEN {best} = 0 THEN 'other' {cases} ELSE '{last}' END"
 
 
 def _literal(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
-def rake_sql(cells: str, rounds: int, temper: float, given: dict[str, dict[str, float]], share: float) -> str:
-    """SQL over the cells (source, lang, topic, tokens) for their weight and probability.
+_NAMES = ", ".join(DIMENSIONS)
 
-    The text runs alike in Spark and in DuckDB.
-    """
-    names = ", ".join(DIMENSIONS)
+
+def targets_sql(cells: str, temper: float, given: dict[str, dict[str, float]]) -> str:
+    """SQL over the cells (source, lang, topic, tokens) for their targets t_... and first weight w."""
+    names = _NAMES
     natural = ", ".join(f"power(CAST(sum(tokens) OVER (PARTITION BY {d}) AS DOUBLE) / sum(tokens) OVER (), {temper}e0) AS p_{d}, count(*) OVER (PARTITION BY {d}) AS n_{d}" for d in DIMENSIONS)
     sql = f"SELECT {names}, tokens, {natural} FROM {cells}"
     targets = []
@@ -78,12 +85,22 @@ def rake_sql(cells: str, rounds: int, temper: float, given: dict[str, dict[str,
             targets.append(f"CASE {d} {cases} ELSE {left!r}e0 * p_{d} / {rest} END AS t_{d}")
         else:
             targets.append(f"p_{d} / sum(p_{d} / n_{d}) OVER () AS t_{d}")
-    sql = f"SELECT {names}, tokens, CAST(tokens AS DOUBLE) AS w, {', '.join(targets)} FROM ({sql}) AS natural_share"
+    return f"SELECT {names}, tokens, CAST(tokens AS DOUBLE) AS w, {', '.join(targets)} FROM ({sql}) AS natural_share"
+
+
+def rounds_sql(sql: str, rounds: int) -> str:
+    """SQL for the weights after so many rounds over all dimensions."""
     carried = ", ".join(f"t_{d}" for d in DIMENSIONS)
     for i in range(rounds):
         for d in DIMENSIONS:
-            sql = f"SELECT {names}, tokens, {carried}, w * t_{d} / sum(w) OVER (PARTITION BY {d}) AS w FROM ({sql}) AS raked_{i}_{d}"
-    sql = f"SELECT {names}, tokens, w / sum(w) OVER () AS w, w / sum(w) OVER () / tokens AS r FROM ({sql}) AS raked"
+            sql = f"SELECT {_NAMES}, tokens, {carried}, w * t_{d} / greatest(sum(w) OVER (PARTITION BY {d}), 1e-300) AS w FROM ({sql}) AS raked_{i}_{d}"
+    return sql
+
+
+def fill_sql(sql: str, share: float) -> str:
+    """SQL for each cell's final weight and its probability."""
+    names = _NAMES
+    sql = f"SELECT {names}, tokens, w / greatest(sum(w) OVER (), 1e-300) AS w, w / greatest(sum(w) OVER (), 1e-300) / tokens AS r FROM ({sql}) AS raked"
     # hold the cells with the largest ratios at one until the rest fits below one
     order = f"ORDER BY r DESC, {names} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
     sql = f"""SELECT {names}, tokens, w, r, row_number() OVER (ORDER BY r DESC, {names}) AS place,
@@ -93,6 +110,11 @@ def rake_sql(cells: str, rounds: int, temper: float, given: dict[str, dict[str,
     return f"SELECT {names}, tokens, w AS cell_weight, CASE WHEN common IS NULL OR place < first_free THEN 1e0 ELSE least(1e0, greatest(0e0, common * r)) END AS probability FROM ({sql}) AS solved"
 
 
+def rake_sql(cells: str, rounds: int, temper: float, given: dict[str, dict[str, float]], share: float) -> str:
+    """All of it as one text, which runs alike in Spark and in DuckDB."""
+    return fill_sql(rounds_sql(targets_sql(cells, temper, given), rounds), share)
+
+
 def draw_sql(seed: int, doc_id: str, dialect: str = "spark") -> str:
     """A fixed number in [0, 1) for each doc_id: 48 bits of a SHA-256."""
     key = f"concat('{seed}:', coalesce(CAST({doc_id} AS STRING), ''))"
@@ -114,6 +136,14 @@ def with_cells(docs: DataFrame) -> DataFrame:
     return out.withColumn("_topic", F.expr(topic_sql(places))).drop(*places.values())
 
 
+def _over(cells: DataFrame, sql: str) -> DataFrame:
+    """The SQL with `cells` in the place of {cells}."""
+    cells.createOrReplaceTempView(view := f"cells_{uuid.uuid4().hex}")
+    out = cells.sparkSession.sql(sql.replace("{cells}", view))
+    cells.sparkSession.catalog.dropTempView(view)
+    return out
+
+
 def mix(docs: DataFrame, share: float = 0.8, temper: float = 0.7, rounds: int = 6, seed: int = 11, given: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """docs with _source, _lang, _topic, _tokens, cell_weight, probability and sampled, in place of any of these names."""
     spark = docs.sparkSession
@@ -121,9 +151,15 @@ def mix(docs: DataFrame, share: float = 0.8, temper: float = 0.7, rounds: int =
     cells = placed.groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("tokens"))
     cells = cut(cells.select(*(F.col(f"_{d}").alias(d) for d in DIMENSIONS), "tokens"))
     small = cells.count() <= SMALL_CELLS
-    (cells.coalesce(1) if small else cells).createOrReplaceTempView(view := f"cells_{uuid.uuid4().hex}")
-    weights = spark.sql(rake_sql(view, rounds, temper, given or {}, share))
-    spark.catalog.dropTempView(view)
+    state = targets_sql("{cells}", temper, given or {})
+    source = cells.coalesce(1) if small else cells
+    for done in range(0, rounds, ROUNDS_AT_ONCE):
+        now = min(ROUNDS_AT_ONCE, rounds - done)
+        if done:
+            source, state = cut(_over(source, state)), "SELECT * FROM {cells}"
+            source = source.coalesce(1) if small else source
+        state = rounds_sql(state, now)
+    weights = _over(source, fill_sql(state, share))
     weights = weights.select(*(F.col(d).alias(f"_{d}") for d in DIMENSIONS), "cell_weight", "probability")
     joined = placed.join(F.broadcast(weights) if small else weights, [f"_{d}" for d in DIMENSIONS])
     return joined.withColumn("sampled", F.expr(draw_sql(seed, "doc_id")) < F.col("probability"))
