@@ -85,16 +85,16 @@ def decompose(records: DataFrame, by: list[str] | None = None, two_phase: bool =
 def decompose_by_role(records: DataFrame, **kw) -> DataFrame:
     """Each role's decomposition and the pooled one (role `pooled`).
 
-    Documents are counted distinct, which a grouping-sets plan would expand
-    over; summing per (document, role) first keeps the expansion to those.
+    Rows are summed for each (document, role) first, so that the grouping sets
+    expand and count documents over those sums only, and the records are
+    worked out once.
     """
     two_phase, atom_level = kw.get("two_phase", False), kw.get("atom_level", True)
     partial = records.groupBy("document_id", "role").agg(F.count("*").alias("n"), *_sums(two_phase))
     names = [c for c in partial.columns if c.startswith("s_")]
-    cells = partial.groupBy("role").agg(F.sum("n").alias("n_atoms"), F.count("*").alias("n_documents"), *(F.sum(c).alias(c) for c in names))
-    whole = partial.groupBy("document_id").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in names))
-    pooled = whole.agg(F.sum("n").alias("n_atoms"), F.count("*").alias("n_documents"), *(F.sum(c).alias(c) for c in names)).where("n_atoms > 0").select(F.lit("pooled").alias("role"), "*")
-    return cells.unionByName(pooled).select("role", "n_atoms", "n_documents", *(v.alias(k) for k, v in _estimates(atom_level).items()))
+    sums = partial.rollup("role").agg(F.grouping("role").alias("all_roles"), F.sum("n").alias("n_atoms"), F.count_distinct("document_id").alias("n_documents"), *(F.sum(c).alias(c) for c in names))
+    role = F.when(F.col("all_roles") == 1, "pooled").otherwise(F.col("role")).alias("role")
+    return sums.select(role, "n_atoms", "n_documents", *(v.alias(k) for k, v in _estimates(atom_level).items()))
 
 
 def divergence_by_hop(records: DataFrame, hop: str = "hop") -> DataFrame:
