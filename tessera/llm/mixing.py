@@ -11,10 +11,10 @@ Everything is DataFrame or SQL; what reaches the driver is a count of cells.
 
 Targets: the natural share to the power `temper`, rescaled, unless a share is
 given for the value; given shares are kept as they are and the others share
-what is left of one (cells without a share are never drawn). Topic: the column `topic` where there is one, else a
-lexical class, the letter of a, e, o and t that begins most words after a
-blank (`other` where none does). Mass: one, and one for each blank and line
-end, which is the number of words of a text without runs of blanks.
+what is left of one (cells without a share are never drawn). Topic: the column
+`topic` where there is one, else the initial-letter range (a-f, g-m, n-s, t-z,
+other) that begins most words, in both cases of letters. Mass: the number of
+words between blanks, tabs and line ends, at least one.
 
 Nulls and odd input: a null source, language or topic is the value `(none)`; a
 null or empty text has mass 1 so that it can be drawn; the draw is a hash of
@@ -32,7 +32,11 @@ from .common import cut, set_apart
 
 DIMENSIONS = ("source", "lang", "topic")
 NONE = "(none)"
-INITIALS = ("a", "e", "o", "t")
+WORD = r"[^\x20\x09-\x0D]+"
+RANGES = {"a-f": "[A-Fa-f]", "g-m": "[G-Mg-m]", "n-s": "[N-Sn-s]", "t-z": "[T-Zt-z]"}
+#: What is left of a text after replacing this by its second group are its words' first letters; the ranges' letters.
+INITIALS = r"(^[\x20\x09-\x0D]+)|([^\x20\x09-\x0D])[^\x20\x09-\x0D]*+[\x20\x09-\x0D]*+"
+LETTERS = {x: "".join(c + c.upper() for c in map(chr, range(ord(x[0]), ord(x[-1]) + 1))) for x in RANGES}
 
 #: Up to so many cells are raked in one task and broadcast; a row is under 200 bytes, so that is under 20 MB. More are raked and joined by shuffles.
 SMALL_CELLS = 100_000
@@ -40,20 +44,14 @@ SMALL_CELLS = 100_000
 ROUNDS_AT_ONCE = 6
 
 
-def features_sql(text: str, size: str) -> tuple[str, dict[str, str]]:
-    """SQL of a text's mass, and of twice the words that begin with each letter.
-
-    Counts are lost bytes after a plain replacement; `size` is the engine's
-    function for a string's bytes.
-    """
-    lost = lambda part: f"({size}({text}) - {size}(replace({text}, {part}, '')))"
-    return f"CAST(1 + {lost(chr(39) + ' ' + chr(39))} + {lost('chr(10)')} AS BIGINT)", {x: lost(f"' {x}'") for x in INITIALS}
+def initials_pattern(letters: str) -> str:
+    return rf"(^|[\x20\x09-\x0D]){letters}"
 
 
 def topic_sql(counts: dict[str, str]) -> str:
-    """The letter with the largest count; the first of equals; `other` where all are 0.
+    """The range with the largest count; the first of equals; `other` where all are 0.
 
-    The last letter is the ELSE, so that the result is never null: else a join
+    The last range is the ELSE, so that the result is never null: else a join
     on it would first filter for nulls and count everything twice.
     """
     best = f"greatest({', '.join(counts.values())})"
@@ -127,13 +125,14 @@ def draw_sql(seed: int, doc_id: str, dialect: str = "spark") -> str:
 def with_cells(docs: DataFrame) -> DataFrame:
     """docs with _source, _lang, _topic and _tokens."""
     named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NONE))
-    mass, counts = features_sql("coalesce(text, '')", "octet_length")
-    out = docs.withColumns({"_source": named("source"), "_lang": named("lang"), "_tokens": F.expr(mass)})
+    initials = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), INITIALS, "$2")
+    out = docs.withColumns({"_source": named("source"), "_lang": named("lang"), "_initials": initials})
+    out = out.withColumn("_tokens", F.greatest(F.char_length("_initials"), F.lit(1)).cast("long"))
     if "topic" in docs.columns:
-        return out.withColumn("_topic", named("topic"))
-    places = {x: f"_initial_{x}" for x in counts}
-    out = out.withColumns({places[x]: F.expr(c) for x, c in counts.items()})
-    return out.withColumn("_topic", F.expr(topic_sql(places))).drop(*places.values())
+        return out.withColumn("_topic", named("topic")).drop("_initials")
+    places = {x: f"_initial_{i}" for i, x in enumerate(RANGES)}
+    out = out.withColumns({places[x]: F.char_length("_initials") - F.char_length(F.translate("_initials", letters, "")) for x, letters in LETTERS.items()})
+    return out.withColumn("_topic", F.expr(topic_sql(places))).drop("_initials", *places.values())
 
 
 def _over(cells: DataFrame, sql: str) -> DataFrame:

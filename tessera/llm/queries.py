@@ -42,12 +42,11 @@ def op5_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sql() -> str:
-    mass, counts = mixing.features_sql("text", "strlen")
-    places = {x: f"initial_{x}" for x in counts}
-    initials = ", ".join(f"{c} AS {places[x]}" for x, c in counts.items())
+    places = {x: f"i{i}" for i, x in enumerate(mixing.RANGES)}
+    initials = ", ".join(f"len(regexp_extract_all(text, '{mixing.initials_pattern(p)}')) AS {places[x]}" for x, p in mixing.RANGES.items())
     named = ", ".join(f"coalesce({c}, '{mixing.NONE}') AS {c}" for c in ("source", "lang"))
     return f"""WITH texts AS (SELECT doc_id, source, lang, coalesce(text, '') AS text FROM documents),
-        counted AS (SELECT doc_id, {named}, {mass} AS tokens, {initials} FROM texts),
+        counted AS (SELECT doc_id, {named}, greatest(len(regexp_extract_all(text, '{mixing.WORD}')), 1) AS tokens, {initials} FROM texts),
         placed AS (SELECT doc_id, source, lang, tokens, {mixing.topic_sql(places)} AS topic FROM counted),
         cells AS (SELECT source, lang, topic, CAST(sum(tokens) AS BIGINT) AS tokens FROM placed GROUP BY ALL),
         weights AS ({mixing.rake_sql("cells", MIX["rounds"], MIX["temper"], {}, MIX["share"])})

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from tessera.llm import embed_dedup
+from tessera.llm import embed_dedup, mixing
 
 
 def lone_pairs(n_pairs, n_single, common, seed):
@@ -29,3 +29,11 @@ def test_lone_pairs_are_found_in_large_labels(spark, common):
     assert close.sum() - len(v) == 2 * pairs
     missed = (got.n_links.loc[: pairs - 1] == 0).sum()
     assert missed <= 4
+
+
+def test_mass_is_words_and_topics_are_whole_ranges(spark):
+    texts = ["a\tb\rc  d\n\ne", "z" * 50, "  Zebra\tZoo\nx", "Moon moon\nHill kelp", "NOON\tsun\rpop a", "é 1 2", None, "b c\td"]
+    want = [(5, "a-f"), (1, "t-z"), (3, "t-z"), (4, "g-m"), (4, "n-s"), (3, "other"), (1, "other"), (3, "a-f")]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    got = mixing.with_cells(docs).orderBy("doc_id").collect()
+    assert [(r["_tokens"], r["_topic"]) for r in got] == want
