@@ -24,6 +24,7 @@ empty one; an empty table gives an empty result; long texts count whole.
 
 from __future__ import annotations
 
+import logging
 import uuid
 
 from pyspark.sql import DataFrame, functions as F
@@ -42,6 +43,8 @@ LETTERS = {x: "".join(c + c.upper() for c in map(chr, range(ord(x[0]), ord(x[-1]
 SMALL_CELLS = 100_000
 #: Rounds in one plan; between plans the weights are cut off, for a plan's analysis grows with its depth.
 ROUNDS_AT_ONCE = 6
+#: Raking ends when no value's share is further from its target than this; or, with a warning, when a plan's rounds no longer bring it nearer or after so many rounds.
+TOLERANCE, GAIN, MOST_ROUNDS = 1e-12, 0.999, 600
 
 
 def initials_pattern(letters: str) -> str:
@@ -108,9 +111,20 @@ def fill_sql(sql: str, share: float) -> str:
     return f"SELECT {names}, tokens, w AS cell_weight, CASE WHEN common IS NULL OR place < first_free THEN 1e0 ELSE least(1e0, greatest(0e0, common * r)) END AS probability FROM ({sql}) AS solved"
 
 
+def residual_sql(sql: str) -> str:
+    """SQL for the weights with gap, the largest distance of a value's share from its target."""
+    gaps = ", ".join(f"abs(sum(w) OVER (PARTITION BY {d}) / greatest(sum(w) OVER (), 1e-300) - t_{d})" for d in DIMENSIONS)
+    return f"SELECT *, max(off) OVER () AS gap FROM (SELECT *, greatest({gaps}) AS off FROM ({sql}) AS shares) AS gaps"
+
+
 def rake_sql(cells: str, rounds: int, temper: float, given: dict[str, dict[str, float]], share: float) -> str:
-    """All of it as one text, which runs alike in Spark and in DuckDB."""
-    return fill_sql(rounds_sql(targets_sql(cells, temper, given), rounds), share)
+    """All of it as one text for DuckDB, with the rule of mix() for its end."""
+    columns = f"{_NAMES}, tokens, {', '.join(f't_{d}' for d in DIMENSIONS)}, w"
+    on = f"(k < {rounds} OR (gap > {TOLERANCE!r} AND gap < {GAIN} * before)) AND k < {MOST_ROUNDS}"
+    state = rounds_sql(f"SELECT {columns} FROM steps WHERE {on}", ROUNDS_AT_ONCE)
+    step = f"SELECT (SELECT max(k) FROM steps) + {ROUNDS_AT_ONCE} AS k, {columns}, (SELECT max(gap) FROM steps) AS before, gap FROM ({residual_sql(state)}) AS stepped"
+    first = f"SELECT 0 AS k, {columns}, 1e300 AS before, 1e299 AS gap FROM ({targets_sql(cells, temper, given)}) AS start"
+    return f"WITH RECURSIVE steps AS ({first} UNION ALL {step}) {fill_sql('SELECT * FROM steps WHERE k = (SELECT max(k) FROM steps)', share)}"
 
 
 def draw_sql(seed: int, doc_id: str, dialect: str = "spark") -> str:
@@ -144,7 +158,10 @@ def _over(cells: DataFrame, sql: str) -> DataFrame:
 
 
 def mix(docs: DataFrame, share: float = 0.8, temper: float = 0.7, rounds: int = 6, seed: int = 11, given: dict[str, dict[str, float]] | None = None) -> DataFrame:
-    """docs with _source, _lang, _topic, _tokens, cell_weight, probability and sampled, in place of any of these names."""
+    """docs with _source, _lang, _topic, _tokens, cell_weight, probability and sampled, in place of any of these names.
+
+    rounds: the least number; more follow until the shares meet their targets (see TOLERANCE).
+    """
     spark = docs.sparkSession
     placed = with_cells(docs.drop("cell_weight", "probability", "sampled"))
     cells = placed.groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("tokens"))
@@ -152,12 +169,13 @@ def mix(docs: DataFrame, share: float = 0.8, temper: float = 0.7, rounds: int =
     small = cells.count() <= SMALL_CELLS
     state = targets_sql("{cells}", temper, given or {})
     source = cells.coalesce(1) if small else cells
-    for done in range(0, rounds, ROUNDS_AT_ONCE):
-        now = min(ROUNDS_AT_ONCE, rounds - done)
-        if done:
-            source, state = cut(_over(source, state)), "SELECT * FROM {cells}"
-            source = source.coalesce(1) if small else source
-        state = rounds_sql(state, now)
+    done, before, gap = 0, float("inf"), float("inf")
+    while (done < rounds or gap > TOLERANCE and gap < GAIN * before) and done < MOST_ROUNDS or not done:
+        source = cut(_over(source, residual_sql(rounds_sql(state, ROUNDS_AT_ONCE))).drop("off"))
+        source, state = source.coalesce(1) if small else source, "SELECT * FROM {cells}"
+        done, before, gap = done + ROUNDS_AT_ONCE, gap, source.agg(F.max("gap")).first()[0] or 0.0
+    if gap > TOLERANCE:
+        logging.getLogger(__name__).warning("after %d rounds a share is still %.3g from its target", done, gap)
     weights = _over(source, fill_sql(state, share))
     weights = weights.select(*(F.col(d).alias(f"_{d}") for d in DIMENSIONS), "cell_weight", "probability")
     joined = placed.join(F.broadcast(weights) if small else weights, [f"_{d}" for d in DIMENSIONS])

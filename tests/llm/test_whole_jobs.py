@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from tessera.llm import embed_dedup, mixing
+from tessera.llm import embed_dedup, mixing, queries
 
 
 def lone_pairs(n_pairs, n_single, common, seed):
@@ -37,3 +37,19 @@ def test_mass_is_words_and_topics_are_whole_ranges(spark):
     docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
     got = mixing.with_cells(docs).orderBy("doc_id").collect()
     assert [(r["_tokens"], r["_topic"]) for r in got] == want
+
+
+def test_raking_converges_on_dependent_margins_with_the_querys_parameters(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(3000):
+        lang = int(rng.integers(3)) if i % 25 else 3
+        topic = lang if rng.random() < 0.96 else int(rng.integers(4))
+        source = (lang + topic) % 4 if rng.random() < 0.9 else int(rng.integers(4))
+        rows.append((i, "w " * int(rng.integers(1, 9)), f"l{lang}", f"s{source}", f"t{topic}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, topic string")
+    cells = mixing.mix(docs, **queries.MIX).groupBy("_source", "_lang", "_topic").agg({"_tokens": "sum", "cell_weight": "max"}).toPandas()
+    for d in ("_source", "_lang", "_topic"):
+        by = cells.groupby(d)[["sum(_tokens)", "max(cell_weight)"]].sum()
+        want = (by["sum(_tokens)"] / by["sum(_tokens)"].sum()) ** queries.MIX["temper"]
+        assert by["max(cell_weight)"].to_numpy() == pytest.approx((want / want.sum()).to_numpy(), abs=1e-9)
