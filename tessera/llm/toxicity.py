@@ -5,7 +5,8 @@ six letters that one, two or four of its distinct words share. Its vocabulary
 holds the features whose document frequency differs clearly between the
 labels, and every identity term met in training. For each labelled text that names a group, the
 group's name is swapped for the others of its kind, and the squared change of
-the logit is penalised, so that the name alone moves no score.
+the logit over all features that come or go with the swap is penalised, so that
+the name alone moves no score.
 
 Nulls and odd input: null and empty texts get the score of the intercept;
 whole texts count, whatever their length; repeated rows each get a row; with
@@ -70,6 +71,16 @@ def features_of(text: str, prefixes: frozenset[str] | None = None) -> set[str]:
     return bag
 
 
+def _swapped(starts: Counter, word: str, other: str) -> tuple[list[str], list[str]]:
+    """The features that a text loses and gains when `other` stands for `word`, at most two each; starts: its words' beginnings."""
+    old, new = (w[:PREFIX] if len(w) > PREFIX else None for w in (word, other))
+    lost, gained = [word], [other]
+    if old != new:
+        lost += [old + "*" * n for n in SHARED if old and n == starts[old]]
+        gained += [new + "*" * n for n in SHARED if new and n == starts[new] + 1]
+    return lost, gained
+
+
 def _distinct_rows(rows: list[tuple[str, int]]) -> list[int]:
     """Places of one row for each near-copy class: texts alike in one of three pairs of least word hashes."""
     seen, out = set(), []
@@ -123,17 +134,19 @@ def fit(rows: list[tuple[str, int]], least: int = 5, z: float = 4.0, most: int =
         for w in bag & place.keys():
             doc.append(i)
             col.append(place[w])
+        starts = Counter(w[:PREFIX] for w in bag if len(w) > PREFIX and w[-1] != "*")
         for w in bag & KIND.keys():
             for other in IDENTITY_TERMS[KIND[w]]:
-                if other not in bag:  # a name outside the vocabulary weighs nothing
-                    swap_from.append(place.get(w, -1))
-                    swap_to.append(place.get(other, -1))
+                if other not in bag:  # a feature outside the vocabulary weighs nothing
+                    for out, names in zip((swap_from, swap_to), _swapped(starts, w, other)):
+                        out.append([*(place.get(f, -1) for f in names), -1][:2])
     doc, col = np.array(doc, dtype=np.int64), np.array(col, dtype=np.int64)
     y = np.array([y for _, y in rows], dtype=float)
-    start, end = np.array(swap_from, dtype=np.int64), np.array(swap_to, dtype=np.int64)
+    start, end = (np.array(x, dtype=np.int64).reshape(-1, 2) for x in (swap_from, swap_to))
     k = len(vocabulary)
     theta, moved = np.zeros(k + 1), np.zeros(k + 1)
     rate_of = np.full(k + 1, rate)
+    rate_of[np.concatenate([start, end])] = rate / 2  # a swap moves up to four weights, twice those of a swap of short names
     base = y.mean().clip(1e-3, 1 - 1e-3)
     bias = math.log(base / (1 - base))
     for _ in range(epochs):
@@ -141,9 +154,9 @@ def fit(rows: list[tuple[str, int]], least: int = 5, z: float = 4.0, most: int =
         gap = 1 / (1 + np.exp(-np.clip(logit, -60, 60))) - y
         grad = np.bincount(col, gap[doc], k + 1) / len(rows) + ridge * theta
         if len(start):
-            change = theta[end] - theta[start]  # place -1 is the spare last weight, kept at 0
-            pull = 2 * swap_penalty / len(start) * change
-            grad += np.bincount(end % (k + 1), pull, k + 1) - np.bincount(start % (k + 1), pull, k + 1)
+            change = (theta[end] - theta[start]).sum(axis=1)  # place -1 is the spare last weight, kept at 0
+            pull = np.repeat(2 * swap_penalty / len(start) * change, 2)
+            grad += np.bincount(end.ravel() % (k + 1), pull, k + 1) - np.bincount(start.ravel() % (k + 1), pull, k + 1)
         grad[k] = 0
         moved = 0.9 * moved - rate_of * grad
         theta = theta + moved

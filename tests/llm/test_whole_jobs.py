@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pytest
 
-from tessera.llm import embed_dedup, mixing, queries
+from tessera.llm import embed_dedup, mixing, queries, toxicity
 
 
 def lone_pairs(n_pairs, n_single, common, seed):
@@ -53,3 +55,21 @@ def test_raking_converges_on_dependent_margins_with_the_querys_parameters(spark)
         by = cells.groupby(d)[["sum(_tokens)", "max(cell_weight)"]].sum()
         want = (by["sum(_tokens)"] / by["sum(_tokens)"].sum()) ** queries.MIX["temper"]
         assert by["max(cell_weight)"].to_numpy() == pytest.approx((want / want.sum()).to_numpy(), abs=1e-9)
+
+
+def test_long_identity_terms_move_no_score():
+    rows = [(f"the immigrants are {w}", y) for w, y in [("idiots", 1), ("here", 0)] * 40] + [("the refugees are here today", 0)] * 60 + [("immigrants stay", 1)] * 60
+    rng = random.Random(8)
+    rows = [(t + " " + " ".join("".join(rng.choice("bcdfg") for _ in range(6)) for _ in range(25)), y) for t, y in rows]
+    model = toxicity.fit(rows)
+    a, b, c = (toxicity.score_text(f"{w} are", model) for w in ("immigrants", "refugees", "asian"))
+    assert max(a, b, c) - min(a, b, c) < 0.05
+    assert toxicity.score_text("they are idiots", model) > 0.5
+
+
+def test_swap_is_of_the_whole_feature_set():
+    for text, word, other in [("the muslims pray", "muslims", "christians"), ("immigration of immigrants", "immigrants", "migrant"), ("christian life", "christian", "christians"), ("old men", "men", "trans")]:
+        before, after = (toxicity.features_of(t) for t in (text, text.replace(word, other)))
+        starts = toxicity.Counter(w[:6] for w in toxicity.words_of(text) if len(w) > 6)
+        lost, gained = toxicity._swapped(starts, word, other)
+        assert (set(lost), set(gained)) == (before - after, after - before)
