@@ -157,17 +157,22 @@ def links(fps: DataFrame, block: int = 4096) -> DataFrame:
     return sorted_lists.mapInArrow(run, "u long, v long").distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every row.
-
-    A class is named by its least doc_id.
-    """
+def _classes(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of every row, and (fp, root, component_id) of every fingerprint."""
     prints = cut(fingerprints(docs, words))
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(distinct.select("fp")))
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(names, "root").select("fp", "component_id")
+    return prints, named.join(names, "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every row.
+
+    A class is named by its least doc_id.
+    """
+    prints, named = _classes(docs, words)
     fingerprint_hex = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return prints.join(named, "fp").select("doc_id", fingerprint_hex, "component_id")
 
@@ -175,16 +180,19 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
 def one_of_each(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """One row of docs for each class: that of its least doc_id.
 
-    Rows that repeat that doc_id are told apart by their text; of rows alike
-    in both one stays. A class whose ids are all null keeps all its rows.
+    Rows that repeat that doc_id are told apart by their class and their text;
+    of rows alike in both one stays. A class whose ids are all null keeps all
+    its rows.
     """
     apart, names = set_apart(docs, {"doc_id", "text"})
-    classes = near_duplicates(apart, words)
-    kept = classes.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
+    prints, named = _classes(apart, words)
+    kept = prints.join(named, "fp").groupBy("doc_id").agg(F.count("*").alias("rows"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("names")).where("names")
     rows = apart.join(kept, "doc_id")
     once = rows.where("rows = 1").select(*names)
     repeated = rows.where("rows > 1").withColumn("digest", F.xxhash64("text"))
-    least = repeated.groupBy("doc_id").agg(F.min("digest").alias("digest"))
-    repeated = repeated.join(least, ["doc_id", "digest"]).dropDuplicates(["doc_id"]).select(*names)
+    texts = repeated.select(F.struct("doc_id", "digest").alias("doc_id"), "text").dropDuplicates(["doc_id"])
+    least = fingerprints(texts, words).select("doc_id.*", "fp").join(named, "fp").where("doc_id = component_id")
+    least = least.groupBy("doc_id", "root").agg(F.min("digest").alias("digest")).select("doc_id", "digest")
+    repeated = repeated.join(least, ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"]).select(*names)
     nameless = apart.where(F.col("doc_id").isNull()).select(*names)
     return once.unionByName(repeated).unionByName(nameless).toDF(*docs.columns)

@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from tessera.llm import embed_dedup, mixing, queries, toxicity
+from tessera.llm import embed_dedup, mixing, queries, simhash, toxicity
 
 
 def lone_pairs(n_pairs, n_single, common, seed):
@@ -73,3 +73,12 @@ def test_swap_is_of_the_whole_feature_set():
         starts = toxicity.Counter(w[:6] for w in toxicity.words_of(text) if len(w) > 6)
         lost, gained = toxicity._swapped(starts, word, other)
         assert (set(lost), set(gained)) == (before - after, after - before)
+
+
+def test_every_class_keeps_a_row_where_ids_repeat(spark):
+    rng = random.Random(3)
+    a, b, c = (" ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(60)) for _ in range(3))
+    # id 1 names two classes; one row of id 5 names a class, the other is a copy of id 2
+    rows = [(1, a), (1, b), (1, b), (3, a), (4, b), (5, c), (2, "other text"), (5, "other text"), (6, c)]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept)) == sorted([(1, a), (1, b), (2, "other text"), (5, c)])
