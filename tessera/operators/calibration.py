@@ -79,16 +79,18 @@ def order_invariance(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.agg(F.avg(F.when(F.col(a) == F.col(b), 1.0).otherwise(0.0)).alias("agreement"), F.count("*").alias("n"))
 
 
-def determinism_audit(outputs: DataFrame) -> DataFrame:
+def determinism_audit(outputs: DataFrame, by_repeats: bool = False) -> DataFrame:
     """Prompts whose repeats all agree, and the regime: D if all do, else S.
 
     outputs: (prompt, output). Prompts of unequal repeats, or of one, give the regime INVALID.
+    With `by_repeats`, a row for each number of repeats.
     """
     per = outputs.groupBy("prompt").agg(F.count("*").alias("repeats"), F.count_distinct("output").alias("kinds"))
-    out = per.agg(F.count("*").alias("n_prompts"), F.min("repeats").alias("repeats"), F.max("repeats").alias("_most"), F.count_if(F.col("kinds") > 1).alias("n_disagreeing"))
+    groups = per.groupBy(F.col("repeats").alias("_group")) if by_repeats else per.groupBy()
+    out = groups.agg(F.count("*").alias("n_prompts"), F.min("repeats").alias("repeats"), F.max("repeats").alias("_most"), F.count_if(F.col("kinds") > 1).alias("n_disagreeing"))
     out = out.withColumn("exact_agreement_rate", 1 - F.col("n_disagreeing") / F.nullif("n_prompts", F.lit(0)))
     invalid = F.col("repeats").isNull() | (F.col("repeats") != F.col("_most")) | (F.col("repeats") < 2)
-    return out.withColumn("regime", F.when(invalid, "INVALID").when(F.col("exact_agreement_rate") >= 1.0, "D").otherwise("S")).drop("_most")
+    return out.withColumn("regime", F.when(invalid, "INVALID").when(F.col("exact_agreement_rate") >= 1.0, "D").otherwise("S")).drop("_most", "_group")
 
 
 def reproducibility_regime(outcomes: DataFrame, inputs: int = AUDIT_INPUTS, repeats: int = AUDIT_REPEATS) -> DataFrame:

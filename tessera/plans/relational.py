@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.functions.draws import draw, draw_sql
 from tessera.operators import calibration, design, estimands, inference, learning, validation
@@ -427,13 +427,11 @@ def _repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("input_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("repeat"), F.col("l_returnflag").alias("output"), F.col("l_linestatus").alias("outcome"), F.col("l_discount").alias("value"), "l_partkey")
 
 
-@query(f"""WITH p AS (SELECT p AS prompt, count(*) AS m, count(DISTINCT o) AS k FROM (SELECT l_orderkey AS p, l_linestatus AS o FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) <= 2) GROUP BY p HAVING count(*) = 2)
-    SELECT count(*) AS n_prompts, min(m) AS repeats, count(*) FILTER (k > 1) AS n_disagreeing, {r9("1 - count(*) FILTER (k > 1) / CAST(count(*) AS DOUBLE)", "exact_agreement_rate")}, CASE WHEN count(*) FILTER (k > 1) = 0 THEN 'D' ELSE 'S' END AS regime FROM p""")
+@query(f"""WITH p AS (SELECT p AS prompt, count(*) AS m, count(DISTINCT o) AS k FROM (SELECT l_orderkey AS p, l_linestatus AS o FROM lineitem) GROUP BY p)
+    SELECT count(*) AS n_prompts, m AS repeats, count(*) FILTER (k > 1) AS n_disagreeing, {r9("1 - count(*) FILTER (k > 1) / CAST(count(*) AS DOUBLE)", "exact_agreement_rate")}, CASE WHEN m < 2 THEN 'INVALID' WHEN count(*) FILTER (k > 1) = 0 THEN 'D' ELSE 'S' END AS regime FROM p GROUP BY m""")
 def determinism_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
-    n = F.count("*").over(W.partitionBy("l_orderkey"))
-    two = read(spark, sf_dir, "lineitem").withColumn("k", place).withColumn("n", n).where("k <= 2 AND n >= 2")
-    return rounded(calibration.determinism_audit(two.select(F.col("l_orderkey").alias("prompt"), F.col("l_linestatus").alias("output"))))
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("prompt"), F.col("l_linestatus").alias("output"))
+    return rounded(calibration.determinism_audit(lines, by_repeats=True))
 
 
 @query(f"""WITH {_REPEATS}, p AS (SELECT count(*) AS m, count(DISTINCT outcome) AS k FROM rep GROUP BY input_id)

@@ -47,3 +47,10 @@ def test_every_supplier_counts(spark, name, tmp_path):
         assert {r.n_documents for r in found} == {400} and all(r.directional_win for r in found)
     else:
         assert found[0].permitted and found[0].n_wins == 4
+
+
+def test_every_line_is_audited(spark, duck):
+    found = catalog.queries()["determinism_audit"](spark, SF).collect()
+    assert sum(r.n_prompts * r.repeats for r in found) == duck.execute("SELECT count(*) FROM lineitem").fetchone()[0]
+    want = duck.execute("SELECT count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_linestatus) > 1)").fetchone()[0]
+    assert sum(r.n_disagreeing for r in found) == want
