@@ -380,7 +380,7 @@ def targeting_cov(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def knapsack_gstar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return calibration.targeting(_candidates(spark, sf_dir), 60, draws=64)
+    return calibration.targeting(_candidates(spark, sf_dir), 60)
 
 
 @query(f"""WITH {ORDER_ATOMS} SELECT count(*) AS n_pairs, {r9("avg(abs(discount - tax))", "mean_abs_interaction")}, {r9("avg(abs(d_plus - r_minus))", "mean_abs_delta")},

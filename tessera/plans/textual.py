@@ -63,7 +63,7 @@ def sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def source_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.source_frames(_documents(spark, sf_dir), 200)
+    return T.source_frames(_documents(spark, sf_dir), 2000)
 
 
 @query()

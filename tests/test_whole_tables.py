@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import inspect
+
 import duckdb
 import pytest
 
-from tessera.plans import catalog
+from tessera.operators.calibration import targeting
+from tessera.plans import catalog, relational
 from tests.conftest import SF
 from tests.test_oracle import TABLES, rows
 
@@ -54,3 +57,11 @@ def test_every_line_is_audited(spark, duck):
     assert sum(r.n_prompts * r.repeats for r in found) == duck.execute("SELECT count(*) FROM lineitem").fetchone()[0]
     want = duck.execute("SELECT count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_linestatus) > 1)").fetchone()[0]
     assert sum(r.n_disagreeing for r in found) == want
+
+
+def test_frames_and_fills_have_the_operators_own_sizes(spark, monkeypatch):
+    assert {r.window_tokens for r in catalog.queries()["source_frames"](spark, "/root/testdata/sf0.001").select("window_tokens").distinct().collect()} == {2000}
+    seen = {}
+    monkeypatch.setattr(relational.calibration, "targeting", lambda *a, **k: seen.update(inspect.signature(targeting).bind(*a, **k).arguments))
+    relational.knapsack_gstar(spark, "/root/testdata/sf0.001")
+    assert seen.get("draws", 512) == 512
