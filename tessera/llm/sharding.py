@@ -1,10 +1,16 @@
 """Sharding along a Hilbert curve over document metadata.
 
-Language, source and size class are each quantised to five bits. Rows are
-sorted by their index on the Hilbert curve through that grid, then by the
-crc32 of the text and doc_id, and the order is cut into runs. Neighbours on
-the curve differ little in any dimension, so each shard's minima and maxima
-are narrow in all three and a reader can skip shards by any of them.
+Language, source and size are each quantised to five bits, in their own order:
+languages and sources by the place of the value among all values met, sizes by
+quantiles of the rows. Rows are sorted by their index on the Hilbert curve
+through that grid, then by the crc32 of the text and doc_id, and the order is
+cut into runs. Neighbours on the curve differ little in any dimension, so a
+reader can skip shards by the minima and maxima of any of the three; only a
+value with most of the rows opens most shards.
+
+The values met are ranked as a table, which is broadcast only where it has at
+most SMALL_VALUES rows and SMALL_BYTES bytes, else joined by a shuffle. The
+driver holds 31 size limits.
 
 The law is `rows`: shard sizes differ by one row at most. Equal texts of like
 metadata stand together; a group larger than a shard is cut like any other
@@ -21,9 +27,12 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import ranked
+from .common import cut, ranked
 
 BITS = 5
+CLASSES = 1 << BITS
+#: A table of values larger than either is not broadcast.
+SMALL_VALUES, SMALL_BYTES = 100_000, 10 << 20
 
 
 def hilbert_index(axes: list[np.ndarray], bits: int) -> np.ndarray:
@@ -64,8 +73,13 @@ def hilbert_index(axes: list[np.ndarray], bits: int) -> np.ndarray:
     return out
 
 
-def _class_of(value: Column) -> Column:
-    return F.coalesce(F.crc32(value.cast("string").cast("binary")) % F.lit((1 << BITS) - 1) + F.lit(1), F.lit(0))
+def _with_class(rows: DataFrame, met: DataFrame, column: str, name: str) -> DataFrame:
+    """rows with the class of a column's value: its place among the values met, scaled to the grid; nulls come first."""
+    placed = ranked(met.select(F.col(column).alias("_value")).distinct(), [F.col("_value")], "_place")
+    n, held = placed.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col("_value").cast("string"))), F.lit(0))).first()
+    values = placed.select("_value", F.expr(f"cast(_place * {CLASSES} div {max(1, n)} as long)").alias(name))
+    values = F.broadcast(values) if n <= SMALL_VALUES and held <= SMALL_BYTES else values
+    return rows.join(values, F.col(column).eqNullSafe(F.col("_value"))).drop("_value")
 
 
 def _curve(batches):
@@ -81,8 +95,12 @@ def hilbert_shards(docs: DataFrame, shards: int = 24) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     size = F.octet_length(text).cast("long") + 8
     rows = docs.select("doc_id", "lang", "source", size.alias("size"), F.crc32(text).alias("text_crc32"))
-    size_class = F.least(F.floor(F.log2(F.col("size").cast("double"))), F.lit((1 << BITS) - 1)).cast("long")
-    classes = rows.select("doc_id", "size", "text_crc32", _class_of(F.col("lang")).alias("a"), _class_of(F.col("source")).alias("b"), size_class.alias("c"))
+    limits = rows.approxQuantile("size", [i / CLASSES for i in range(1, CLASSES)], 0.001)
+    size_class = sum((F.when(F.col("size") > limit, 1).otherwise(0) for limit in limits), F.lit(0)).cast("long")
+    met = cut(rows.select("lang", "source").distinct())
+    for column, name in (("lang", "a"), ("source", "b")):
+        rows = _with_class(rows, met, column, name)
+    classes = rows.select("doc_id", "size", "text_crc32", "a", "b", size_class.alias("c"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = classes.mapInArrow(_curve, f"doc_id {kind}, size long, text_crc32 long, curve long")
     order = [F.col(c) for c in ("curve", "text_crc32", "doc_id", "size")]

@@ -77,6 +77,18 @@ def test_shards(spark, docs):
     assert got.curve.is_monotonic_increasing
 
 
+def test_shards_are_pruned_by_every_column(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = duckdb.sql(f"SELECT doc_id, lang, source FROM '{sf}/documents.parquet'").df()
+    got = Q.QUERIES["op4_hilbert_shards"](spark, sf).toPandas().merge(docs, on="doc_id")
+    opened = {}
+    for column in ("lang", "source", "size"):
+        ends = got.groupby("shard")[column].agg(["min", "max"])
+        values = np.quantile(got["size"], np.arange(0.05, 1, 0.1)) if column == "size" else docs[column].unique()
+        opened[column] = np.mean([((ends["min"] <= v) & (v <= ends["max"])).mean() for v in values])
+    assert opened["lang"] <= 0.5 and opened["source"] <= 0.45 and opened["size"] <= 0.5
+
+
 def test_mixture(spark):
     for name in ("documents", "labels"):
         duckdb.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
