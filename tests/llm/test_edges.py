@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,6 +93,38 @@ def test_scorers(odd, empty, labels, operator):
     assert ids(operator(odd, labels.limit(0))) == ALL
 
 
+def brute_bag(text, s):
+    """A text's features one by one: words, pairs, equal pairs and n-grams, hashed alone in buffers of their own."""
+    from collections import Counter
+
+    words = quality._plain(text).tobytes().split()
+    kinds = lambda data: quality.features(np.frombuffer(b" " + data + b" ", dtype=np.uint8), s)[0]
+    one = lambda data, kind: kinds(data)[kind][1] if kind < len(kinds(data)) else np.zeros(0, dtype=int)
+    bag = Counter()
+    for w in words:
+        bag.update(one(w, 0).tolist())
+        bag.update(i for kind in range(3, 3 + s.high - s.low + 1) for i in one(w, kind).tolist())
+    for a, b in zip(words, words[1:]):
+        bag.update(one(a + b" " + b, 1).tolist())
+        bag.update(one(b"x x", 2).tolist() if a == b else [])
+    return bag
+
+
+def test_subword_scores_are_the_mean_of_all_features(monkeypatch):
+    rng = random.Random(9)
+    texts = [b"", b" \n", b"a", b"b b b", b"\x00 x\x00y", "é ü é é".encode()] + [" ".join(rng.choice(["ab", "abc", "x", "ab"]) for _ in range(rng.randint(1, 80))).encode() for _ in range(30)]
+    s = quality.Settings(1 << 12, 3, 5)
+    model = quality.SubwordModel(np.random.default_rng(1).normal(size=s.buckets).astype(np.float32), 0.25, s)
+    want = []
+    for t in texts:
+        bag = brute_bag(t, s)
+        want.append(0.25 + sum(n * float(model.weight[i]) for i, n in bag.items()) / max(1, sum(bag.values())))
+    for size in (1 << 20, 50):  # texts longer than a buffer go in pieces
+        monkeypatch.setattr(quality, "BUFFER", size)
+        p = quality.score_texts(texts, model)
+        assert np.log(p / (1 - p)) == pytest.approx(want, rel=1e-5, abs=1e-5)
+
+
 def test_language(odd, empty):
     got = langid.languages(odd)
     assert ids(got) == ALL
