@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,11 +19,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Only where the session sets none (tests on one machine) is one made here.
+    Only where the session sets none and runs on one machine (tests) is one
+    made here; on a cluster it must be set.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not context.getCheckpointDir():
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = folder or tempfile.mkdtemp(prefix="tessera-")
         context.setCheckpointDir(folder)
     return folder or context.getCheckpointDir()
@@ -86,20 +89,35 @@ def ranked(df: DataFrame, order: list[Column], rank: str) -> DataFrame:
     return joined.withColumn(rank, place).drop("_part", "_before", "_at")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: int, parts: int, most: int) -> list[tuple[bytes, int]]:
-    """At most `most` labelled texts outside the held-out fold, on the driver.
+def texts_within(rows: DataFrame, keys: list[str], listed: list[Row], most_bytes: int) -> list[Row]:
+    """(keys, _text) of the listed rows (keys, _hash, _size) on the driver, one of each; those that fit into most_bytes, in their order."""
+    taken, left = [], most_bytes
+    for r in listed:
+        if r["_size"] <= left:
+            left -= r["_size"]
+            taken.append((*(r[k] for k in keys), r["_hash"]))
+    if not taken:
+        return []
+    wanted = rows.sparkSession.createDataFrame(taken, rows.select(*keys, "_hash").schema)
+    found = rows.join(F.broadcast(wanted), [*keys, "_hash"]).select(*keys, "_hash", "_text")  # as many rows as were listed, at most
+    return found.dropDuplicates([*keys, "_hash"]).drop("_hash").collect()
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: int, parts: int, most: int, most_bytes: int = 64 << 20) -> list[tuple[bytes, int]]:
+    """At most `most` labelled texts outside the held-out fold, of at most most_bytes together, on the driver.
 
     Rows come in the order of a hash of doc_id, so the sample depends neither
-    on the number of partitions nor on the order of the rows. `most` bounds
-    what reaches the driver whatever the size of the tables. Null labels, null
-    ids and rows of the fold are left out; a doc_id labelled twice counts once
-    for each label.
+    on the number of partitions nor on the order of the rows. Both bounds hold
+    whatever the size of the tables and however often an id or a row repeats;
+    a text that no longer fits is passed over. Null labels, null ids and rows
+    of the fold are left out; of rows alike in id, text and label one counts.
     """
     kept = labels.select("doc_id", F.col(label).cast("int").alias("_y")).where(
         F.col("_y").isin(0, 1) & (bucket_of(F.col("doc_id"), parts) != fold)
     )
     picked = kept.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "_y").limit(most)
     texts = docs.select("doc_id", utf8(F.col("text")).alias("_text"))
-    rows = texts.join(F.broadcast(picked), "doc_id").collect()
-    rows = sorted({(r["doc_id"], bytes(r["_text"]), r["_y"]) for r in rows})
-    return [(text, y) for _, text, y in rows]
+    rows = cut(texts.join(F.broadcast(picked), "doc_id").withColumns({"_hash": F.xxhash64("_text"), "_size": F.octet_length("_text")}))
+    listed = rows.select("doc_id", "_y", "_hash", "_size").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "_y", "_hash").limit(most).collect()
+    found = sorted((r["doc_id"], bytes(r["_text"]), r["_y"]) for r in texts_within(rows, ["doc_id", "_y"], listed, most_bytes))
+    return [(text, y) for _, text, y in found]

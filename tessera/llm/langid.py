@@ -22,9 +22,9 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import bucket_of, utf8
+from .common import bucket_of, cut, texts_within, utf8
 
 WORD_CHARACTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
@@ -144,21 +144,25 @@ def predict(texts: list[bytes], trees: ContextTrees) -> tuple[list[str], list[fl
     return lang, [float(p) if k else 0.0 for p, k in zip(share, known)]
 
 
-def language_sample(docs: DataFrame, fold: int, parts: int, most: int) -> dict[str, list[bytes]]:
-    """Whole texts of each language outside the fold, about `most` of each.
+def language_sample(docs: DataFrame, fold: int, parts: int, most: int, most_languages: int = 256, most_bytes: int = 64 << 20) -> dict[str, list[bytes]]:
+    """Whole texts of each language outside the fold: at most `most` of each, of the most frequent languages, of most_bytes together.
 
-    A text is taken where a hash of doc_id falls below the share that `most`
-    is of its language's rows, so no language's rows meet in one task; what
-    reaches the driver is bounded by `most` and the number of languages.
+    A text is a candidate where a hash of doc_id and text falls below twice the share
+    that `most` is of its language's rows, so no language's rows meet in one
+    task; of rows alike in id and text one counts. The bounds are those of
+    what reaches the driver; a text that no longer fits is passed over.
     """
     used = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (bucket_of(F.col("doc_id"), parts) != fold))
-    sizes = used.groupBy("lang").agg(F.count("*").alias("_n"))
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) * F.col("_n")
-    kept = used.select("doc_id", "lang", "text").join(F.broadcast(sizes), "lang").where(draw < most * 1_000_000)
+    sizes = used.groupBy("lang").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "lang").limit(most_languages)
+    draw = F.pmod(F.xxhash64("doc_id", "_text"), F.lit(1_000_000))
+    kept = used.select("doc_id", "lang", utf8(F.col("text")).alias("_text")).join(F.broadcast(sizes), "lang").where(draw * F.col("_n") < 2 * most * 1_000_000)
+    rows = cut(kept.select("doc_id", "lang", "_text", F.xxhash64("_text").alias("_hash"), F.octet_length("_text").alias("_size")))
+    first = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "_hash"))
+    listed = rows.select("doc_id", "lang", "_hash", "_size").distinct().withColumn("_place", first).where(F.col("_place") <= most)
+    listed = listed.orderBy("_place", "lang").limit(most * most_languages).collect()
     out: dict[str, list[bytes]] = {}
-    for r in sorted(kept.select("doc_id", "lang", utf8(F.col("text")).alias("t")).collect(), key=lambda r: (r["lang"], r["doc_id"])):
-        if len(got := out.setdefault(r["lang"], [])) < 2 * most:
-            got.append(bytes(r["t"]))
+    for r in sorted(texts_within(rows, ["doc_id", "lang"], listed, most_bytes), key=lambda r: (r["lang"], r["doc_id"], bytes(r["_text"]))):
+        out.setdefault(r["lang"], []).append(bytes(r["_text"]))
     return out
 
 

@@ -288,6 +288,38 @@ def test_decontamination(spark, odd, empty):
     assert decontam.drop_contaminated(odd, bench.limit(0)).count() == len(ALL) and decontam.drop_contaminated(empty, bench).count() == 0
 
 
+def test_shift_tables_find_every_occurrence():
+    rng = random.Random(12)
+    for _ in range(200):
+        words = [b"a", b"b", b"c", b"d"][: rng.randint(2, 4)]
+        items = [(str(i % 7), b" ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 2, 3, 5, 9])))) for i in range(12)]
+        text = [rng.choice([*words, b"z"]) for _ in range(rng.randint(0, 30))]
+        spans, names = set(), set()
+        for item, t in items:
+            w = t.split()
+            m = min(4, len(w))
+            for i in range(len(w) - m + 1 if m else 0):
+                for at in range(len(text) - m + 1):
+                    if text[at : at + m] == w[i : i + m]:
+                        spans.add((at, at + m))
+                        names.add(item)
+        found, items_found = decontam.PatternSet(items, 4).search(text)
+        assert (set(found), items_found) == (spans, names)
+
+
+def test_samples_keep_their_bounds(spark):
+    from tessera.llm.common import labelled_sample
+
+    docs = docs_of(spark, [(1, f"text {i} " + "x" * 100, "en", "s") for i in range(300)] + [(i, f"other {i}", "de" if i % 2 else "fr", "s") for i in range(2, 200)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    rows = labelled_sample(docs, labels, "quality", 1, 3, 50)
+    assert len(rows) == 50 and rows == labelled_sample(docs.repartition(7), labels, "quality", 1, 3, 50)
+    assert 0 < sum(len(t) for t, _ in labelled_sample(docs, labels, "quality", 1, 3, 500, most_bytes=1000)) <= 1000
+    texts = langid.language_sample(docs, 1, 3, 20)
+    assert set(texts) == {"en", "de", "fr"} and all(0 < len(t) <= 20 for t in texts.values())
+    assert set(langid.language_sample(docs, 1, 3, 20, most_languages=1)) == {"en"}
+
+
 def test_toxic_rows_go_and_columns_stay(odd, labels):
     kept = toxicity.drop_toxic(odd, labels, limit=1.1)
     assert kept.columns == odd.columns and ids(kept) == ALL
