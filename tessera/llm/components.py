@@ -21,7 +21,8 @@ def components(edges: DataFrame) -> DataFrame:
     Each round links the larger neighbours of a node to the least node of its
     neighbourhood, then the smaller ones (large star, small star). Rounds grow
     with the logarithm of the longest chain. Only a count and a checksum reach
-    the driver. Loops and repeated links are allowed; an empty table gives no
+    the driver. The least neighbours are tables of their own, not aggregates in
+    the joins' stages, so that Spark can split the rows of a star's centre. Loops and repeated links are allowed; an empty table gives no
     rows.
     """
     edges = edges.select("u", "v").where("u <> v")
@@ -31,10 +32,11 @@ def components(edges: DataFrame) -> DataFrame:
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
-        least = least.select("u", F.least("u", "m").alias("m"))
+        least = cut(least.select("u", F.least("u", "m").alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = cut(large)
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         edges = cut(small)

@@ -162,8 +162,9 @@ def _classes(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
     prints = cut(fingerprints(docs, words))
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(distinct.select("fp")))
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = cut(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    # a table of its own, not an aggregate in the join's stage: so Spark can split the rows of a large class
+    names = cut(named.groupBy("root").agg(F.min("least").alias("component_id")))
     return prints, named.join(names, "root").select("fp", "root", "component_id")
 
 
