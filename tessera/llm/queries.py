@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import decontam, embed_dedup, langid, mixing, quality, sharding, simhash, substr_dedup, token_counts, toxicity
-from .common import new_folder, read
+from .common import discard, new_folder, read
 
 MIX = {"share": 0.8, "temper": 0.7, "rounds": 6, "seed": 11}
 
@@ -14,10 +14,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts; the digest cache starts empty in a folder of this run's own."""
     import public_tokenizers
 
+    store = new_folder(spark, "token-cache")
     counted = token_counts.token_counts(
-        read(spark, sf_dir, "documents"), new_folder(spark, "token-cache"),
+        read(spark, sf_dir, "documents"), store,
         public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
     )
+    discard(spark, store)  # its counts are in a table of their own by now, and no later run reads this store
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
