@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tessera.functions.matching import find_spans
+from tessera.functions.matching import read
 
 # The wording of prompts and slots, by role.
 
@@ -115,20 +115,17 @@ def masked_context(text: str, value: str, role: str, start: int, end: int) -> st
     low, high = _segment(text, start, end)
     if high - low > SENTENCE_CHARS:
         low, high = max(0, start - WINDOW_CHARS), min(len(text), end + WINDOW_CHARS)
-    sides = []
-    for side in (text[low:start], text[end:high]):
-        at, out = 0, ""
-        for a, b in find_spans(side, value, role):
-            out += side[at:a] + EQUIVALENT
-            at = b
-        sides.append(out + side[at:])
+    sides = [side.replaced(side.spans(value, role), EQUIVALENT) for side in (read(text[low:start]), read(text[end:high]))]
     return " ".join(f"{sides[0]}{TARGET}{sides[1]}".split())
 
 
 def masked_context_col(text, value, role, start, end) -> Column:
+    """Null where any part is null."""
+
     @F.pandas_udf("string")
     def run(t: pd.Series, v: pd.Series, r: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([masked_context(*row) for row in zip(t, v, r, a, b)])
+        rows = zip(t, v, r, a, b)
+        return pd.Series([None if any(x is None or x != x for x in row) else masked_context(*row[:3], int(row[3]), int(row[4])) for row in rows], dtype=object)
 
     return run(text, value, role, start, end)
 

@@ -100,7 +100,7 @@ def disclosures_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {COMPOSED} SELECT document_id, role, canonical_value, CAST(n AS INT) AS occurrence_count FROM facts")
 def atomize_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.atoms_of(disclosures(spark, sf_dir)).select("document_id", "role", "canonical_value", "occurrence_count")
+    return A.atoms_of(disclosures(spark, sf_dir), ("document_id", "role", "canonical_value", "occurrence_count"))
 
 
 @query("SELECT CAST(0 AS BIGINT) AS n_violations")
@@ -154,12 +154,15 @@ def transmitted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.select("document_id", "role", "canonical_value", M.transmitted_col("message", "canonical_value", "role").alias("transmitted"))
 
 
+_FOCAL_COLUMNS = ("document_id", "atom_id", "role", "canonical_value")
+
+
 def _edited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = design.select_focal(A.atoms_of(disclosures(spark, sf_dir)), 7).join(_head_messages(spark, sf_dir), "document_id")
+    """Focal facts with their presence in the relay's message, the edit that makes the missing arm, and both texts' answers."""
+    facts = design.select_focal(A.atoms_of(disclosures(spark, sf_dir), _FOCAL_COLUMNS), 7).join(_head_messages(spark, sf_dir), "document_id")
     facts = facts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "document_id")  # Python work on small rows: not to be merged into few tasks
-    facts = facts.withColumn("transmitted", M.transmitted_col("message", "canonical_value", "role"))
-    line = A.render(F.col("role"), F.col("canonical_value"))
-    return facts.withColumn("edit", M.counterfactual_col("message", "canonical_value", "role", "transmitted", line, 60))
+    lines = facts.withColumn("line", A.render(F.col("role"), F.col("canonical_value")))
+    return M.outcomes(lines, "message", "canonical_value", "role", "line", 60)
 
 
 @query()
@@ -189,20 +192,12 @@ def allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
 # The mock study, end to end.
 
 
-def _stated(message: F.Column, role: F.Column, value: F.Column) -> F.Column:
-    """Whether a receiver that reads the message can name the value."""
-    return M.recovered_col(message, value, role)
-
-
 @query()
 def mock_study(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames, facts, focal draws, relay, edits, receiver and the decomposition by role."""
     edited = _edited(spark, sf_dir).where("edit.accepted")
     prior = F.when(draw("prior", F.col("role"), F.col("canonical_value")) % 10 < 2, 1.0).otherwise(0.0)
-    answers = edited.select(
-        "document_id", "atom_id", "role", "pi", "transmitted", prior.alias("prior"),
-        _stated(F.col("message"), F.col("role"), F.col("canonical_value")).alias("natural"), _stated(F.col("edit.text"), F.col("role"), F.col("canonical_value")).alias("other"),
-    )
+    answers = edited.select("document_id", "atom_id", "role", "pi", "transmitted", prior.alias("prior"), "natural", "other")
     answer = lambda c: F.when(F.col(c) == 1, 1.0).otherwise(F.col("prior"))
     with_it = F.when(F.col("transmitted") == 1, answer("natural")).otherwise(answer("other"))
     without = F.when(F.col("transmitted") == 1, answer("other")).otherwise(answer("natural"))

@@ -30,32 +30,51 @@ def test_canonical(value, role, want):
     ("revenue was $127.2 million in FY2024", "$127.2|million", "numeric", True), ("see Note 12", "Note 1", "provenance", False),
 ])
 def test_transmitted(message, value, role, want):
-    assert M.is_transmitted(message, value, role) is want
+    assert M.read(message).says(value, role) is want
 
 
 def test_delete_removes_every_form():
-    edit = M.delete("Margin rose 6.2% in Europe, and 6.20 % overall.", "6.2%", "numeric")
+    edit = M.edit("delete", "Margin rose 6.2% in Europe, and 6.20 % overall.", "6.2%", "numeric")
     assert edit.accepted and edit.occurrences == 2 and not M.find_spans(edit.text, "6.2%", "numeric") and "Europe" in edit.text
 
 
 def test_refusals_are_rows():
-    assert M.delete("nothing here", "6.2%", "numeric").reason == "absent"
-    assert M.delete("rose from 6.2% to 7%", "6.2%", "numeric").reason == "entangled"
-    assert M.insert("Margin 6.2%", "6.2%", "numeric", "- numeric: 6.2%").reason == "present"
-    assert M.insert("Margin", "6.2%", "numeric", "- nothing").reason == "undetected"
+    assert M.edit("delete", "nothing here", "6.2%", "numeric").reason == "absent"
+    assert M.edit("delete", "rose from 6.2% to 7%", "6.2%", "numeric").reason == "entangled"
+    assert M.edit("insert", "Margin 6.2%", "6.2%", "numeric", "- numeric: 6.2%").reason == "present"
+    assert M.edit("insert", "Margin", "6.2%", "numeric", "- nothing").reason == "undetected"
 
 
 def test_insert_overruns_and_round_trips():
-    edit = M.insert("A note.", "FY2023", "period", "- period: FY2023", budget=3)
+    edit = M.edit("insert", "A note.", "FY2023", "period", "- period: FY2023", budget=3)
     assert edit.accepted and edit.overrun_tokens > 0 and edit.text.startswith("A note.\n")
-    assert M.delete(edit.text, "FY2023", "period").accepted
+    assert M.edit("delete", edit.text, "FY2023", "period").accepted
 
 
 def test_shams_keep_the_value():
-    assert M.sham_delete("Margin 6.2% up", "6.2%", "numeric", "6.20%").accepted
-    assert M.sham_delete("Margin 6.2% up", "6.2%", "numeric", "7%").reason == "destroyed"
-    assert M.sham_insert("Margin 6.2% up", "6.2%", "numeric", "- scope: Europe").accepted
-    assert M.sham_insert("Margin", "6.2%", "numeric", "6.2%").reason == "availability_changed"
+    assert M.edit("sham_delete", "Margin 6.2% up", "6.2%", "numeric", "6.20%").accepted
+    assert M.edit("sham_delete", "Margin 6.2% up", "6.2%", "numeric", "7%").reason == "destroyed"
+    assert M.edit("sham_insert", "Margin 6.2% up", "6.2%", "numeric", "- scope: Europe").accepted
+    assert M.edit("sham_insert", "Margin", "6.2%", "numeric", "6.2%").reason == "availability_changed"
+
+
+def test_columns_follow_the_functions_and_keep_nulls(spark):
+    rows = [("Margin 6.2% up in Europe", "6.2%", "numeric", "- numeric: 6.2%"), ("Margin", "6.2%", "numeric", "- numeric: 6.2%"), (None, "x", "scope", "l"), ("m", None, "scope", "l"), ("m", "v", None, "l"), ("see EMEA.", "EMEA", "scope", None)]
+    df = spark.createDataFrame(rows, "m string, v string, r string, x string")
+    got = M.outcomes(df, "m", "v", "r", "x", 60).collect()
+    for row, g in zip(rows, got):
+        if None in row:
+            assert (g.transmitted, g.edit, g.natural, g.other) == (None, None, None, None)
+        else:
+            want = M.outcome(*row, 60)
+            assert (g.transmitted, g.edit.text, g.edit.reason, g.natural, g.other) == (want.transmitted, want.edit.text, want.edit.reason, want.natural, want.other)
+    some = df.withColumn("t", M.transmitted_col("m", "v", "r")).withColumn("e", M.counterfactual_col("m", "v", "r", "t", "x", 60)).withColumn("a", M.recovered_col("m", "v", "r"))
+    found = some.select("*", M.canonical_col("v", "r").alias("c"), M.spans_col("m", "v", "r").alias("s"), M.sham_col("sham_insert", "m", "v", "r", "x").alias("sham")).collect()
+    for row, f, g in zip(rows, found, got):
+        assert f.t == (None if None in row[:3] else int(M.read(row[0]).says(*row[1:3]))) and f.a == (None if None in row[:3] else g.natural if None not in row else 1)
+        assert (f.e is None or f.e.accepted is None) == (None in row) and (f.e.text if f.e else None) == (g.edit.text if g.edit else None)
+        assert (f.s is None) == (None in row[:3]) and (f.sham is None or f.sham.accepted is None) == (None in row)
+    assert found[0].c == "6.2%" and [tuple(x) for x in found[0].s] == [(7, 11)]
 
 
 def test_atoms_cover_five_roles_and_merge():
@@ -69,7 +88,7 @@ def test_atoms_cover_five_roles_and_merge():
 
 def test_longest_span_wins():
     found = A.without_overlaps(list(A.candidates("in Q2 FY1996")))
-    assert [c[3] for c in found] == ["FY1996Q2"]
+    assert [f.value for f in found] == ["FY1996Q2"]
 
 
 def test_normal_form_is_idempotent():
