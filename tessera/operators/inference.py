@@ -1,12 +1,20 @@
 """Document-clustered bootstrap, verdicts and agreement statistics.
 
 Every bootstrapped statistic is a ratio of sums over documents, so a replicate
-needs only each document's sums, not its rows. A replicate's draw of documents
-is a hash of (seed, replicate, draw), the same in any engine.
+needs only each document's sums and how often it draws the document. Those
+draws are independent Poisson numbers of mean one, to which the numbers of
+times that n draws of n documents take each tend. A hash of the document times
+one of the replicate gives each, in any engine, on any partitioning. So all
+replicates come from one pass over the documents, as a matrix product in each
+task, without a join, a place or a count of them, and what is shuffled are sums
+for each replicate.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tessera.functions.draws import draw
@@ -16,16 +24,60 @@ FINAL_REPLICATES, SMOKE_REPLICATES = 10_000, 200
 Z95 = 1.959963984540054
 
 
-def document_draws(n: int, replicates: int, seed: int, spark) -> DataFrame:
-    """(replicate, idx, times): how often each replicate draws each of n documents."""
-    grid = spark.range(replicates * n).select(F.floor(F.col("id") / n).cast("long").alias("replicate"), (F.col("id") % n).alias("_i"))
-    drawn = grid.select("replicate", (draw(seed, F.col("replicate"), F.col("_i")) % n).alias("idx"))
-    return drawn.groupBy("replicate", "idx").agg(F.count("*").alias("times"))
+#: Hashes are multiplied modulo this prime; the product's first 15 bits are the draw.
+PRIME, DRAW_BITS = 2**31 - 1, 15
+#: A draw takes a document as often as it reaches one of these: the cumulative Poisson probabilities of mean one.
+TAKEN = tuple(round(2**DRAW_BITS * math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1))) for k in range(7))
+#: Replicates whose draws are held at once, for each document of a batch.
+AT_ONCE = 256
+
 
+def replicate_sums(stats: DataFrame, columns: list[str], replicates: int, seed: int, by: list[str] | None = None, key: str = "document_id") -> DataFrame:
+    """(by, replicate, columns, times): each replicate's sums of the columns, and of the documents taken.
 
-def indexed(stats: DataFrame, key: str = "document_id") -> DataFrame:
-    """stats with idx, the document's place in the sorted order from 0."""
-    return stats.withColumn("idx", (F.row_number().over(W.orderBy(key)) - 1).cast("long"))
+    Rows of one document in different groups are taken equally often. A task
+    gives one row for each of its groups and replicates. A null adds nothing.
+    """
+    by = by or []
+    hashed = stats.select(*by, (draw(seed, F.col(key)) % (PRIME - 1) + 1).alias("_h"), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns))
+    # few rows make much work: a fixed number of tasks is not merged for its few bytes
+    hashed = hashed.repartition(int(stats.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_h")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        reached = np.searchsorted(np.array(TAKEN), np.arange(2**DRAW_BITS), side="right").astype(np.float64)
+        factor = np.array([replicate_hash(seed, r) for r in range(replicates)], dtype=np.uint64)
+        sums: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            groups = list(zip(*(c.to_pylist() for c in batch.columns[: len(by)]))) if by else [()] * batch.num_rows
+            h = batch.column(len(by)).to_numpy().astype(np.uint64)
+            values = np.column_stack([*(c.to_numpy() for c in batch.columns[len(by) + 1 :]), np.ones(len(h))])
+            for group in dict.fromkeys(groups):
+                mine = np.array([g == group for g in groups])
+                total = sums.setdefault(group, np.zeros((replicates, values.shape[1])))
+                for at in range(0, replicates, AT_ONCE):
+                    product = h[mine][:, None] * factor[None, at : at + AT_ONCE] % np.uint64(PRIME)
+                    total[at : at + AT_ONCE] += reached[product >> np.uint64(31 - DRAW_BITS)].T @ values[mine]
+        for group, total in sums.items():
+            names = [pa.array([g] * replicates) for g in group]
+            yield pa.RecordBatch.from_arrays([*names, pa.array(np.arange(replicates)), *(pa.array(x) for x in total.T)], names=[*by, "replicate", *columns, "times"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in stats.schema.fields}
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), "replicate long", *(f"{c} double" for c in [*columns, "times"])])
+    parts = hashed.mapInArrow(run, schema)
+    return parts.groupBy(*by, "replicate").agg(*(F.sum(c).alias(c) for c in [*columns, "times"]))
+
+
+def replicate_hash(seed: int, replicate: int) -> int:
+    digest = hashlib.sha256(f"{seed}|replicate|{replicate}".encode()).hexdigest()
+    return int(digest[:15], 16) % (PRIME - 1) + 1
+
+
+def _interval(values: DataFrame, alpha: float) -> DataFrame:
+    ends = [F.percentile("v", F.lit(p)).alias(name) for p, name in ((alpha / 2, "lower"), (1 - alpha / 2, "upper"))]
+    return values.where("v IS NOT NULL").agg(*ends, F.count("*").alias("n_replicates"))
 
 
 def bootstrap_ratio(stats: DataFrame, numerator: str, denominator: str, replicates: int = FINAL_REPLICATES, seed: int = 0, alpha: float = 0.05) -> DataFrame:
@@ -34,16 +86,13 @@ def bootstrap_ratio(stats: DataFrame, numerator: str, denominator: str, replicat
     stats: one row for each document. Replicates whose denominator is zero
     are left out. No documents at all is an error.
     """
-    n = stats.count()
-    if not n:
+    stats = stats.select("document_id", F.col(numerator).alias("a"), F.col(denominator).alias("b"))
+    ratio = F.col("a") / F.nullif("b", F.lit(0.0))
+    if stats.isEmpty():
         raise ValueError("no documents to resample")
-    placed = indexed(stats.select("document_id", F.col(numerator).alias("a"), F.col(denominator).alias("b")))
-    draws = document_draws(n, replicates, seed, stats.sparkSession)
-    values = draws.join(placed, "idx").groupBy("replicate").agg(F.sum(F.col("times") * F.col("a")).alias("a"), F.sum(F.col("times") * F.col("b")).alias("b"))
-    values = values.select((F.col("a") / F.nullif("b", F.lit(0.0))).alias("v")).where("v IS NOT NULL")
-    point = placed.agg((F.sum("a") / F.sum("b")).alias("point"))
-    bounds = values.agg(F.percentile("v", F.lit(alpha / 2)).alias("lower"), F.percentile("v", F.lit(1 - alpha / 2)).alias("upper"), F.count("*").alias("n_replicates"))
-    return point.crossJoin(bounds).withColumn("n_documents", F.lit(n).cast("long"))  # one row each
+    point = stats.agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.count("*").alias("n_documents"))
+    values = replicate_sums(stats, ["a", "b"], replicates, seed).select(ratio.alias("v"))
+    return point.select(ratio.alias("point"), "n_documents").crossJoin(_interval(values, alpha))  # one row each
 
 
 def paired_bootstrap(first: DataFrame, second: DataFrame, numerator: str, denominator: str, replicates: int = FINAL_REPLICATES, seed: int = 0, alpha: float = 0.05) -> DataFrame:
@@ -53,17 +102,14 @@ def paired_bootstrap(first: DataFrame, second: DataFrame, numerator: str, denomi
     """
     arm = lambda d, k: d.select("document_id", F.col(numerator).alias(f"a{k}"), F.col(denominator).alias(f"b{k}"))
     joined = arm(first, 1).join(arm(second, 2), "document_id", "full_outer")
+    names = ["a1", "b1", "a2", "b2"]
+    gap = F.col("a1") / F.nullif("b1", F.lit(0.0)) - F.col("a2") / F.nullif("b2", F.lit(0.0))
     n, odd = joined.agg(F.count("*"), F.count_if(F.col("b1").isNull() | F.col("b2").isNull())).first()
     if odd or not n:
         raise ValueError(f"{odd} of {n} documents are in one arm only")
-    placed = indexed(joined)
-    draws = document_draws(n, replicates, seed, first.sparkSession)
-    sums = [F.sum(F.col("times") * F.col(c)).alias(c) for c in ("a1", "b1", "a2", "b2")]
-    gap = F.col("a1") / F.nullif("b1", F.lit(0.0)) - F.col("a2") / F.nullif("b2", F.lit(0.0))
-    values = draws.join(placed, "idx").groupBy("replicate").agg(*sums).select(gap.alias("v")).where("v IS NOT NULL")
-    point = placed.agg(*(F.sum(c).alias(c) for c in ("a1", "b1", "a2", "b2"))).select(gap.alias("point"))
-    bounds = values.agg(F.percentile("v", F.lit(alpha / 2)).alias("lower"), F.percentile("v", F.lit(1 - alpha / 2)).alias("upper"), F.count("*").alias("n_replicates"))
-    return point.crossJoin(bounds).withColumn("n_documents", F.lit(n).cast("long"))  # one row each
+    point = joined.agg(*(F.sum(c).alias(c) for c in names)).select(gap.alias("point"), F.lit(n).cast("long").alias("n_documents"))
+    values = replicate_sums(joined, names, replicates, seed).select(gap.alias("v"))
+    return point.crossJoin(_interval(values, alpha))  # one row each
 
 
 def simultaneous_bootstrap(differences: DataFrame, replicates: int = FINAL_REPLICATES, seed: int = 42, alpha: float = 0.05, least_families: int = 4, least_documents: int = 10) -> DataFrame:
@@ -81,11 +127,10 @@ def simultaneous_bootstrap(differences: DataFrame, replicates: int = FINAL_REPLI
     n = common.count()
     if n < least_documents:
         raise ValueError(f"{n} documents in common are too few")
-    rows = differences.join(indexed(common), "document_id")
+    rows = differences.join(common, "document_id").select("document_id", "comparator", "delta_a", "delta_c")
     points = rows.groupBy("comparator").agg(F.avg("delta_a").alias("point_a"), F.avg("delta_c").alias("point_c"))
-    draws = document_draws(n, replicates, seed, differences.sparkSession)
-    means = draws.join(rows, "idx").groupBy("replicate", "comparator").agg(*((F.sum(F.col("times") * F.col(f"delta_{x}")) / n).alias(f"mean_{x}") for x in "ac"))
-    worst = means.join(points, "comparator").groupBy("replicate").agg(*(F.max(F.col(f"point_{x}") - F.col(f"mean_{x}")).alias(f"worst_{x}") for x in "ac"))
+    sums = replicate_sums(rows, ["delta_a", "delta_c"], replicates, seed, ["comparator"]).where("times > 0")
+    worst = sums.join(points, "comparator").groupBy("replicate").agg(*(F.max(F.col(f"point_{x}") - F.col(f"delta_{x}") / F.col("times")).alias(f"worst_{x}") for x in "ac"))
     cut = worst.agg(*(F.percentile(f"worst_{x}", F.lit(1 - alpha)).alias(f"cut_{x}") for x in "ac"))
     out = points.crossJoin(cut).select("comparator", F.lit(n).cast("long").alias("n_documents"), "point_a", (F.col("point_a") - F.col("cut_a")).alias("lower_a"), "point_c", (F.col("point_c") - F.col("cut_c")).alias("lower_c"))
     out = out.withColumns({"directional_win": (F.col("point_a") > 0) & (F.col("point_c") > 0), "simultaneous_win": (F.col("lower_a") > 0) & (F.col("lower_c") > 0)})

@@ -218,12 +218,15 @@ def role_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Inference.
 
 _STATS = """stats AS (SELECT CAST(o_custkey AS VARCHAR) AS document_id, sum(w * y) AS a, sum(w) AS b, sum(w * r_minus) AS a2 FROM
-    (SELECT *, 1e0 / pi AS w, CASE WHEN transmitted = 1 THEN d_plus ELSE r_minus END AS y FROM records) JOIN orders ON document_id = CAST(o_orderkey AS VARCHAR) GROUP BY o_custkey),
-    placed AS (SELECT *, row_number() OVER (ORDER BY document_id) - 1 AS idx FROM stats), size AS (SELECT count(*) AS n FROM stats)"""
+    (SELECT *, 1e0 / pi AS w, CASE WHEN transmitted = 1 THEN d_plus ELSE r_minus END AS y FROM records) JOIN orders ON document_id = CAST(o_orderkey AS VARCHAR) GROUP BY o_custkey)"""
 
 
-def _draws_sql(seed: int, replicates: int) -> str:
-    return f"draws AS (SELECT r AS replicate, {draw_sql(f"'{seed}'", 'r', 'i')} % n AS idx FROM (SELECT n, unnest(range(n)) AS i FROM size), range({replicates}) t(r))"
+def _taken_sql(rows: str, seed: int, replicates: int) -> str:
+    """SQL for taken: the rows with how often each replicate takes their document."""
+    times = " + ".join(f"CAST(u >= {limit} AS INT)" for limit in inference.TAKEN)
+    hashed = lambda *parts: f"{draw_sql(f"'{seed}'", *parts)} % {inference.PRIME - 1} + 1"
+    return f"""replicates AS (SELECT r AS replicate, {hashed("'replicate'", "r")} AS g FROM range({replicates}) t(r)), keyed AS (SELECT *, {hashed("document_id")} AS h FROM {rows}),
+        drawn AS (SELECT *, (h * g % {inference.PRIME}) >> {31 - inference.DRAW_BITS} AS u FROM keyed, replicates), taken AS (SELECT *, {times} AS times FROM drawn)"""
 
 
 def cluster_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,18 +237,18 @@ def cluster_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.col("o_custkey").cast("string").alias("document_id")).agg(F.sum(w * F.col("y_obs")).alias("a"), F.sum(w).alias("b"), F.sum(w * F.col("r_minus")).alias("a2"))
 
 
-@query(f"""WITH {RECORDS}, {_STATS}, {_draws_sql(5, 200)}, v AS (SELECT sum(a) / sum(b) AS v FROM draws JOIN placed USING (idx) GROUP BY replicate)
-    SELECT {r9("(SELECT sum(a) / sum(b) FROM stats)", "point")}, {r9("quantile_cont(v, 0.025)", "lower")}, {r9("quantile_cont(v, 0.975)", "upper")}, count(*) AS n_replicates, any_value(n) AS n_documents FROM v, size""")
+@query(f"""WITH {RECORDS}, {_STATS}, {_taken_sql("stats", 5, inference.FINAL_REPLICATES)}, v AS (SELECT sum(times * a) / sum(times * b) AS v FROM taken GROUP BY replicate)
+    SELECT {r9("(SELECT sum(a) / sum(b) FROM stats)", "point")}, {r9("quantile_cont(v, 0.025)", "lower")}, {r9("quantile_cont(v, 0.975)", "upper")}, count(*) AS n_replicates, (SELECT count(*) FROM stats) AS n_documents FROM v""")
 def cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(inference.bootstrap_ratio(cluster_stats(spark, sf_dir), "a", "b", inference.SMOKE_REPLICATES, 5))
+    return rounded(inference.bootstrap_ratio(cluster_stats(spark, sf_dir), "a", "b", seed=5))
 
 
-@query(f"""WITH {RECORDS}, {_STATS}, {_draws_sql(6, 200)}, v AS (SELECT sum(a) / sum(b) - sum(a2) / sum(b) AS v FROM draws JOIN placed USING (idx) GROUP BY replicate)
-    SELECT {r9("(SELECT sum(a) / sum(b) - sum(a2) / sum(b) FROM stats)", "point")}, {r9("quantile_cont(v, 0.025)", "lower")}, {r9("quantile_cont(v, 0.975)", "upper")}, count(*) AS n_replicates, any_value(n) AS n_documents FROM v, size""")
+@query(f"""WITH {RECORDS}, {_STATS}, {_taken_sql("stats", 6, inference.FINAL_REPLICATES)}, v AS (SELECT sum(times * a) / sum(times * b) - sum(times * a2) / sum(times * b) AS v FROM taken GROUP BY replicate)
+    SELECT {r9("(SELECT sum(a) / sum(b) - sum(a2) / sum(b) FROM stats)", "point")}, {r9("quantile_cont(v, 0.025)", "lower")}, {r9("quantile_cont(v, 0.975)", "upper")}, count(*) AS n_replicates, (SELECT count(*) FROM stats) AS n_documents FROM v""")
 def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = cluster_stats(spark, sf_dir)
     second = stats.select("document_id", F.col("a2").alias("a"), "b")
-    return rounded(inference.paired_bootstrap(stats, second, "a", "b", inference.SMOKE_REPLICATES, 6))
+    return rounded(inference.paired_bootstrap(stats, second, "a", "b", seed=6))
 
 
 def comparator_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,9 +261,8 @@ def comparator_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DIFFERENCES = """diffs AS (SELECT CAST(l_suppkey AS VARCHAR) AS document_id, concat('m', i) AS comparator, avg(l_discount) - 0.01e0 * i AS delta_a, avg(l_tax) - 0.01e0 * i AS delta_c
     FROM lineitem, range(4) t(i) GROUP BY l_suppkey, i)"""
 _MAXSTAT = f"""WITH {_DIFFERENCES}, docs AS (SELECT DISTINCT document_id FROM diffs), size AS (SELECT count(*) AS n FROM docs),
-    placed AS (SELECT d.*, idx FROM diffs d JOIN (SELECT document_id, row_number() OVER (ORDER BY document_id) - 1 AS idx FROM docs) USING (document_id)),
-    {_draws_sql(42, 200)}, points AS (SELECT comparator, avg(delta_a) AS pa, avg(delta_c) AS pc FROM diffs GROUP BY comparator),
-    means AS (SELECT replicate, comparator, avg(delta_a) AS ma, avg(delta_c) AS mc FROM draws JOIN placed USING (idx) GROUP BY replicate, comparator),
+    {_taken_sql("diffs", 42, inference.FINAL_REPLICATES)}, points AS (SELECT comparator, avg(delta_a) AS pa, avg(delta_c) AS pc FROM diffs GROUP BY comparator),
+    means AS (SELECT replicate, comparator, sum(times * delta_a) / sum(times) AS ma, sum(times * delta_c) / sum(times) AS mc FROM taken GROUP BY replicate, comparator HAVING sum(times) > 0),
     worst AS (SELECT replicate, max(pa - ma) AS wa, max(pc - mc) AS wc FROM means JOIN points USING (comparator) GROUP BY replicate),
     cut AS (SELECT quantile_cont(wa, 0.95) AS ca, quantile_cont(wc, 0.95) AS cc FROM worst),
     bounds AS (SELECT comparator, n AS n_documents, pa, pa - ca AS la, pc, pc - cc AS lc FROM points, cut, size)"""
@@ -269,7 +271,7 @@ _MAXSTAT = f"""WITH {_DIFFERENCES}, docs AS (SELECT DISTINCT document_id FROM di
 @query(f"""{_MAXSTAT} SELECT comparator, n_documents, {r9("pa", "point_a")}, {r9("la", "lower_a")}, {r9("pc", "point_c")}, {r9("lc", "lower_c")}, pa > 0 AND pc > 0 AS directional_win, la > 0 AND lc > 0 AS simultaneous_win,
     CASE WHEN min(CAST(la > 0 AND lc > 0 AS INT)) OVER () = 1 THEN 'PASS' ELSE 'NOT_ESTABLISHED' END AS verdict FROM bounds""")
 def maxstat_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(inference.simultaneous_bootstrap(comparator_differences(spark, sf_dir), inference.SMOKE_REPLICATES, 42))
+    return rounded(inference.simultaneous_bootstrap(comparator_differences(spark, sf_dir), seed=42))
 
 
 @query(f"""{_MAXSTAT}, named AS (SELECT comparator, la > 0 AND lc > 0 AS won, CASE WHEN comparator IN ('m0', 'm1') THEN 'f0' ELSE comparator END AS family FROM bounds),
@@ -277,7 +279,7 @@ def maxstat_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT *, n_families >= 3 AS headline_eligible, CASE WHEN n_families = 3 THEN n_eligible ELSE 3 END AS wins_needed,
     n_families >= 3 AND n_wins >= CASE WHEN n_families = 3 THEN n_eligible ELSE 3 END AND n_winning_families >= 3 AS permitted FROM t""")
 def superiority_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bounds = inference.simultaneous_bootstrap(comparator_differences(spark, sf_dir), inference.SMOKE_REPLICATES, 42)
+    bounds = inference.simultaneous_bootstrap(comparator_differences(spark, sf_dir), seed=42)
     names = spark.range(4).select(F.concat(F.lit("m"), "id").alias("comparator"))
     families = names.where("comparator IN ('m0', 'm1')").withColumn("family", F.lit("f0"))
     return inference.superiority(bounds.select("comparator", "lower_a", "lower_c"), names, families, names)

@@ -73,6 +73,25 @@ def test_constant_offset_and_common_documents(spark):
     assert all(r.n_documents == 20 and r.lower_a == pytest.approx(0.1) and r.verdict == "INELIGIBLE" for r in out)
 
 
+def test_draws_are_as_many_as_documents_and_intervals_as_of_resampling(spark):
+    import random
+
+    rng = random.Random(5)
+    data = [(str(i), rng.gauss(1.0, 2.0), rng.choice([1.0, 2.0])) for i in range(80)]
+    stats = spark.createDataFrame(data, "document_id string, a double, b double")
+    sums = inference.replicate_sums(stats, ["a", "b"], 2000, 3).collect()
+    assert sorted(r.replicate for r in sums) == list(range(2000))
+    assert sum(r.times for r in sums) / 2000 == pytest.approx(80, rel=0.01)
+    row = inference.bootstrap_ratio(stats, "a", "b", 2000, 3).first()
+    values = []
+    for _ in range(20_000):
+        drawn = rng.choices(data, k=80)
+        values.append(sum(d[1] for d in drawn) / sum(d[2] for d in drawn))
+    values.sort()
+    width = values[19_499] - values[499]
+    assert row.lower == pytest.approx(values[499], abs=0.08 * width) and row.upper == pytest.approx(values[19_499], abs=0.08 * width)
+
+
 def test_paired_bootstrap_needs_the_same_documents(spark):
     a = spark.createDataFrame([("x", 1.0, 2.0), ("y", 1.0, 1.0)], "document_id string, a double, b double")
     with pytest.raises(ValueError):
