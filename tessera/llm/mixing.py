@@ -7,7 +7,9 @@ drawn with a probability in proportion to it: a factor common to all cells is
 set so that the expected tokens are the wanted share of all tokens, with
 probabilities that would pass one held at one.
 
-Everything is DataFrame or SQL; what reaches the driver is a count of cells.
+Everything is DataFrame or SQL; what reaches the driver is a count of cells and
+sums over all of them. The largest distance of a share from its target that is
+left is in the result, as residual.
 
 Targets: the natural share to the power `temper`, rescaled, unless a share is
 given for the value; given shares are kept as they are and the others share
@@ -39,7 +41,7 @@ RANGES = {"a-f": "[A-Fa-f]", "g-m": "[G-Mg-m]", "n-s": "[N-Sn-s]", "t-z": "[T-Zt
 INITIALS = r"(^[\x20\x09-\x0D]+)|([^\x20\x09-\x0D])[^\x20\x09-\x0D]*+[\x20\x09-\x0D]*+"
 LETTERS = {x: "".join(c + c.upper() for c in map(chr, range(ord(x[0]), ord(x[-1]) + 1))) for x in RANGES}
 
-#: Up to so many cells are raked in one task and broadcast; a row is under 200 bytes, so that is under 20 MB. More are raked and joined by shuffles.
+#: Up to so many cells are raked in one task and broadcast; a row is under 200 bytes, so that is under 20 MB. More are raked by aggregates and joins, with the same result.
 SMALL_CELLS = 100_000
 #: Rounds in one plan; between plans the weights are cut off, for a plan's analysis grows with its depth.
 ROUNDS_AT_ONCE = 6
@@ -124,7 +126,8 @@ def rake_sql(cells: str, rounds: int, temper: float, given: dict[str, dict[str,
     state = rounds_sql(f"SELECT {columns} FROM steps WHERE {on}", ROUNDS_AT_ONCE)
     step = f"SELECT (SELECT max(k) FROM steps) + {ROUNDS_AT_ONCE} AS k, {columns}, (SELECT max(gap) FROM steps) AS before, gap FROM ({residual_sql(state)}) AS stepped"
     first = f"SELECT 0 AS k, {columns}, 1e300 AS before, 1e299 AS gap FROM ({targets_sql(cells, temper, given)}) AS start"
-    return f"WITH RECURSIVE steps AS ({first} UNION ALL {step}) {fill_sql('SELECT * FROM steps WHERE k = (SELECT max(k) FROM steps)', share)}"
+    last = "SELECT * FROM steps WHERE k = (SELECT max(k) FROM steps)"
+    return f"WITH RECURSIVE steps AS ({first} UNION ALL {step}) SELECT *, (SELECT max(gap) FROM ({last}) AS ended) AS residual FROM ({fill_sql(last, share)}) AS weighed"
 
 
 def draw_sql(seed: int, doc_id: str, dialect: str = "spark") -> str:
@@ -157,28 +160,78 @@ def _over(cells: DataFrame, sql: str) -> DataFrame:
     return out
 
 
-def mix(docs: DataFrame, share: float = 0.8, temper: float = 0.7, rounds: int = 6, seed: int = 11, given: dict[str, dict[str, float]] | None = None) -> DataFrame:
-    """docs with _source, _lang, _topic, _tokens, cell_weight, probability and sampled, in place of any of these names.
+def _rake_together(cells: DataFrame, rounds: int, temper: float, given: dict, share: float) -> tuple[DataFrame, float]:
+    """(source, lang, topic, cell_weight, probability) of cells that fit one task, and the gap left."""
+    state, source = targets_sql("{cells}", temper, given), cells.coalesce(1)
+    done, before, gap = 0, float("inf"), float("inf")
+    while _goes_on(done, rounds, gap, before):
+        source = cut(_over(source, residual_sql(rounds_sql(state, ROUNDS_AT_ONCE))).drop("off")).coalesce(1)
+        state = "SELECT * FROM {cells}"
+        done, before, gap = done + ROUNDS_AT_ONCE, gap, source.agg(F.max("gap")).first()[0] or 0.0
+    return _over(source, fill_sql(state, share)), gap
+
+
+def _goes_on(done: int, rounds: int, gap: float, before: float) -> bool:
+    return not done or (done < rounds or gap > TOLERANCE and gap < GAIN * before) and done < MOST_ROUNDS
+
 
-    rounds: the least number; more follow until the shares meet their targets (see TOLERANCE).
+def _rake_apart(cells: DataFrame, rounds: int, temper: float, given: dict, share: float) -> tuple[DataFrame, float]:
+    """The same for any number of cells: margins are aggregated and joined, and only sums over all cells reach the driver."""
+    total = cells.agg(F.sum("tokens")).first()[0]
+    targets = {}
+    for d in DIMENSIONS:
+        fixed = given.get(d, {})
+        margin = cells.groupBy(d).agg(F.pow(F.sum("tokens").cast("double") / total, F.lit(temper)).alias("p"))
+        free = ~F.col(d).isin(*fixed) if fixed else F.lit(True)
+        rest = margin.where(free).agg(F.sum("p")).first()[0] or 1.0
+        left = max(0.0, 1.0 - sum(fixed.values()))
+        share_of = F.lit(left) * F.col("p") / rest
+        for value, given_share in fixed.items():
+            share_of = F.when(F.col(d) == value, float(given_share)).otherwise(share_of)
+        targets[d] = cut(margin.select(d, share_of.alias("t")))
+    margins = lambda raked, d: raked.groupBy(d).agg(F.sum("w").alias("s")).join(targets[d], d)
+    raked = cells.withColumn("w", F.col("tokens").cast("double"))
+    done, before, gap = 0, float("inf"), float("inf")
+    while _goes_on(done, rounds, gap, before):
+        for _ in range(ROUNDS_AT_ONCE):
+            for d in DIMENSIONS:
+                factor = cut(margins(raked, d).select(d, (F.col("t") / F.greatest("s", F.lit(1e-300))).alias("f")))
+                raked = raked.join(factor, d).withColumn("w", F.col("w") * F.col("f")).drop("f")
+            raked = cut(raked)
+        mass = raked.agg(F.sum("w")).first()[0]
+        off = F.max(F.abs(F.col("s") / max(mass, 1e-300) - F.col("t")))
+        done, before, gap = done + ROUNDS_AT_ONCE, gap, max(margins(raked, d).agg(off).first()[0] for d in DIMENSIONS)
+    raked = raked.withColumn("w", F.col("w") / max(mass, 1e-300)).withColumn("r", F.col("w") / F.col("tokens"))
+    # cells that would pass one are held at one, and the factor of the rest found again, until no more do
+    factor, held = share * total, 0
+    while True:
+        over = raked.where(F.col("r") * factor > 1 + 1e-12).agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"), F.sum("w").alias("w")).first()
+        if over["n"] == held:
+            break
+        held, factor = over["n"], (share * total - over["tokens"]) / max(1.0 - over["w"], 1e-12)
+    chance = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("r") * factor))
+    return raked.select(*DIMENSIONS, "tokens", F.col("w").alias("cell_weight"), chance.alias("probability")), gap
+
+
+def mix(docs: DataFrame, share: float = 0.8, temper: float = 0.7, rounds: int = 6, seed: int = 11, given: dict[str, dict[str, float]] | None = None, keep: list[str] | None = None) -> DataFrame:
+    """docs (only `keep` where given) with _source, _lang, _topic, _tokens, cell_weight, probability, residual and sampled, in place of any of these names.
+
+    rounds: the least number; more follow until the shares meet their targets
+    (see TOLERANCE). With `keep`, which has doc_id, words are counted once and
+    the few columns kept until the draw; else they are counted again for it.
     """
-    spark = docs.sparkSession
-    placed = with_cells(docs.drop("cell_weight", "probability", "sampled"))
+    placed = with_cells(docs.drop("cell_weight", "probability", "residual", "sampled"))
+    if keep is not None:
+        placed = cut(placed.select(*keep, *(f"_{d}" for d in DIMENSIONS), "_tokens"))
     cells = placed.groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("tokens"))
     cells = cut(cells.select(*(F.col(f"_{d}").alias(d) for d in DIMENSIONS), "tokens"))
-    small = cells.count() <= SMALL_CELLS
-    state = targets_sql("{cells}", temper, given or {})
-    source = cells.coalesce(1) if small else cells
-    done, before, gap = 0, float("inf"), float("inf")
-    while (done < rounds or gap > TOLERANCE and gap < GAIN * before) and done < MOST_ROUNDS or not done:
-        source = cut(_over(source, residual_sql(rounds_sql(state, ROUNDS_AT_ONCE))).drop("off"))
-        source, state = source.coalesce(1) if small else source, "SELECT * FROM {cells}"
-        done, before, gap = done + ROUNDS_AT_ONCE, gap, source.agg(F.max("gap")).first()[0] or 0.0
+    n = cells.count()
+    small = n <= SMALL_CELLS
+    weights, gap = (_rake_together if small or not n else _rake_apart)(cells, rounds, temper, given or {}, share)
     if gap > TOLERANCE:
-        logging.getLogger(__name__).warning("after %d rounds a share is still %.3g from its target", done, gap)
-    weights = _over(source, fill_sql(state, share))
-    weights = weights.select(*(F.col(d).alias(f"_{d}") for d in DIMENSIONS), "cell_weight", "probability")
-    joined = placed.join(F.broadcast(weights) if small else weights, [f"_{d}" for d in DIMENSIONS])
+        logging.getLogger(__name__).warning("a share is still %.3g from its target", gap)
+    weights = weights.select(*(F.col(d).alias(f"_{d}") for d in DIMENSIONS), "cell_weight", "probability", F.lit(gap).alias("residual"))
+    joined = placed.join(F.broadcast(weights) if small else cut(weights), [f"_{d}" for d in DIMENSIONS])
     return joined.withColumn("sampled", F.expr(draw_sql(seed, "doc_id")) < F.col("probability"))
 
 

@@ -36,10 +36,11 @@ def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(read(spark, sf_dir, "documents"), **MIX)
+    mixed = mixing.mix(read(spark, sf_dir, "documents"), **MIX, keep=["doc_id"])
     return mixed.select(
         "doc_id", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"),
-        F.round("cell_weight", 9).alias("cell_weight"), F.round("probability", 9).alias("probability"), "sampled",
+        F.round("cell_weight", 9).alias("cell_weight"), F.round("probability", 9).alias("probability"),
+        F.round("residual", 9).alias("residual"), "sampled",
     )
 
 
@@ -52,7 +53,7 @@ def op5_sql() -> str:
         placed AS (SELECT doc_id, source, lang, tokens, {mixing.topic_sql(places)} AS topic FROM counted),
         cells AS (SELECT source, lang, topic, CAST(sum(tokens) AS BIGINT) AS tokens FROM placed GROUP BY ALL),
         weights AS ({mixing.rake_sql("cells", MIX["rounds"], MIX["temper"], {}, MIX["share"])})
-        SELECT p.doc_id, p.topic, CAST(p.tokens AS BIGINT) AS n_tokens, round(w.cell_weight, 9) AS cell_weight, round(w.probability, 9) AS probability,
+        SELECT p.doc_id, p.topic, CAST(p.tokens AS BIGINT) AS n_tokens, round(w.cell_weight, 9) AS cell_weight, round(w.probability, 9) AS probability, round(w.residual, 9) AS residual,
             {mixing.draw_sql(MIX["seed"], "p.doc_id", "duckdb")} < w.probability AS sampled
         FROM placed p JOIN weights w USING (source, lang, topic)"""
 

@@ -220,6 +220,22 @@ def test_raking_meets_its_targets(spark):
     assert len(only) == 400 and all(0 <= r.probability <= 1 for r in only)
 
 
+@pytest.mark.parametrize("given", [None, {"source": {"s0": 0.1}, "lang": {"en": 0.9}}])
+def test_many_cells_rake_like_few(spark, monkeypatch, given):
+    rng = random.Random(11)
+    rows = [(i, "w " * rng.randint(1, 30), rng.choice(["en", "en", "de", None]), f"s{rng.randrange(3) * rng.randrange(2)}") for i in range(300)]
+    docs = docs_of(spark, rows, extra=False).withColumn("topic", F.concat(F.lit("t"), F.col("doc_id") % 3))
+    key = lambda df: {r.doc_id: (r.sampled, r.cell_weight, r.probability, r.residual) for r in df.collect()}
+    monkeypatch.setattr(mixing, "ROUNDS_AT_ONCE", 2)
+    monkeypatch.setattr(mixing, "MOST_ROUNDS", 4)
+    few = key(mixing.mix(docs, given=given, rounds=4, keep=["doc_id"]))
+    monkeypatch.setattr(mixing, "SMALL_CELLS", 0)
+    many = key(mixing.mix(docs, given=given, rounds=4))
+    assert few.keys() == many.keys()
+    for i, want in few.items():
+        assert many[i][0] == want[0] and many[i][1:] == pytest.approx(want[1:], abs=1e-9)
+
+
 def test_simhash(spark, odd, empty):
     got = simhash.near_duplicates(odd)
     assert ids(got) == ALL
