@@ -80,13 +80,18 @@ DISCLOSURES = f"""disclosures AS (SELECT CAST(o_orderkey AS VARCHAR) AS document
 COMPOSED = f"""said AS (SELECT CAST(o_orderkey AS VARCHAR) AS document_id, o_custkey, year(o_orderdate) AS reported, {scope_sql("r_name")} AS scope,
     CAST(round(l_discount * 100) AS INT) AS pct, l_extendedprice AS price, quarter(l_shipdate) AS q, year(l_shipdate) AS y, l_linenumber AS note
     FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey JOIN lineitem ON l_orderkey = o_orderkey),
-    facts AS (SELECT DISTINCT document_id, 'entity' AS role, concat('Cust', o_custkey, ' Holdings') AS canonical_value, 1 AS n FROM said
-    UNION ALL SELECT document_id, 'period', concat('FY', any_value(reported)), 1 FROM said GROUP BY document_id
-    UNION ALL SELECT document_id, 'scope', scope, count(*) FROM said GROUP BY ALL
-    UNION ALL SELECT document_id, 'numeric', concat(pct, '%'), count(*) FROM said GROUP BY ALL
-    UNION ALL SELECT document_id, 'numeric', concat('$', rtrim(rtrim(format('{{:.2f}}', price), '0'), '.'), '|million'), count(*) FROM said GROUP BY ALL
-    UNION ALL SELECT document_id, 'period', concat('FY', y, 'Q', q), count(*) FROM said GROUP BY ALL
-    UNION ALL SELECT document_id, 'provenance', concat('Note ', note), count(*) FROM said GROUP BY ALL)"""
+    facts AS (SELECT DISTINCT document_id, 'entity' AS role, concat('Cust', o_custkey, ' Holdings') AS canonical_value, 1 AS n, concat('Cust', o_custkey, ' Holdings') AS surface FROM said
+    UNION ALL SELECT document_id, 'period', concat('FY', any_value(reported)), 1, concat('FY', any_value(reported)) FROM said GROUP BY document_id
+    UNION ALL SELECT document_id, 'scope', scope, count(*), scope FROM said GROUP BY document_id, scope
+    UNION ALL SELECT document_id, 'numeric', concat(pct, '%'), count(*), concat(pct, '%') FROM said GROUP BY document_id, pct
+    UNION ALL SELECT document_id, 'numeric', concat('$', rtrim(rtrim(format('{{:.2f}}', price), '0'), '.'), '|million'), count(*), concat('$', format('{{:,.2f}}', price), ' million') FROM said GROUP BY document_id, price
+    UNION ALL SELECT document_id, 'period', concat('FY', y, 'Q', q), count(*), concat('Q', q, ' FY', y) FROM said GROUP BY document_id, y, q
+    UNION ALL SELECT document_id, 'provenance', concat('Note ', note), count(*), concat('Note ', note) FROM said GROUP BY document_id, note)"""
+
+#: The same with their identifiers, and where each is first said: after `lead`, which tells it from longer ones.
+SURFACES = f"""{DISCLOSURES}, {COMPOSED}, led AS (SELECT *, CASE WHEN role = 'numeric' AND surface LIKE '%\\%' ESCAPE '\\' THEN ' by ' WHEN role = 'period' AND surface LIKE 'FY%' THEN ' for ' ELSE '' END AS lead,
+    concat(document_id, ':', role, ':', left(trim(regexp_replace(lower(canonical_value), '[^a-z0-9]+', '-', 'g'), '-'), 48)) AS atom_id FROM facts),
+    surfaced AS (SELECT led.*, text, CAST(instr(text, concat(lead, surface)) + length(lead) - 1 AS INT) AS char_start FROM led JOIN disclosures USING (document_id))"""
 
 
 def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from tessera.functions.draws import draw, draw_sql
 from tessera.operators import benchmark, design, estimands, prompts, validation
 from tessera.sources import tables
 
-from .adapters import COMPOSED, DISCLOSURES, ORDER_ATOMS, disclosures, order_atoms, provider_calls, read, records
+from .adapters import COMPOSED, DISCLOSURES, ORDER_ATOMS, RUN_EVENTS, SURFACES, disclosures, order_atoms, provider_calls, read, records
 from .relational import ORACLE_SQL as RELATIONAL_SQL, r9, rounded
 
 QUERIES: dict = {}
@@ -212,9 +212,10 @@ def language_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manuscript.language_violations(read(spark, sf_dir, "pages"), "page_id", "html", ("<script", "copyright"))
 
 
-@query()
+@query(f"""WITH {SURFACES} SELECT DISTINCT role, surface AS surface_form, canonical_value, CASE WHEN surface LIKE '$%' THEN concat('USD', CAST(round(CAST(replace(replace(substr(surface, 2), ' million', ''), ',', '') AS DOUBLE) * 1000000) AS BIGINT))
+    WHEN role IN ('entity', 'scope') THEN lower(surface) ELSE canonical_value END AS canonical FROM surfaced""")
 def canonical_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = A.atoms_of(disclosures(spark, sf_dir)).select("role", "surface_form", "canonical_value").distinct()
+    found = A.atoms_of(disclosures(spark, sf_dir), ("role", "surface_form", "canonical_value")).distinct()
     return found.withColumn("canonical", M.canonical_col("surface_form", "role"))
 
 

@@ -7,9 +7,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tessera.functions import atoms as A, matching as M, text as T
 from tessera.functions.draws import draw, draw_sql
 from tessera.operators import design, estimands, interventions, validation
+from tessera.schemas import ROLES
 
-from .adapters import COMPOSED, DISCLOSURES, disclosures, read
-from .relational import r9, rounded
+from .adapters import COMPOSED, DISCLOSURES, RECORDS, SURFACES, disclosures, read
+from .relational import decompose_sql, r9, rounded
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -49,19 +50,32 @@ _SIGNS_FROM = "‘’‚‛“”„‟–—−\u00a0"
 _SIGNS_TO = "''''" * 2 + '""""' + "--- "
 
 
-@query(rf"""SELECT CAST(doc_id AS VARCHAR) AS document_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(replace(nfc_normalize(text), chr(173), ''), '{_SIGNS_FROM}', '{_SIGNS_TO}'),
-    '\r\n?', chr(10), 'g'), '[ \t\f\v]+', ' ', 'g'), ' +(\n|$)', '\1', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS text FROM documents""")
+_NORMAL = rf"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(replace(nfc_normalize(text), chr(173), ''), '{_SIGNS_FROM}', '{_SIGNS_TO}'),
+    '\r\n?', chr(10), 'g'), '[ \t\f\v]+', ' ', 'g'), ' +(\n|$)', '\1', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10))"""
+
+
+@query(f"SELECT CAST(doc_id AS VARCHAR) AS document_id, {_NORMAL} AS text FROM documents")
 def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("document_id", T.normalize_col("text").alias("text"))
 
 
-@query()
+#: RE2 has no look-around: marks are put around the blanks between sentences, which never share a character with one another.
+_SENTENCES = r"""marked AS (SELECT document_id, regexp_replace(text, '([.!?])(\s+)([A-Z("''])', concat('\1', chr(1), '\2', chr(2), '\3'), 'g') AS m FROM texts),
+    pieces AS (SELECT document_id, unnest(string_split_regex(m, concat(chr(1), '\s+', chr(2)))) AS piece, unnest(list_append(regexp_extract_all(m, concat(chr(1), '(\s+)', chr(2)), 1), '')) AS gap,
+        generate_subscripts(string_split_regex(m, concat(chr(1), '\s+', chr(2))), 1) AS i FROM marked),
+    placed AS (SELECT document_id, i, length(piece) AS n, sum(length(piece) + length(gap)) OVER (PARTITION BY document_id ORDER BY i) - length(piece) - length(gap) AS start FROM pieces),
+    sentences AS (SELECT document_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY i) - 1 AS INT) AS sentence_index, CAST(start AS INT) AS start, CAST(start + n AS INT) AS "end" FROM placed WHERE n > 0)"""
+
+
+@query(f"""WITH texts AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, text FROM documents), {_SENTENCES} SELECT document_id, sentence_index, start, "end" FROM sentences""")
 def sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = _documents(spark, sf_dir).select("document_id", F.posexplode(T.sentences_col("text")).alias("sentence_index", "s"))
     return spans.select("document_id", "sentence_index", "s.start", "s.end")
 
 
-@query()
+@query(rf"""WITH t AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, regexp_extract_all({_NORMAL}, '\s*(?:{_WORDS})') AS words FROM documents WHERE text IS NOT NULL),
+    f AS (SELECT document_id, array_to_string(list_slice(words, 1, 2000), '') AS text, len(words) AS n FROM t)
+    SELECT document_id, text, CAST(least(n, 2000) AS INT) AS token_count, 'regex' AS tokenizer, 2000 AS window_tokens, n > 2000 AS truncated, sha256(text) AS sha256, 'full' AS section FROM f""")
 def source_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.source_frames(_documents(spark, sf_dir), 2000)
 
@@ -103,22 +117,36 @@ def atomize_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.atoms_of(disclosures(spark, sf_dir), ("document_id", "role", "canonical_value", "occurrence_count"))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS n_violations")
+@query(f"""WITH {SURFACES}, framed AS (SELECT atom_id, char_start, char_start + length(surface) AS char_end, surface, CASE WHEN CAST(document_id AS BIGINT) % 9 <> 4 THEN CASE WHEN CAST(document_id AS BIGINT) % 7 = 2 THEN upper(text) ELSE left(text, 200) END END AS frame FROM surfaced),
+    marked AS (SELECT atom_id, array_to_string(list_filter([CASE WHEN frame IS NULL THEN 'no_frame' END, CASE WHEN char_end <= length(frame) THEN NULL ELSE 'out_of_bounds' END,
+    CASE WHEN substr(frame, char_start + 1, char_end - char_start) = surface THEN NULL ELSE 'surface_mismatch' END], lambda x: x IS NOT NULL), ',') AS violations FROM framed)
+    SELECT atom_id, violations FROM marked WHERE violations <> ''""")
 def frame_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = disclosures(spark, sf_dir)
-    return validation.frame_violations(A.atoms_of(frames), frames).agg(F.count("*").alias("n_violations"))
+    """Facts of the whole disclosures in frames that are missing, shortened or in capitals."""
+    whole = disclosures(spark, sf_dir)
+    key = F.col("document_id").cast("long")
+    frames = whole.where(key % 9 != 4).select("document_id", F.when(key % 7 == 2, F.upper("text")).otherwise(F.left("text", F.lit(200))).alias("text"))
+    found = validation.frame_violations(A.atoms_of(whole, ("document_id", "atom_id", "char_start", "char_end", "surface_form")), frames)
+    return found.select("atom_id", F.array_join("violations", ",").alias("violations"))
 
 
 def _reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts with a verification by the hash of their key."""
+    """Facts with a verification by the hash of their key; among them some with a twin of another role, without a value, or in hyphenated frames."""
     frames = disclosures(spark, sf_dir)
     h = draw("review", F.col("document_id"), F.col("role"), F.col("canonical_value")) % 10
     status = F.when(h < 7, "accepted").when(h < 8, "rejected").otherwise("unverified")
-    return A.atoms_of(frames).withColumn("verification", status).join(frames, "document_id")
+    key = F.col("document_id").cast("long")
+    found = A.atoms_of(frames, ("document_id", "role", "canonical_value", "surface_form", "char_start", "char_end")).withColumn("verification", status)
+    twins = found.where((F.col("role") == "scope") & (key % 5 == 2)).withColumn("role", F.lit("entity"))
+    found = found.unionByName(twins).withColumn("canonical_value", F.when((F.col("role") == "provenance") & (key % 7 == 3), " ").otherwise(F.col("canonical_value")))
+    return found.join(frames.select("document_id", F.when(key % 11 == 0, F.translate("text", " ", "-")).otherwise(F.col("text")).alias("text")), "document_id")
 
 
-_REVIEWED = f"""{COMPOSED}, reviewed AS (SELECT *, CASE WHEN h < 7 THEN NULL WHEN h < 8 THEN 'human_rejected' ELSE 'unverified' END AS exclusion_reason FROM
-    (SELECT *, {draw_sql("'review'", "document_id", "role", "canonical_value")} % 10 AS h FROM facts))"""
+_REVIEWED = f"""{COMPOSED}, drawn AS (SELECT *, {draw_sql("'review'", "document_id", "role", "canonical_value")} % 10 AS h, CAST(document_id AS BIGINT) AS k FROM facts),
+    twinned AS (SELECT document_id, role, canonical_value, h, k FROM drawn UNION ALL SELECT document_id, 'entity', canonical_value, h, k FROM drawn WHERE role = 'scope' AND k % 5 = 2),
+    reviewed AS (SELECT document_id, role, CASE WHEN role = 'provenance' AND k % 7 = 3 THEN ' ' ELSE canonical_value END AS canonical_value,
+    CASE WHEN k % 5 = 2 AND (role = 'scope' OR role = 'entity' AND canonical_value NOT LIKE 'Cust%') THEN 'conflict_group' WHEN role = 'provenance' AND k % 7 = 3 THEN 'degenerate_value' WHEN k % 11 = 0 THEN 'entangled_surface'
+    WHEN h < 7 THEN NULL WHEN h < 8 THEN 'human_rejected' ELSE 'unverified' END AS exclusion_reason FROM twinned)"""
 
 
 @query(f"WITH {_REVIEWED} SELECT document_id, role, canonical_value, exclusion_reason FROM reviewed")
@@ -132,13 +160,26 @@ def exclusion_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(validation.exclusion_rates(validation.exclusion_reasons(_reviewed(spark, sf_dir))))
 
 
-@query()
+_FEATURES = f"""WITH {SURFACES}, texted AS (SELECT *, substr(text, greatest(0, char_start - 120) + 1, char_start + length(surface) + 120 - greatest(0, char_start - 120)) AS local_context,
+    len(regexp_extract_all(left(text, char_start + 1), '[.!?]\\s+[A-Z("'']')) AS sentence_index FROM surfaced),
+    counted AS (SELECT *, char_start / CAST(length(text) AS DOUBLE) AS relative, max(sentence_index) OVER (PARTITION BY document_id) AS last_sentence, sum(n) OVER (PARTITION BY document_id) AS said_in_all,
+    count(DISTINCT role) OVER (PARTITION BY document_id, sentence_index) AS roles_here FROM texted)
+    SELECT document_id, atom_id, {", ".join(f"CASE WHEN role = '{r}' THEN 1e0 ELSE 0e0 END AS role_{r}" for r in ROLES)}, {r9("relative", "relative_position")},
+    {r9("sentence_index / CAST(CASE WHEN last_sentence = 0 THEN 1 ELSE last_sentence END AS DOUBLE)", "sentence_index_norm")}, CAST(length(canonical_value) AS DOUBLE) AS canonical_char_len,
+    CAST(greatest(1, len(string_split_regex(trim(canonical_value), '\\s+'))) AS DOUBLE) AS canonical_token_len_est, CAST(n AS DOUBLE) AS occurrence_count, {r9("ln(1 + n)", "log_occurrence_count")},
+    {r9("n / CAST(said_in_all AS DOUBLE)", "redundancy_share")}, {r9("len(regexp_extract_all(local_context, '[0-9]')) / CAST(length(local_context) AS DOUBLE)", "local_digit_density")},
+    CAST(length(local_context) AS DOUBLE) AS local_context_len, CASE WHEN sentence_index = 0 THEN 1e0 ELSE 0e0 END AS is_first_sentence, CASE WHEN relative >= 0.75 THEN 1e0 ELSE 0e0 END AS is_last_quartile,
+    CASE WHEN role = 'numeric' AND surface NOT LIKE '$%' THEN 1e0 ELSE 0e0 END AS numeric_is_pct, CASE WHEN surface LIKE '$%' THEN 1e0 ELSE 0e0 END AS numeric_is_currency,
+    CAST(roles_here AS DOUBLE) AS distinct_roles_in_sentence FROM counted"""
+
+
+@query(_FEATURES)
 def atom_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = disclosures(spark, sf_dir)
     return rounded(A.features(A.atoms_of(frames), frames))
 
 
-@query()
+@query(f"WITH {SURFACES} SELECT document_id, string_agg(concat('- ', role, ': ', canonical_value), chr(10) ORDER BY char_start, role, atom_id) AS message FROM surfaced GROUP BY document_id")
 def render_message(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.messages(A.atoms_of(disclosures(spark, sf_dir)), ["document_id"])
 
@@ -148,9 +189,16 @@ def _head_messages(spark: SparkSession, sf_dir: str, budget: int = 60) -> DataFr
     return disclosures(spark, sf_dir).select("document_id", T.head_tokens(F.col("text"), budget).alias("message"))
 
 
-@query()
+#: In RE2 a word character of the composed texts, which are ASCII.
+_ASCII_TOKEN = r"\w+|[^\w\s]"
+_HEADS = rf"""{SURFACES}, heads AS (SELECT document_id, CASE WHEN n <= 60 THEN text ELSE regexp_extract(text, '\A(?:\s*(?:{_ASCII_TOKEN})){{60}}') END AS message
+    FROM (SELECT *, len(regexp_extract_all(text, '{_ASCII_TOKEN}')) AS n FROM disclosures)),
+    sent AS (SELECT surfaced.*, message, CAST(contains(message, concat(lead, surface)) AS INT) AS transmitted FROM surfaced JOIN heads USING (document_id))"""
+
+
+@query(f"WITH {_HEADS} SELECT document_id, role, canonical_value, transmitted FROM sent")
 def transmitted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = A.atoms_of(disclosures(spark, sf_dir)).join(_head_messages(spark, sf_dir), "document_id")
+    facts = A.atoms_of(disclosures(spark, sf_dir), ("document_id", "role", "canonical_value")).join(_head_messages(spark, sf_dir), "document_id")
     return facts.select("document_id", "role", "canonical_value", M.transmitted_col("message", "canonical_value", "role").alias("transmitted"))
 
 
@@ -165,12 +213,32 @@ def _edited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.outcomes(lines, "message", "canonical_value", "role", "line", 60)
 
 
-@query()
+#: Composed facts are never part of a comparison, and leave no other form behind: every edit is accepted.
+_EDITED = rf"""{_HEADS}, strata AS (SELECT *, count(*) OVER (PARTITION BY document_id, role) AS n_s, count(DISTINCT role) OVER (PARTITION BY document_id) AS m,
+    row_number() OVER (PARTITION BY document_id, role ORDER BY {draw_sql("'7'", "document_id", "atom_id")}, atom_id) AS i FROM sent),
+    ones AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY {draw_sql("'7'", "document_id", "role")}, role) AS j FROM strata WHERE i = 1 AND m >= 3),
+    focal AS (SELECT *, 3e0 / m * (1e0 / n_s) AS pi, CASE WHEN lead = ' by ' THEN regexp_replace(message, concat('\b', surface), '', 'g') WHEN lead <> '' THEN replace(message, concat(lead, surface), lead) ELSE replace(message, surface, '') END AS rest FROM ones WHERE j <= 3),
+    edited AS (SELECT *, CASE WHEN transmitted = 1 THEN trim(regexp_replace(regexp_replace(rest, '[ 	]{{2,}}', ' ', 'g'), '\s+([,.;:%])', '\1', 'g')) ELSE concat(message, chr(10), '- ', role, ': ', canonical_value) END AS text_after FROM focal),
+    counted AS (SELECT *, len(regexp_extract_all(message, '{_ASCII_TOKEN}')) AS before, len(regexp_extract_all(text_after, '{_ASCII_TOKEN}')) AS after FROM edited)"""
+
+
+@query(f"""WITH {_EDITED} SELECT document_id, role, canonical_value, transmitted, text_after AS text, CASE WHEN transmitted = 1 THEN 'del' ELSE 'ins' END AS mechanism, true AS accepted, '' AS reason,
+    CAST(CASE WHEN transmitted = 1 THEN (length(message) - length(rest)) / length(surface) ELSE 1 END AS INT) AS occurrences, CAST(before AS INT) AS tokens_before, CAST(after AS INT) AS tokens_after,
+    CAST(CASE WHEN transmitted = 1 THEN 0 ELSE greatest(0, after - 60) END AS INT) AS overrun_tokens FROM counted""")
 def counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _edited(spark, sf_dir).select("document_id", "role", "canonical_value", "transmitted", "edit.*")
 
 
-@query()
+_PLACES = "CASE role " + " ".join(f"WHEN '{r}' THEN {i}" for i, r in enumerate(ROLES)) + " END"
+_SKELETONS = f"""{SURFACES}, firsts AS (SELECT *, row_number() OVER (PARTITION BY document_id, role ORDER BY char_start, atom_id) AS i, concat(document_id, ':tuple:0') AS slot_id FROM surfaced),
+    support AS (SELECT 'scope' AS role, unnest(['Asia Pacific', 'EMEA', 'Europe', 'North America']) AS value UNION ALL SELECT 'period', concat('FY', y) FROM range(1995, 2003) t(y)),
+    slots AS (SELECT *, {_PLACES} AS k, {draw_sql("'5'", "slot_id", "role")} AS h FROM firsts WHERE i = 1),
+    others AS (SELECT slot_id, s.role, list_sort(list(value)) AS others FROM slots s JOIN support p ON s.role = p.role AND value <> canonical_value GROUP BY ALL),
+    both_arms AS (SELECT s.*, coalesce(others[h % len(others) + 1], canonical_value) AS blocked_value FROM slots s LEFT JOIN others USING (slot_id, role))"""
+
+
+@query(f"""WITH {_SKELETONS} SELECT f.slot_id, f.role AS focal_role, string_agg(concat('- ', s.role, ': ', CASE WHEN s.role = f.role THEN '[OMITTED]' ELSE s.canonical_value END), chr(10) ORDER BY s.k) AS "natural",
+    string_agg(concat('- ', s.role, ': ', CASE WHEN s.role = f.role THEN '[OMITTED]' ELSE s.blocked_value END), chr(10) ORDER BY s.k) AS blocked, true AS matched FROM both_arms f JOIN both_arms s USING (slot_id) GROUP BY f.slot_id, f.role""")
 def skeleton_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     atoms = A.atoms_of(disclosures(spark, sf_dir))
     whole = atoms.withColumn("sentence_index", F.lit(0))  # a composed sentence holds one or two roles: the document is the window
@@ -192,7 +260,11 @@ def allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
 # The mock study, end to end.
 
 
-@query()
+#: What a message says its receiver answers; an edit turns that round.
+_STUDY = f"""{_EDITED}, records AS (SELECT document_id, role, pi, transmitted, 1e0 AS d_plus, CASE WHEN {draw_sql("'prior'", "role", "canonical_value")} % 10 < 2 THEN 1e0 ELSE 0e0 END AS r_minus FROM counted)"""
+
+
+@query(decompose_sql("coalesce(role, 'pooled') AS role", "GROUP BY GROUPING SETS ((role), ())").replace(RECORDS, _STUDY))
 def mock_study(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames, facts, focal draws, relay, edits, receiver and the decomposition by role."""
     edited = _edited(spark, sf_dir).where("edit.accepted")
