@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -131,6 +133,23 @@ def head_tokens(text: Column, most: int) -> Column:
     return F.when(token_count(text) <= most, text).otherwise(F.regexp_extract(text, pattern, 0))
 
 
+class Tokenizer(NamedTuple):
+    """How a text's tokens are counted, and how it is cut after so many: functions of columns."""
+
+    count: Callable[[Column], Column]
+    truncate: Callable[[Column, int], Column]
+
+
+#: Tokenizers by name; a caller may put in its own.
+TOKENIZERS: dict[str, Tokenizer] = {"regex": Tokenizer(token_count, head_tokens)}
+
+
+def tokenizer(name: str) -> Tokenizer:
+    if name not in TOKENIZERS:
+        raise ValueError(f"unknown tokenizer {name!r}; there are {', '.join(sorted(TOKENIZERS))}")
+    return TOKENIZERS[name]
+
+
 def redact(text: Column, live: tuple[str, ...] = ()) -> Column:
     """text with live secret values, then credential shapes, blanked out."""
     for value in live:

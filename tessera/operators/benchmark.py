@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.functions.text import head_tokens, token_count
 
+from .prompts import mock_relay, relay_prompt
 from .validation import assert_not_test, reasons
 
 #: The reproduction gate's steps before the metric, and its tolerance.
@@ -26,10 +29,22 @@ def head_truncation(text: Column, budget: int) -> Column:
     return F.rtrim(head_tokens(text, budget))
 
 
-COMPRESSORS = {"full_context": full_context, "head_truncation": head_truncation}
+def vanilla_relay(text: Column, budget: int, provider: Callable[[Column], Column] = mock_relay) -> Column:
+    """What a relay answers to its task, source and budget; cut where it is over."""
+    return F.rtrim(head_tokens(provider(relay_prompt(text, budget)), budget))
+
+
+COMPRESSORS: dict[str, Callable[[Column, int], Column]] = {"full_context": full_context, "head_truncation": head_truncation, "vanilla_relay": vanilla_relay}
+
+
+def register(name: str, compressor: Callable[[Column, int], Column]) -> None:
+    """Add a compressor under a name that is free."""
+    if name in COMPRESSORS:
+        raise ValueError(f"there is a compressor {name!r}")
+    COMPRESSORS[name] = compressor
 
 
-def handoffs(frames: DataFrame, budget: int, methods: tuple[str, ...] = tuple(COMPRESSORS)) -> DataFrame:
+def handoffs(frames: DataFrame, budget: int, methods: tuple[str, ...] = ("full_context", "head_truncation", "vanilla_relay")) -> DataFrame:
     """One row for each frame and method, in one pass over the frames, with token counts and whether the budget holds.
 
     Only the full context may pass its budget; another method that does is an error.

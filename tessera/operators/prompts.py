@@ -66,6 +66,13 @@ def relay_prompt(source: Column, budget: int) -> Column:
     return F.concat(F.lit(f"{TASK}\n\nToken budget: {budget}.\n\n--- SOURCE ---\n"), source, F.lit("\n--- END SOURCE ---\n\nHandoff note:"))
 
 
+def mock_relay(prompt: Column) -> Column:
+    """A relay's answer without a model: the source's sentences after the first, or the source where it has only one."""
+    source = F.regexp_extract(prompt, r"(?s)--- SOURCE ---\n(.*)\n--- END SOURCE ---", 1)
+    later = F.regexp_extract(source, r"(?s)^.*?[.!?]\s+(\S.*)$", 1)
+    return F.when(later == "", source).otherwise(later)
+
+
 def mock_answer(message: Column, role: Column, prior: Column) -> Column:
     """The value that the note states for the role, else the prior's, else `unknown`; all native.
 

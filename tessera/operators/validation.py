@@ -98,6 +98,13 @@ def batch_violations(outcomes: DataFrame, least: int = 10) -> DataFrame:
     return grouped.withColumn("violations", reasons(checks)).select("policy_id", "metric_name", "n", "violations")
 
 
+def untraced_estimates(results: DataFrame) -> DataFrame:
+    """Results stated as COMPLETE, with an estimate, that name no raw response or no evaluated cell; and what they lack."""
+    named = lambda c: F.col(c).isNotNull() & (F.trim(c) != "")
+    stated = results.where((F.col("status") == "COMPLETE") & F.col("estimate").isNotNull())
+    return stated.withColumn("violations", reasons({c: named(c) for c in ("raw_response_sha256", "cell_id")})).where(F.size("violations") > 0)
+
+
 def missing_fields(rows: DataFrame, names: list[str]) -> Column:
     """The names of columns that are null or empty."""
     return reasons({n: F.col(n).isNotNull() & (F.col(n).cast("string") != "") for n in names})

@@ -8,8 +8,9 @@ from tessera.functions import atoms as A, manuscript, matching as M
 from tessera.functions.draws import draw, draw_sql
 from tessera.operators import benchmark, design, estimands, prompts, validation
 from tessera.sources import tables
+from tessera.streaming import events
 
-from .adapters import COMPOSED, DISCLOSURES, ORDER_ATOMS, RUN_EVENTS, SURFACES, disclosures, order_atoms, provider_calls, read, records
+from .adapters import COMPOSED, DISCLOSURES, ORDER_ATOMS, RUN_EVENTS, SURFACES, disclosures, order_atoms, provider_calls, read, records, run_events
 from .relational import ORACLE_SQL as RELATIONAL_SQL, r9, rounded
 
 QUERIES: dict = {}
@@ -99,6 +100,8 @@ _TOKENS = r"\w+|[^\w\s]"
 
 @query(rf"""WITH {DISCLOSURES}, t AS (SELECT document_id, text, len(regexp_extract_all(text, '{_TOKENS}')) AS n FROM disclosures)
     SELECT document_id, 'full_context' AS method, text, CAST(n AS INT) AS input_tokens, CAST(n AS INT) AS output_tokens, 60 AS budget, n <= 60 AS within_budget FROM t
+    UNION ALL SELECT document_id, 'vanilla_relay', CASE WHEN m <= 60 THEN later ELSE regexp_extract(later, '\A(?:\s*(?:{_TOKENS})){{60}}') END, CAST(n AS INT), CAST(least(m, 60) AS INT), 60, true
+        FROM (SELECT *, len(regexp_extract_all(later, '{_TOKENS}')) AS m FROM (SELECT *, regexp_extract(text, '^[^.!?]*[.!?]\s+(.*)$', 1) AS later FROM t))
     UNION ALL SELECT document_id, 'head_truncation', rtrim(CASE WHEN n <= 60 THEN text ELSE regexp_extract(text, '\A(?:\s*(?:{_TOKENS})){{60}}') END), CAST(n AS INT), CAST(least(n, 60) AS INT), 60, true FROM t""")
 def handoff_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark.handoffs(disclosures(spark, sf_dir), 60)
@@ -188,23 +191,41 @@ def cached_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.agg(F.count("*").alias("n_hits")).crossJoin(misses.agg(F.count("*").alias("n_misses")))  # one row each
 
 
-@query()
+@query("""WITH l AS (SELECT event_id, concat(CAST(json_object('event_id', event_id, 'event_type', event_type, 'user_id', user_id) AS VARCHAR), chr(10)) AS line, (row_number() OVER (ORDER BY event_id) - 1) // 10000 AS run FROM events),
+    d AS (SELECT run, sha256(string_agg(line, '' ORDER BY event_id)) AS h, count(*) AS n FROM l GROUP BY run)
+    SELECT CASE WHEN count(*) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY run)) END AS sha256, CAST(sum(n) AS BIGINT) AS n_rows FROM d""")
 def outcome_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.outcome_digest(read(spark, sf_dir, "events"), ["event_id"])
+    return tables.outcome_digest(read(spark, sf_dir, "events").select("event_id", "event_type", "user_id"), ["event_id"])
 
 
-@query()
+_CELLS = (("endpoint_fidelity", "max"), ("t_bar", "max"), ("r_bar_zero", "min"))
+
+
+@query(f"""WITH d AS ({RELATIONAL_SQL["decompose_by_role"]}), b AS (SELECT *, {", ".join(f"min(CASE WHEN {c} = {best}_{c} THEN role END) OVER () = role AS b_{c}" for c, best in _CELLS)} FROM (SELECT *, {", ".join(f"{best}({c}) OVER () AS {best}_{c}" for c, best in _CELLS)} FROM d))
+    SELECT role, concat(role, {", ".join(f"' & ', CASE WHEN {c} IS NULL THEN '---' WHEN b_{c} THEN concat(chr(92), 'textbf{{', format('{{:,.3f}}', {c}), '}}') ELSE format('{{:,.3f}}', {c}) END" for c, _ in _CELLS)}, ' ', chr(92), chr(92)) AS "row" FROM b""")
 def latex_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = estimands.decompose_by_role(records(spark, sf_dir))
-    return tables.latex_rows(rows, "role", {"endpoint_fidelity": "max", "t_bar": "max", "r_bar_zero": "min"})
+    rows = rounded(estimands.decompose_by_role(records(spark, sf_dir)))
+    return tables.latex_rows(rows, "role", dict(_CELLS))
 
 
 @query()
 def manifest_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = tables.file_manifest(spark, f"{sf_dir}/region.parquet")
+    """Every file of the directory; SQL engines do not read files as bytes from the tables' names, so a test reads them."""
+    found = tables.file_manifest(spark, sf_dir)
     return found.select(F.element_at(F.split("path", "/"), -1).alias("file"), "sha256", "bytes")
 
 
+@query("""SELECT s_name AS artifact, array_to_string(list_filter([CASE WHEN s_suppkey % 2 = 0 THEN 'run_ids' END, CASE WHEN s_suppkey % 3 = 0 THEN 'config_hashes' END, CASE WHEN s_suppkey % 5 = 0 THEN 'artifact_sha256' END], lambda x: x IS NOT NULL), ',') AS gaps FROM supplier""")
+def results_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, k = read(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    listed = lambda some: F.when(some, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>"))
+    entries = s.select(
+        F.col("s_name").alias("artifact"), F.lit("table").alias("kind"), listed(k % 2 != 0).alias("run_ids"), listed(F.lit(True)).alias("source_hashes"), listed(k % 3 != 0).alias("config_hashes"),
+        F.create_map(F.lit("relay"), F.lit("r1")).alias("model_revisions"), F.when(k % 5 != 0, F.sha2("s_name", 256)).alias("artifact_sha256"),
+    )
+    return tables.results_manifest(entries).select("artifact", F.array_join("gaps", ",").alias("gaps"))
+
+
 @query("""WITH l AS (SELECT page_id, unnest(string_split_regex(html, '\\r\\n|\\n|\\r')) AS line, generate_subscripts(string_split_regex(html, '\\r\\n|\\n|\\r'), 1) AS i FROM pages),
     r AS (SELECT page_id, i, unnest([CASE WHEN contains(lower(line), '<script') THEN '<script' END, CASE WHEN contains(lower(line), 'copyright') THEN 'copyright' END, nullif(regexp_extract(line, '\\bS(?:0[0-9]|1[01])\\b'), '')]) AS term FROM l)
     SELECT page_id, CAST(i AS INT) AS line_number, term FROM r WHERE term IS NOT NULL""")
@@ -219,16 +240,14 @@ def canonical_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("canonical", M.canonical_col("surface_form", "role"))
 
 
-@query("SELECT CAST(user_id AS VARCHAR) AS run_id, count(*) AS n, 0 AS n_bad FROM events GROUP BY user_id")
+@query(f"""WITH {RUN_EVENTS}, k AS (SELECT *, lag(sequence) OVER (PARTITION BY run_id ORDER BY sequence) AS before FROM run_events WHERE event_id % 50 <> 3)
+    SELECT run_id, count(*) AS n, count(*) FILTER (sequence <> coalesce(before, 0) + 1) AS n_bad FROM k GROUP BY run_id""")
 def event_stream_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The log read as a stream, each run's numbering checked with state; the sink is an in-memory table."""
-    import uuid
-
-    from tessera.streaming import events
-
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/event[s].parquet")
-    runs = stream.select(F.col("user_id").cast("string").alias("run_id"), F.col("event_id").alias("sequence"))
-    name = f"checked_{uuid.uuid4().hex}"
-    events.checked_stream(runs).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).groupBy("run_id").agg(F.count("*").alias("n"), F.lit(0).alias("n_bad"))
+    """A log with gaps read as a stream from files, each run's numbering checked with state; the sink is files too."""
+    from tessera.operators.ranks import new_folder
+
+    log, checked, state = (new_folder(spark, name) for name in ("log", "checked", "state"))
+    run_events(spark, sf_dir).where("event_id % 50 <> 3").select("run_id", "sequence").write.parquet(log)
+    stream = events.checked_stream(spark.readStream.schema("run_id string, sequence long").parquet(log))
+    stream.writeStream.format("parquet").option("path", checked).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(checked).groupBy("run_id").agg(F.count("*").alias("n"), F.count_if(~F.col("ok")).alias("n_bad"))

@@ -557,18 +557,97 @@ def event_topology(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.topology_violations(run_events(spark, sf_dir).withColumn("stage", stage)).select("run_id", "sequence")
 
 
-@query()
-def ridge_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ["x_price", "x_tax", "x_tokens"]
+# Learners.
+
+_X = ("x_price", "x_tax", "x_tokens")
+_ROWS = f"""rows AS (SELECT document_id, atom_id, price / 1e5 AS x0, tax AS x1, tokens / 50e0 AS x2, discount AS x3,
+    CAST({draw_sql("'1'", "document_id")} % 5 AS INT) AS fold, CAST({draw_sql("'2'", "document_id")} % 4 AS INT) AS inner_fold FROM order_atoms)"""
+_PAIRS = [(i, j) for i in range(4) for j in range(i, 4)]
+_MOMENTS = ["n", *(f"s{i}" for i in range(4)), *(f"p{i}{j}" for i, j in _PAIRS)]
+_MOMENTS_SQL = ", ".join(["CAST(count(*) AS DOUBLE) AS n", *(f"sum(x{i}) AS s{i}" for i in range(4)), *(f"sum(x{i} * x{j}) AS p{i}{j}" for i, j in _PAIRS)])
+_ADDED = ", ".join(f"sum({m}) AS {m}" for m in _MOMENTS)
+
+
+def _det(m: list[list[str]]) -> str:
+    a, b, c = m
+    minor = lambda i, j: f"(({b[i]}) * ({c[j]}) - ({b[j]}) * ({c[i]}))"
+    return f"(({a[0]}) * {minor(1, 2)} - ({a[1]}) * {minor(0, 2)} + ({a[2]}) * {minor(0, 1)})"
+
+
+def _ridge_sql(source: str, keys: str) -> str:
+    """SQL for b0, b1, b2 and b of each row of moments and penalty, by Cramer's rule on the centred normal equations."""
+    centred = ", ".join(f"p{i}{j} - s{i} * s{j} / n AS c{i}{j}" for i, j in _PAIRS)
+    c = lambda i, j: f"c{min(i, j)}{max(i, j)}"
+    left = [[c(i, j) + (" + penalty" if i == j else "") for j in range(3)] for i in range(3)]
+    solved = ", ".join(f"{_det([[c(i, 3) if j == k else left[i][j] for j in range(3)] for i in range(3)])} / {_det(left)} AS b{k}" for k in range(3))
+    return f"SELECT {keys}, penalty, b0, b1, b2, (s3 - b0 * s0 - b1 * s1 - b2 * s2) / n AS b FROM (SELECT *, {solved} FROM (SELECT *, {centred} FROM {source}, (SELECT unnest([0.1e0, 1e0, 10e0]) AS penalty)))"
+
+
+_ERROR = "(p33 + b0 * b0 * p00 + b1 * b1 * p11 + b2 * b2 * p22 + 2 * (b0 * b1 * p01 + b0 * b2 * p02 + b1 * b2 * p12 - b0 * p03 - b1 * p13 - b2 * p23) - 2 * b * (s3 - b0 * s0 - b1 * s1 - b2 * s2) + n * b * b) / n"
+_RIDGE = f"""WITH {ORDER_ATOMS}, {_ROWS}, parts AS (SELECT fold, {_MOMENTS_SQL} FROM rows GROUP BY fold), rest AS (SELECT a.fold, {", ".join(f"sum(b.{m}) AS {m}" for m in _MOMENTS)} FROM parts a JOIN parts b ON a.fold <> b.fold GROUP BY a.fold),
+    solved AS ({_ridge_sql("rest", "fold")}), scores AS (SELECT penalty, avg({_ERROR}) AS cv_mse FROM solved JOIN parts USING (fold) GROUP BY penalty), best AS (SELECT * FROM scores ORDER BY cv_mse, penalty LIMIT 1),
+    whole AS (SELECT {_ADDED} FROM parts), model AS (SELECT m.* FROM ({_ridge_sql("whole", "n")}) m JOIN best USING (penalty))"""
+_PREDICTION = r9("b + b0 * x0 + b1 * x1 + b2 * x2", "prediction")
+
+
+def _training(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = order_atoms(spark, sf_dir).select("document_id", "atom_id", (F.col("price") / 1e5).alias("x_price"), F.col("tax").alias("x_tax"), (F.col("tokens") / 50).alias("x_tokens"), F.col("discount").alias("target"))
-    rows = rows.withColumn("fold", (draw(1, F.col("document_id")) % 5).cast("int"))
-    model = learning.fit_ridge(rows, names, "target")
-    return learning.predict(rows, model).select("document_id", "atom_id", F.round("prediction", 9).alias("prediction"))
+    return rows.withColumn("fold", (draw(1, F.col("document_id")) % 5).cast("int"))
 
 
-@query()
+@query(f"{_RIDGE} SELECT document_id, atom_id, {_PREDICTION} FROM rows, model")
+def ridge_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _training(spark, sf_dir)
+    return rounded(learning.predict(rows, learning.fit_ridge(rows, list(_X), "target")).select("document_id", "atom_id", "prediction"))
+
+
+@query(f"{_RIDGE} SELECT 'Ridge' AS family, penalty AS alpha, {r9('cv_mse', 'cv_mse')}, (SELECT count(*) FROM rows) AS n_train_atoms, (SELECT count(DISTINCT document_id) FROM rows) AS n_train_documents FROM best")
+def policy_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = learning.fit_policy(_training(spark, sf_dir), list(_X), "target")
+    row = (m["family"], m["params"]["alpha"], m["cv_mse"], m["n_train_atoms"], m["n_train_documents"])
+    return rounded(spark.createDataFrame([row], "family string, alpha double, cv_mse double, n_train_atoms long, n_train_documents long"))
+
+
+@query(f"""WITH {ORDER_ATOMS}, {_ROWS}, cells AS (SELECT fold, inner_fold, {_MOMENTS_SQL} FROM rows GROUP BY fold, inner_fold), folds AS (SELECT DISTINCT fold AS held FROM cells),
+    rest AS (SELECT held, i AS inner_fold, {_ADDED} FROM folds, range(4) r(i), cells WHERE fold <> held AND inner_fold <> i GROUP BY held, i), tests AS (SELECT held, inner_fold, {_ADDED} FROM folds JOIN cells ON fold <> held GROUP BY held, inner_fold),
+    solved AS ({_ridge_sql("rest", "held, inner_fold")}), scores AS (SELECT held, penalty, avg({_ERROR}) AS mse FROM solved JOIN tests USING (held, inner_fold) GROUP BY held, penalty),
+    best AS (SELECT held, penalty FROM scores QUALIFY row_number() OVER (PARTITION BY held ORDER BY mse, penalty) = 1), trains AS (SELECT held, {_ADDED} FROM tests GROUP BY held),
+    models AS (SELECT m.* FROM ({_ridge_sql("trains", "held")}) m JOIN best USING (held, penalty)) SELECT document_id, atom_id, {_PREDICTION} FROM rows JOIN models ON fold = held""")
 def nested_crossfit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ["x_price", "x_tax", "x_tokens"]
-    rows = order_atoms(spark, sf_dir).select("document_id", "atom_id", (F.col("price") / 1e5).alias("x_price"), F.col("tax").alias("x_tax"), (F.col("tokens") / 50).alias("x_tokens"), F.col("discount").alias("target"))
-    rows = rows.withColumns({"outer_fold": (draw(1, F.col("document_id")) % 5).cast("int"), "inner_fold": (draw(2, F.col("document_id")) % 4).cast("int")})
-    return learning.nested_crossfit(rows, names, "target").select("document_id", "atom_id", F.round("prediction", 9).alias("prediction"))
+    rows = _training(spark, sf_dir).withColumnRenamed("fold", "outer_fold").withColumn("inner_fold", (draw(2, F.col("document_id")) % 4).cast("int"))
+    return rounded(learning.nested_crossfit(rows, list(_X), "target").select("document_id", "atom_id", "prediction"))
+
+
+# Prior access, costs, lineage.
+
+_PRIOR_ROLES = ("A", "N", "R", "X")
+
+
+@query(f"""WITH {RECORDS}, used AS (SELECT *, 1e0 / pi AS w, d_plus - r_minus AS gap FROM records WHERE line % 2 = 1 AND tokens > 10), sums AS (SELECT document_id, role, sum(w * gap) AS a, sum(w) AS b FROM used GROUP BY document_id, role),
+    {_taken_sql("sums", 13, inference.FINAL_REPLICATES)}, v AS (SELECT role, sum(times * a) / sum(times * b) AS v FROM taken GROUP BY role, replicate HAVING sum(times * b) > 0),
+    ends AS (SELECT role, quantile_cont(v, 0.025) AS lower, quantile_cont(v, 0.975) AS upper FROM v GROUP BY role),
+    points AS (SELECT role, count(*) AS n_slots, count(DISTINCT document_id) AS n_documents, avg(d_plus) AS r_natural, avg(r_minus) AS r_blocked, sum(w * gap) / sum(w) AS estimate, avg(gap) AS unweighted_mean FROM used GROUP BY role)
+    SELECT role, coalesce(n_slots, 0) AS n_slots, coalesce(n_documents, 0) AS n_documents, {r9("r_natural", "r_natural")}, {r9("r_blocked", "r_blocked")}, {r9("estimate", "estimate")}, {r9("unweighted_mean", "unweighted_mean")},
+    {r9("lower", "lower")}, {r9("upper", "upper")}, CASE WHEN n_slots IS NULL THEN 'NOT_ESTIMABLE' ELSE 'ESTIMABLE' END AS status, coalesce(estimate >= 0.1, false) AS clears_threshold
+    FROM (SELECT unnest({list(_PRIOR_ROLES)}) AS role) LEFT JOIN points USING (role) LEFT JOIN ends USING (role)""")
+def matched_prior_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    slots = records(spark, sf_dir).select("document_id", "role", F.col("d_plus").alias("y_nat"), F.col("r_minus").alias("y_blk"), "pi", (F.col("line") % 2 == 1).alias("is_focal"), (F.col("tokens") > 10).alias("is_compliant"))
+    return rounded(estimands.matched_prior_estimates(slots, list(_PRIOR_ROLES), seed=13))
+
+
+@query(f"""WITH {PROVIDER_CALLS}, costed AS (SELECT provider, (greatest(0, input_tokens) * i + greatest(0, output_tokens) * o) / 1e6 AS cost FROM calls LEFT JOIN (VALUES ('click', 0.5e0, 1.5e0), ('view', 3e0, 15e0)) p(provider, i, o) USING (provider))
+    SELECT provider, count(*) AS n_calls, {r9("coalesce(sum(cost), 0e0)", "spend_usd")}, count(*) FILTER (cost IS NULL) AS n_unpriced, CASE WHEN provider IS NULL THEN coalesce(sum(cost), 0e0) <= 1 END AS ceiling_respected FROM costed GROUP BY GROUPING SETS ((provider), ())""")
+def cost_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prices = spark.createDataFrame([("click", 0.5, 1.5), ("view", 3.0, 15.0)], "provider string, input_usd double, output_usd double")
+    return rounded(events.cost_ledger(events.call_costs(provider_calls(spark, sf_dir), prices), 1.0))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 AND event_id % 7 = 0 THEN 'raw_response_sha256,cell_id' WHEN event_id % 3 = 0 THEN 'raw_response_sha256' ELSE 'cell_id' END AS violations FROM events
+    WHERE event_type <> 'error' AND event_id % 5 <> 0 AND (event_id % 3 = 0 OR event_id % 7 = 0)""")
+def untraced_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("event_id")
+    results = read(spark, sf_dir, "events").select(
+        "event_id", F.when(F.col("event_type") == "error", "FAILED").otherwise("COMPLETE").alias("status"), F.when(i % 5 != 0, F.col("value")).alias("estimate"),
+        F.when(i % 3 != 0, F.sha2(i.cast("string"), 256)).alias("raw_response_sha256"), F.when(i % 7 == 0, " ").otherwise(i.cast("string")).alias("cell_id"),
+    )
+    return validation.untraced_estimates(results).select("event_id", F.array_join("violations", ",").alias("violations"))

@@ -104,6 +104,19 @@ def privacy_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.line_findings(_documents(spark, sf_dir), "document_id", "text").select("document_id", "line_number", "rule")
 
 
+@query(r"""WITH l AS (SELECT page_id, unnest(string_split_regex(html, '\r\n|\n|\r')) AS line, generate_subscripts(string_split_regex(html, '\r\n|\n|\r'), 1) AS line_number FROM pages),
+    p AS (SELECT *, concat(line, CASE page_id % 4 WHEN 0 THEN ' is state-of-the-art' WHEN 1 THEN ' (under review)' WHEN 2 THEN ' C:\\Users\\bob ~/Desktop/x ' ELSE '' END) AS said FROM l WHERE line_number = 1),
+    r AS (SELECT page_id, unnest([CASE WHEN page_id % 4 = 0 AND page_id % 3 > 0 THEN 'claim_hygiene' END, CASE WHEN page_id % 4 = 1 AND page_id % 3 > 0 THEN 'review_language' END,
+        CASE WHEN page_id % 4 = 2 THEN 'windows_user_path' END, CASE WHEN page_id % 4 = 2 THEN 'desktop_path' END]) AS rule FROM p) SELECT page_id, rule FROM r WHERE rule IS NOT NULL""")
+def prose_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First lines of pages with a phrase or a path added; the rules of prose hold for two pages in three."""
+    k = F.col("page_id")
+    added = F.when(k % 4 == 0, " is state-of-the-art").when(k % 4 == 1, " (under review)").when(k % 4 == 2, " C:\\\\Users\\\\bob ~/Desktop/x ").otherwise("")
+    lines = read(spark, sf_dir, "pages").select("page_id", F.concat(F.element_at(F.split("html", "\r\n|\n|\r"), 1), added).alias("text"))
+    rules = ("claim_hygiene", "review_language", "windows_user_path", "desktop_path")
+    return T.line_findings(lines, "page_id", "text", k % 3 > 0).where(F.col("rule").isin(*rules)).select("page_id", "rule")
+
+
 # Facts of the composed disclosures.
 
 
@@ -260,6 +273,26 @@ def allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
 # The mock study, end to end.
 
 
+#: Another way to write each kind of value.
+_OTHER_SURFACE = """CASE WHEN lead = ' by ' THEN replace(surface, '%', ' percent') WHEN lead = ' for ' THEN concat('fiscal ', substr(surface, 3)) WHEN role IN ('numeric', 'period') THEN canonical_value WHEN role = 'provenance' THEN lower(surface) ELSE upper(surface) END"""
+
+
+@query(rf"""WITH {_EDITED}, other AS (SELECT *, {_OTHER_SURFACE} AS piece FROM counted),
+    swapped AS (SELECT *, CASE WHEN lead = ' by ' THEN regexp_replace(message, concat('\b', surface), piece, 'g') WHEN lead <> '' THEN replace(message, concat(lead, surface), concat(lead, piece)) ELSE replace(message, surface, piece) END AS said FROM other)
+    SELECT document_id, role, canonical_value, CASE WHEN transmitted = 1 THEN said END AS text, CASE WHEN transmitted = 1 THEN 'sham' ELSE 'absent' END AS reason,
+    CAST(CASE WHEN transmitted = 1 THEN (length(message) - length(rest)) / length(surface) ELSE 0 END AS INT) AS occurrences, concat(message, chr(10), '- scope: Atlantis') AS longer FROM swapped""")
+def sham_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Focal facts written another way where the message has them, and the message with a line that says nothing about them."""
+    facts = design.select_focal(A.atoms_of(disclosures(spark, sf_dir), (*_FOCAL_COLUMNS, "surface_form")), 7).join(_head_messages(spark, sf_dir), "document_id")
+    surface, role, value = F.col("surface_form"), F.col("role"), F.col("canonical_value")
+    other = (
+        F.when((role == "numeric") & value.endswith("%"), F.replace(surface, F.lit("%"), F.lit(" percent"))).when((role == "period") & surface.startswith("FY"), F.concat(F.lit("fiscal "), F.substring(surface, 3, 9)))
+        .when(role.isin("numeric", "period"), value).when(role == "provenance", F.lower(surface)).otherwise(F.upper(surface))
+    )
+    shams = facts.withColumn("s", M.sham_col("sham_delete", "message", "canonical_value", "role", other)).withColumn("i", M.sham_col("sham_insert", "message", "canonical_value", "role", F.lit("- scope: Atlantis")))
+    return shams.select("document_id", "role", "canonical_value", "s.text", "s.reason", "s.occurrences", F.col("i.text").alias("longer"))
+
+
 #: What a message says its receiver answers; an edit turns that round.
 _STUDY = f"""{_EDITED}, records AS (SELECT document_id, role, pi, transmitted, 1e0 AS d_plus, CASE WHEN {draw_sql("'prior'", "role", "canonical_value")} % 10 < 2 THEN 1e0 ELSE 0e0 END AS r_minus FROM counted)"""
 

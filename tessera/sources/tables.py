@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import hashlib
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tessera.functions.text import has_secret
+from tessera.operators.ranks import with_place
 
 DOCUMENT = "document_id string, issuer_id string, fiscal_year int, text string, retrieved_utc string, source_url string, licence string"
 INVENTORY = "document_id string, atom_id string, role string, canonical_value string, surface_form string, char_start int, char_end int, sentence_index int, occurrence_count int, verification string"
@@ -61,21 +65,72 @@ def append_ledger(calls: DataFrame, folder: str) -> None:
     guarded.write.mode("append").json(folder)
 
 
-def outcome_digest(outcomes: DataFrame, order: list[str]) -> DataFrame:
-    """One row: SHA-256 over the digests of the rows' JSON, sorted; the same for any partitioning.
+def _line(outcomes: DataFrame) -> Column:
+    return F.to_json(F.struct(*sorted(outcomes.columns)))
+
+
+def outcome_digest(outcomes: DataFrame, order: list[str], lines: int = 10_000) -> DataFrame:
+    """One row: the SHA-256 of the outcomes as JSON lines with sorted keys, in the given order.
 
-    Each row is reduced to its digest first; digests are joined in order by
-    their first four digits, those results by the first two, and those at last,
-    so no task gathers more than one in 65,536 of the rows.
+    Up to `lines` rows it is that of the bytes themselves; more are cut into
+    runs of so many lines, and it is that of the runs' digests, one after
+    another, so that no task gathers more than one run or all runs' digests.
     """
-    line = F.sha2(F.to_json(F.struct(*sorted(outcomes.columns))), 256).alias("h")
-    level = outcomes.select(line, F.lit(1).cast("long").alias("n")).withColumn("p", F.substring("h", 1, 4))
-    for digits in (2, 0):
-        joined = F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256)
-        level = level.groupBy("p").agg(joined.alias("h"), F.sum("n").alias("n"))
-        level = level.select(F.concat("p", "h").alias("h"), "n", F.substring("p", 1, digits).alias("p"))
-    whole = F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256)
-    return level.agg(whole.alias("sha256"), F.sum("n").alias("n_rows"))
+    placed = with_place(outcomes.select(*order, F.concat(_line(outcomes), F.lit("\n")).alias("_line")), order, "_place")
+    runs = placed.groupBy(F.floor(F.col("_place") / lines).alias("_run")).agg(F.sort_array(F.collect_list(F.struct("_place", "_line"))).alias("_lines"))
+    digests = runs.select("_run", F.size("_lines").cast("long").alias("_n"), F.sha2(F.array_join(F.col("_lines._line"), ""), 256).alias("_h"))
+    listed = digests.agg(F.sort_array(F.collect_list(F.struct("_run", "_h"))).alias("_all"), F.coalesce(F.sum("_n"), F.lit(0)).alias("n_rows"))
+    joined = F.array_join(F.col("_all._h"), "")
+    return listed.select(F.when(F.size("_all") == 1, joined).otherwise(F.sha2(joined, 256)).alias("sha256"), "n_rows")
+
+
+def write_outcomes(outcomes: DataFrame, folder: str, order: list[str], form: str = "jsonl") -> DataFrame:
+    """Write outcomes as JSON lines with sorted keys or as CSV, in order across the parts; the parts' names, digests and sizes.
+
+    Rows that break a rule of the batch (validation.outcome_violations) stop
+    the write.
+    """
+    from tessera.operators.validation import outcome_violations
+
+    if form not in ("jsonl", "csv"):
+        raise ValueError(f"unknown form {form!r}")
+    broken = outcome_violations(outcomes).where(F.size("violations") > 0)
+    if not broken.isEmpty():
+        raise ValueError(f"outcomes break the rules {sorted(broken.first()['violations'])}")
+    ranged = outcomes.repartitionByRange(*order).sortWithinPartitions(*order)
+    if form == "jsonl":
+        ranged.select(_line(outcomes).alias("value")).write.text(folder)
+    else:
+        ranged.select(*sorted(outcomes.columns)).write.option("header", True).csv(folder)
+    parts = file_manifest(outcomes.sparkSession, folder).where(F.col("path").rlike("/part-[^/]*$"))
+    return parts.select(F.element_at(F.split("path", "/"), -1).alias("file"), "sha256", "bytes")
+
+
+#: Marks of a field that is still open.
+OPEN = ("", "UNFROZEN", "TBD", "PROPOSED")
+
+
+def freeze_record(kind: str, fields: dict, required: list[str]) -> str:
+    """A record of frozen settings as JSON with its own SHA-256; an open field is an error."""
+    gaps = [f for f in required if fields.get(f) is None or fields[f] in OPEN]
+    if gaps:
+        raise ValueError(f"the {kind} record lacks {', '.join(gaps)}")
+    body = {"fields": fields, "kind": kind}
+    digest = hashlib.sha256(json.dumps(body, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    return json.dumps(body | {"record_sha256": digest}, indent=2, sort_keys=True) + "\n"
+
+
+#: What a result must name to be traced: lists that are not empty, and the digest of its file.
+TRACED = ("run_ids", "source_hashes", "config_hashes", "model_revisions")
+
+
+def results_manifest(entries: DataFrame) -> DataFrame:
+    """entries (artifact, kind, the lists of TRACED, artifact_sha256) with gaps, the parts of their lineage that are missing, and a digest of each."""
+    from tessera.operators.validation import reasons
+
+    gaps = reasons({c: F.size(c) > 0 for c in TRACED} | {"artifact_sha256": F.col("artifact_sha256").isNotNull()})
+    body = F.to_json(F.struct(*sorted(entries.columns)), {"ignoreNullFields": "false"})
+    return entries.select("*", gaps.alias("gaps"), F.sha2(body, 256).alias("entry_sha256"))
 
 
 def file_manifest(spark: SparkSession, path: str) -> DataFrame:

@@ -41,6 +41,22 @@ def ledger_summary(calls: DataFrame) -> DataFrame:
     )
 
 
+def call_costs(calls: DataFrame, prices: DataFrame) -> DataFrame:
+    """calls with cost_usd: tokens (unknown ones as none) at their provider's prices for a million; null without a price.
+
+    prices: (provider, input_usd, output_usd), a short list.
+    """
+    known = lambda c: F.greatest(F.lit(0), F.col(c))
+    cost = (known("input_tokens") * F.col("input_usd") + known("output_tokens") * F.col("output_usd")) / 1e6
+    return calls.join(prices, "provider", "left").withColumn("cost_usd", cost).drop("input_usd", "output_usd")
+
+
+def cost_ledger(costed: DataFrame, ceiling: float) -> DataFrame:
+    """Spending by provider and in all (provider null), calls without a price, and whether the whole stays under the ceiling."""
+    out = costed.rollup("provider").agg(F.count("*").alias("n_calls"), F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("spend_usd"), F.count_if(F.col("cost_usd").isNull()).alias("n_unpriced"))
+    return out.withColumn("ceiling_respected", F.when(F.col("provider").isNull(), F.col("spend_usd") <= ceiling))
+
+
 def append_stream(events: DataFrame, folder: str, checkpoint: str):
     """A query that appends a stream of events to a folder as JSON, once through what is there."""
     return events.writeStream.format("json").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
