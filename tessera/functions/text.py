@@ -176,9 +176,16 @@ def line_findings(files: DataFrame, key: str, text: str, prose: Column | None =
     """(key, line_number, rule, excerpt): one row for each rule that a line breaks.
 
     prose: where true, the rules for public prose hold too. Lines count from 1.
+    Few lines hold a mark without which no rule can be broken; only those go
+    through the rules.
     """
     lines = files.select(key, (F.lit(False) if prose is None else prose).alias("_prose"), F.posexplode(F.split(text, "\r\n|\n|\r")).alias("_i", "_line"))
-    rules = [(n, p, False) for n, p in L.LINE_RULES] + [(n, p, True) for n, p in L.PROSE_RULES]
+    marks = L.LINE_MARKS + (() if prose is None else L.PROSE_MARKS)
+    low, marked = F.lower("_line"), F.lit(False)
+    for mark in marks:
+        marked = marked | low.contains(mark)
+    lines = lines.where(marked)
+    rules = [(n, p, False) for n, p in L.LINE_RULES] + [(n, p, True) for n, p in L.PROSE_RULES if prose is not None]
     hits = []
     for name, pattern, only_prose in rules:
         hit = F.col("_line").rlike(pattern)
