@@ -82,3 +82,81 @@ def test_every_class_keeps_a_row_where_ids_repeat(spark):
     rows = [(1, a), (1, b), (1, b), (3, a), (4, b), (5, c), (2, "other text"), (5, "other text"), (6, c)]
     kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, kept)) == sorted([(1, a), (1, b), (2, "other text"), (5, c)])
+
+
+def test_every_stage_of_the_pipeline_against_brute_force(spark, tmp_path):
+    """The stages on the documents of sf0.01, each held against a plain computation on its own input."""
+    import duckdb
+
+    import corpus_pipeline
+    from tests.conftest import SF
+    from tests.llm.test_tables import brute_fingerprint, classes
+
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    bench = duckdb.sql(f"SELECT text FROM '{SF}/benchmark.parquet'").df()
+    word = __import__("re").compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    fold = lambda t: [w.translate({c: c + 32 for c in range(65, 91)}) for w in word.findall(t or "")]
+
+    def toxic(docs):
+        model = toxicity.train(spark.read.parquet(f"{SF}/documents.parquet"), labels)
+        return docs[[toxicity.score_text(t or "", model) < 0.3 for t in docs.text]]
+
+    def copies(docs):
+        v = np.array([brute_fingerprint(t) for t in docs.text], dtype=np.uint64)
+        roots = classes(len(v), [(i, int(j)) for i in range(len(v)) for j in np.flatnonzero(np.bitwise_count(v[i] ^ v) <= 4) if i < j])
+        least = docs.doc_id.groupby(np.array(roots)).transform("min") if len(docs) else docs.doc_id
+        return docs[docs.doc_id == least]
+
+    def clean(docs):
+        items = [w for w in map(fold, bench.text) if w]
+        windows = {tuple(w[i : i + 13]) for w in items for i in range(max(1, len(w) - 12))}
+        sizes = {len(w) for w in windows}
+
+        def share(text):
+            words = fold(text)
+            hit = {i + j for m in sizes for i in range(len(words) - m + 1) if tuple(words[i : i + m]) in windows for j in range(m)}
+            return len(hit) > 0 and 20 * len(hit) >= len(words)
+
+        return docs[[not share(t) for t in docs.text]]
+
+    def drawn(docs):
+        con = duckdb.connect()
+        con.register("documents", docs)
+        parameters = queries.MIX
+        try:
+            queries.MIX = {"share": 0.8, "temper": 0.7, "rounds": 6, "seed": 11}  # the operator's own, which the stage uses
+            kept = con.execute(queries.op5_sql()).df()
+        finally:
+            queries.MIX = parameters
+        return docs[docs.doc_id.isin(kept[kept.sampled].doc_id)]
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for (name, stage), brute in zip(corpus_pipeline.STAGES, [toxic, copies, clean, drawn]):
+        want = brute(docs.toPandas())
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns
+        found = got.toPandas()
+        assert sorted(found.doc_id) == sorted(want.doc_id), name
+        assert 0 < len(found) < docs.count(), name
+        got.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+    dealt = corpus_pipeline.STAGES[-1][1](spark, docs, SF).toPandas()
+    assert sorted(dealt.doc_id) == sorted(found.doc_id) and dealt.groupby("shard").size().agg(["min", "max"]).diff().iloc[1] <= 1
+
+
+def test_pipeline_on_nulls_empty_tables_and_clashing_names(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(1, None, None, None), (2, "", "en", "a"), (3, "one two three four five", "en", "a"), (3, "one two three four five", "en", "a"), (None, "no id at all here", None, None), (4, "x " * 30_000, "de", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "7 AS fp", "7 AS score", "7 AS spans", "7 AS probability", "7 AS shard", "7 AS curve")
+    for name, some in (("whole", docs), ("empty", docs.limit(0))):
+        folder = str(tmp_path / name)
+        some.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        kept = spark.read.parquet(f"{folder}/documents.parquet")
+        for stage, function in corpus_pipeline.STAGES[:3]:
+            kept = function(spark, kept, folder)
+            assert kept.columns == docs.columns
+        assert sorted((r.doc_id for r in kept.collect()), key=str) == ([] if name == "empty" else sorted([1, 3, 4, None], key=str))
+        assert corpus_pipeline.run(spark, folder).count() <= kept.count()
