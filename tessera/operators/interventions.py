@@ -45,7 +45,7 @@ def blocked_values(slots: DataFrame, support: DataFrame, seed: int) -> DataFrame
     a null.
     """
     listed = support.select("role", "value").distinct().groupBy("role").agg(F.array_sort(F.collect_list("value")).alias("_values"))
-    joined = slots.join(F.broadcast(listed), "role", "left")
+    joined = slots.join(listed, "role", "left")
     others = F.filter("_values", lambda v: v != F.col("canonical_value"))
     place = draw(seed, F.col("slot_id"), F.col("role"))
     return joined.withColumn("_others", others).withColumn("blocked_value", F.when(F.size("_others") > 0, F.element_at("_others", (place % F.size("_others") + 1).cast("int")))).drop("_values", "_others")

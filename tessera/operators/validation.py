@@ -140,7 +140,7 @@ def registry_eligibility(entries: DataFrame) -> DataFrame:
 def family_of(entries: DataFrame, declared: DataFrame) -> DataFrame:
     """entries with their family: the declared block, else the entry's own, else its name."""
     block = declared.select("name", F.col("family").alias("_family"))
-    return entries.join(F.broadcast(block), "name", "left").withColumn("family", F.coalesce("_family", F.nullif("method_family", F.lit("")), "name")).drop("_family")
+    return entries.join(block, "name", "left").withColumn("family", F.coalesce("_family", F.nullif("method_family", F.lit("")), "name")).drop("_family")
 
 
 #: Providers and the actions of each policy rule.
@@ -177,7 +177,7 @@ def policy_decision(requests: DataFrame) -> DataFrame:
 
 def endpoint_violations(pairs: DataFrame, applicable: DataFrame) -> DataFrame:
     """(family, metric) pairs that no rule allows."""
-    return pairs.join(F.broadcast(applicable), ["family", "metric"], "left_anti")
+    return pairs.join(applicable, ["family", "metric"], "left_anti")
 
 
 def typed_absence(rows: DataFrame, value: str, estimable: str) -> DataFrame:
