@@ -7,7 +7,7 @@
 2. Segments of the other keys are cut from the texts, equal ones are counted
    together, and distinct ones are dealt to shards by key. A key with very
    many distinct segments is dealt by its single windows instead, so that no
-   key fills a shard.
+   key fills a shard; of equal ones two copies go to the index.
 3. Each shard builds a compressed FM-index of its segments and streams them
    against it: backward search gives, for each place, how far the words to its
    left still occur twice; intervals of 35 words or more are reported.
@@ -207,9 +207,11 @@ def repeated_segments(docs: DataFrame) -> DataFrame:
     found = "words_digest binary, hit long"
     hits = calm.groupBy("shard").applyInPandas(_search_shard, found)
     windows = _single_windows(distinct.join(hot, "key", "left_semi")).withColumn("window_digest", F.unhex(F.sha2("words", 256)))
-    apart = windows.groupBy(F.col("window_digest").alias("words_digest"), "words").agg(F.sum("times").alias("times"))
+    # two copies of a window are as good as thousands: the index finds the second, and no shard fills with one window
+    apart = windows.groupBy(F.col("window_digest").alias("words_digest"), "words").agg(F.sum("times").alias("n"))
+    apart = apart.select("words_digest", "words", F.explode(F.array_repeat(F.lit(1).cast("long"), F.least("n", F.lit(2)).cast("int"))).alias("times"))
     apart = apart.withColumn("shard", F.pmod(F.xxhash64("words_digest"), F.lit(shards)))
-    apart_hits = apart.groupBy("shard").applyInPandas(_search_shard, found).select(F.col("words_digest").alias("window_digest"))
+    apart_hits = apart.groupBy("shard").applyInPandas(_search_shard, found).select(F.col("words_digest").alias("window_digest")).distinct()
     of_windows = windows.select("words_digest", "offset", "window_digest").join(apart_hits, "window_digest")
     of_windows = of_windows.groupBy("words_digest").agg(F.bit_or(F.expr("shiftleft(1L, offset)")).alias("hit"))
     hits = hits.unionByName(of_windows)
