@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -101,3 +102,34 @@ def common_documents(rows: DataFrame, by: str) -> DataFrame:
 def status_accounting(leaves: DataFrame) -> DataFrame:
     """How many leaves of a protocol stand at each status; those without one are UNDECLARED."""
     return leaves.groupBy(F.coalesce("status", F.lit("UNDECLARED")).alias("status")).agg(F.count("*").alias("n"))
+
+
+def leaves(document: object) -> list[tuple[str, str | None, str | None]]:
+    """(path, status, value) of every leaf of a protocol: a mapping with a status, or any other value, in document order.
+
+    A list of plain values is one value; value is its JSON, null for a leaf
+    with a status.
+    """
+    out, todo = [], [("", document)]
+    while todo:
+        path, node = todo.pop()
+        if isinstance(node, dict) and "status" in node:
+            out.append((path, str(node["status"]).strip().lower(), None))
+        elif isinstance(node, dict):
+            todo += [(f"{path}.{k}" if path else str(k), v) for k, v in reversed(node.items())]
+        elif isinstance(node, list) and any(isinstance(v, (dict, list)) for v in node):
+            # plain values among nested ones are no leaves of their own
+            todo += [(f"{path}[{i}]", v) for i, v in reversed(list(enumerate(node))) if isinstance(v, (dict, list))]
+        else:
+            out.append((path, None, json.dumps(node, sort_keys=True)))
+    return out
+
+
+def protocol_leaves(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, path, status, value) of the leaves of each JSON document; a null text has none, bad JSON is an error."""
+
+    @F.udf("array<struct<path:string,status:string,value:string>>", useArrow=True)
+    def walk(raw):
+        return None if raw is None else leaves(json.loads(raw))
+
+    return documents.select(key, F.explode(walk(F.col(text))).alias("leaf")).select(key, "leaf.*")

@@ -120,3 +120,9 @@ def role_sample(atoms: DataFrame, seed: int, n: int) -> DataFrame:
 def splits_overlap(splits: DataFrame) -> DataFrame:
     """Documents in more than one split; a clean partition has none."""
     return splits.groupBy("document_id").agg(F.count_distinct("split").alias("n_splits")).where("n_splits > 1")
+
+
+def reserve_order(items: DataFrame, truth: str, position: str, n: int = 100) -> DataFrame:
+    """The first n items of each truth value in the frozen order of `position`, with their place there; nulls of truth are left out."""
+    place = F.row_number().over(W.partitionBy(truth).orderBy(position))
+    return items.where(F.col(truth).isNotNull()).withColumn("place", place).where(F.col("place") <= n)

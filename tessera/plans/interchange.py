@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.functions import atoms as A, manuscript, matching as M
 from tessera.functions.draws import draw, draw_sql
-from tessera.operators import benchmark, design, estimands, prompts, validation
+from tessera.operators import benchmark, design, estimands, figures, prompts, validation
 from tessera.sources import tables
 from tessera.streaming import events
 
 from .adapters import COMPOSED, DISCLOSURES, ORDER_ATOMS, RUN_EVENTS, SURFACES, disclosures, order_atoms, provider_calls, read, records, run_events
+from . import relational
 from .relational import ORACLE_SQL as RELATIONAL_SQL, r9, rounded
+from .textual import EDITED_SQL, edited
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -132,6 +134,59 @@ def decomposition_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars.select("label", "part", (F.round("bottom", 8) + 0.0).alias("bottom"), (F.round("height", 8) + 0.0).alias("height"))
 
 
+@query(f"""SELECT role AS label, round(r_bar_zero, 8) + 0e0 AS x, round(r_observational, 8) + 0e0 AS y, round(r_observational - r_bar_zero, 8) + 0e0 AS bias FROM ({RELATIONAL_SQL["decompose_by_role"]}) WHERE r_observational IS NOT NULL""")
+def figure_selection_bias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = figures.selection_bias_points(rounded(estimands.decompose_by_role(records(spark, sf_dir))), "role")
+    return points.select("label", *((F.round(c, 8) + 0.0).alias(c) for c in ("x", "y", "bias")))
+
+
+@query(f"""SELECT CAST(CASE bin WHEN 'low' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END AS INT) AS place, bin, mean, n FROM ({RELATIONAL_SQL["dose_response"]}) WHERE mean IS NOT NULL""")
+def figure_dose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return figures.dose_points(relational.dose_response(spark, sf_dir))
+
+
+@query(f"""SELECT role AS label, estimate AS point, round(estimate - lower, 8) + 0e0 AS below, round(upper - estimate, 8) + 0e0 AS above, estimate >= 0.1 AS clears FROM ({RELATIONAL_SQL["matched_prior_estimates"]}) WHERE estimate IS NOT NULL""")
+def figure_contrasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = figures.contrast_bars(relational.matched_prior_estimates(spark, sf_dir), "role")
+    return bars.select("label", "point", (F.round("below", 8) + 0.0).alias("below"), (F.round("above", 8) + 0.0).alias("above"), "clears")
+
+
+@query(f"""SELECT mechanism, e AS epsilon_bar, round(greatest(-1e0, least(1e0, point_corrected - e)), 8) + 0e0 AS lower, round(greatest(-1e0, least(1e0, point_corrected + e)), 8) + 0e0 AS upper
+    FROM ({RELATIONAL_SQL["population_region"]}), (SELECT unnest([0e0, 0.05e0, 0.1e0, 0.2e0]) AS e)""")
+def figure_placebo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bands = figures.placebo_bands(relational.population_region(spark, sf_dir), [0.0, 0.05, 0.1, 0.2])
+    return bands.select("mechanism", "epsilon_bar", (F.round("lower", 8) + 0.0).alias("lower"), (F.round("upper", 8) + 0.0).alias("upper"))
+
+
+@query(f"WITH {ORDER_ATOMS} SELECT round(discount - tax, 9) + 0e0 AS x, transmitted AS y, count(*) AS n FROM order_atoms GROUP BY ALL")
+def figure_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return figures.allocation_points(order_atoms(spark, sf_dir).select((F.round(F.col("discount") - F.col("tax"), 9) + 0.0).alias("delta_budget"), "transmitted"))
+
+
+@query(f"""SELECT 'head' AS method, hop, endpoint_fidelity AS fidelity, t_bar AS transmission FROM ({RELATIONAL_SQL["decompose_by_hop"]})""")
+def figure_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return figures.depth_series(relational.decompose_by_hop(spark, sf_dir), F.lit("head"))
+
+
+@query(f"""SELECT document_id, role, canonical_value, message AS "natural", text_after AS other, CASE WHEN transmitted = 1 THEN 'del' ELSE 'ins' END AS mechanism FROM (WITH {EDITED_SQL} SELECT * FROM counted) ORDER BY document_id, role, canonical_value LIMIT 6""")
+def figure_gallery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return figures.gallery(edited(spark, sf_dir))
+
+
+@query("""SELECT c_custkey, unnest(['design.seed', 'design.roles', 'models[0]', 'models[1].name', 'models[1].revision']) AS path, unnest(['frozen', NULL, CASE WHEN c_custkey % 2 = 0 THEN 'proposed' ELSE 'tbd' END, NULL, NULL]) AS status,
+    unnest([NULL, '["a", "b"]', NULL, concat('"', c_name, '"'), 'null']) AS value FROM customer""")
+def protocol_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read(spark, sf_dir, "customer")
+    status = F.when(F.col("c_custkey") % 2 == 0, "Proposed").otherwise(" TBD")
+    text = F.concat(F.lit('{"design": {"seed": {"status": "FROZEN", "value": 7}, "roles": ["a", "b"]}, "models": [{"status": "'), status, F.lit('"}, {"name": "'), F.col("c_name"), F.lit('", "revision": null}, 5]}'))
+    return benchmark.protocol_leaves(c.select("c_custkey", text.alias("text")), "c_custkey", "text")
+
+
+@query("""SELECT event_id, event_type, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS place FROM events) WHERE place <= 100""")
+def reserve_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return design.reserve_order(read(spark, sf_dir, "events").select("event_id", "event_type"), "event_type", "event_id")
+
+
 @query("SELECT CAST(l_orderkey AS VARCHAR) AS document_id FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_returnflag) = 3")
 def common_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark.common_documents(order_atoms(spark, sf_dir), "role")

@@ -218,7 +218,7 @@ def transmitted(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FOCAL_COLUMNS = ("document_id", "atom_id", "role", "canonical_value")
 
 
-def _edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+def edited(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Focal facts with their presence in the relay's message, the edit that makes the missing arm, and both texts' answers."""
     facts = design.select_focal(A.atoms_of(disclosures(spark, sf_dir), _FOCAL_COLUMNS), 7).join(_head_messages(spark, sf_dir), "document_id")
     facts = facts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "document_id")  # Python work on small rows: not to be merged into few tasks
@@ -227,7 +227,7 @@ def _edited(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Composed facts are never part of a comparison, and leave no other form behind: every edit is accepted.
-_EDITED = rf"""{_HEADS}, strata AS (SELECT *, count(*) OVER (PARTITION BY document_id, role) AS n_s, count(DISTINCT role) OVER (PARTITION BY document_id) AS m,
+EDITED_SQL = rf"""{_HEADS}, strata AS (SELECT *, count(*) OVER (PARTITION BY document_id, role) AS n_s, count(DISTINCT role) OVER (PARTITION BY document_id) AS m,
     row_number() OVER (PARTITION BY document_id, role ORDER BY {draw_sql("'7'", "document_id", "atom_id")}, atom_id) AS i FROM sent),
     ones AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY {draw_sql("'7'", "document_id", "role")}, role) AS j FROM strata WHERE i = 1 AND m >= 3),
     focal AS (SELECT *, 3e0 / m * (1e0 / n_s) AS pi, CASE WHEN lead = ' by ' THEN regexp_replace(message, concat('\b', surface), '', 'g') WHEN lead <> '' THEN replace(message, concat(lead, surface), lead) ELSE replace(message, surface, '') END AS rest FROM ones WHERE j <= 3),
@@ -235,11 +235,11 @@ _EDITED = rf"""{_HEADS}, strata AS (SELECT *, count(*) OVER (PARTITION BY docume
     counted AS (SELECT *, len(regexp_extract_all(message, '{_ASCII_TOKEN}')) AS before, len(regexp_extract_all(text_after, '{_ASCII_TOKEN}')) AS after FROM edited)"""
 
 
-@query(f"""WITH {_EDITED} SELECT document_id, role, canonical_value, transmitted, text_after AS text, CASE WHEN transmitted = 1 THEN 'del' ELSE 'ins' END AS mechanism, true AS accepted, '' AS reason,
+@query(f"""WITH {EDITED_SQL} SELECT document_id, role, canonical_value, transmitted, text_after AS text, CASE WHEN transmitted = 1 THEN 'del' ELSE 'ins' END AS mechanism, true AS accepted, '' AS reason,
     CAST(CASE WHEN transmitted = 1 THEN (length(message) - length(rest)) / length(surface) ELSE 1 END AS INT) AS occurrences, CAST(before AS INT) AS tokens_before, CAST(after AS INT) AS tokens_after,
     CAST(CASE WHEN transmitted = 1 THEN 0 ELSE greatest(0, after - 60) END AS INT) AS overrun_tokens FROM counted""")
 def counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _edited(spark, sf_dir).select("document_id", "role", "canonical_value", "transmitted", "edit.*")
+    return edited(spark, sf_dir).select("document_id", "role", "canonical_value", "transmitted", "edit.*")
 
 
 _PLACES = "CASE role " + " ".join(f"WHEN '{r}' THEN {i}" for i, r in enumerate(ROLES)) + " END"
@@ -277,7 +277,7 @@ def allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
 _OTHER_SURFACE = """CASE WHEN lead = ' by ' THEN replace(surface, '%', ' percent') WHEN lead = ' for ' THEN concat('fiscal ', substr(surface, 3)) WHEN role IN ('numeric', 'period') THEN canonical_value WHEN role = 'provenance' THEN lower(surface) ELSE upper(surface) END"""
 
 
-@query(rf"""WITH {_EDITED}, other AS (SELECT *, {_OTHER_SURFACE} AS piece FROM counted),
+@query(rf"""WITH {EDITED_SQL}, other AS (SELECT *, {_OTHER_SURFACE} AS piece FROM counted),
     swapped AS (SELECT *, CASE WHEN lead = ' by ' THEN regexp_replace(message, concat('\b', surface), piece, 'g') WHEN lead <> '' THEN replace(message, concat(lead, surface), concat(lead, piece)) ELSE replace(message, surface, piece) END AS said FROM other)
     SELECT document_id, role, canonical_value, CASE WHEN transmitted = 1 THEN said END AS text, CASE WHEN transmitted = 1 THEN 'sham' ELSE 'absent' END AS reason,
     CAST(CASE WHEN transmitted = 1 THEN (length(message) - length(rest)) / length(surface) ELSE 0 END AS INT) AS occurrences, concat(message, chr(10), '- scope: Atlantis') AS longer FROM swapped""")
@@ -294,15 +294,15 @@ def sham_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: What a message says its receiver answers; an edit turns that round.
-_STUDY = f"""{_EDITED}, records AS (SELECT document_id, role, pi, transmitted, 1e0 AS d_plus, CASE WHEN {draw_sql("'prior'", "role", "canonical_value")} % 10 < 2 THEN 1e0 ELSE 0e0 END AS r_minus FROM counted)"""
+_STUDY = f"""{EDITED_SQL}, records AS (SELECT document_id, role, pi, transmitted, 1e0 AS d_plus, CASE WHEN {draw_sql("'prior'", "role", "canonical_value")} % 10 < 2 THEN 1e0 ELSE 0e0 END AS r_minus FROM counted)"""
 
 
 @query(decompose_sql("coalesce(role, 'pooled') AS role", "GROUP BY GROUPING SETS ((role), ())").replace(RECORDS, _STUDY))
 def mock_study(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames, facts, focal draws, relay, edits, receiver and the decomposition by role."""
-    edited = _edited(spark, sf_dir).where("edit.accepted")
+    accepted = edited(spark, sf_dir).where("edit.accepted")
     prior = F.when(draw("prior", F.col("role"), F.col("canonical_value")) % 10 < 2, 1.0).otherwise(0.0)
-    answers = edited.select("document_id", "atom_id", "role", "pi", "transmitted", prior.alias("prior"), "natural", "other")
+    answers = accepted.select("document_id", "atom_id", "role", "pi", "transmitted", prior.alias("prior"), "natural", "other")
     answer = lambda c: F.when(F.col(c) == 1, 1.0).otherwise(F.col("prior"))
     with_it = F.when(F.col("transmitted") == 1, answer("natural")).otherwise(answer("other"))
     without = F.when(F.col("transmitted") == 1, answer("other")).otherwise(answer("natural"))
