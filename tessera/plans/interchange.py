@@ -306,3 +306,9 @@ def event_stream_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = events.checked_stream(spark.readStream.schema("run_id string, sequence long").parquet(log))
     stream.writeStream.format("parquet").option("path", checked).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(checked).groupBy("run_id").agg(F.count("*").alias("n"), F.count_if(~F.col("ok")).alias("n_bad"))
+
+
+@query(f"""WITH {RUN_EVENTS} SELECT run_id, sequence, concat('id: ', sequence, chr(10), 'event: ', event_type, chr(10), 'data: ',
+    CAST(json_object('event_id', event_id, 'event_type', event_type, 'run_id', run_id, 'sequence', sequence) AS VARCHAR), chr(10), chr(10)) AS message FROM run_events""")
+def event_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.sse(run_events(spark, sf_dir).select("run_id", "sequence", "event_id", "event_type"))

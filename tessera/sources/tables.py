@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tessera.functions.text import has_secret
+from tessera.functions.text import has_secret, html_col, looks_like_html, source_frames
 from tessera.operators.ranks import with_place
 
 DOCUMENT = "document_id string, issuer_id string, fiscal_year int, text string, retrieved_utc string, source_url string, licence string"
@@ -21,6 +22,29 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(DOCUMENT).option("multiLine", True).json(folder)
 
 
+def read_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """(document_id, text): one document for each text file, named by it."""
+    return spark.read.text(folder, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("document_id"), F.col("value").alias("text"))
+
+
+def read_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """The same for HTML files, freed of their markup; files that are none are taken as they are."""
+    raw = read_texts(spark, folder)
+    return raw.select("document_id", F.when(looks_like_html(F.col("text")), html_col("text")).otherwise(F.col("text")).alias("text"))
+
+
+#: Readers of documents by name: (session, folder) to a table with document_id and text. A caller may put in its own.
+SOURCES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"json": read_documents, "text": read_texts, "html": read_pages}
+
+
+def write_source_pool(documents: DataFrame, folder: str, window: int, section: str = "full", required: bool = False) -> DataFrame:
+    """Frames of documents as parquet under `frames`, and what they are as CSV under `manifest`; the manifest."""
+    source_frames(documents, window, section, required).write.parquet(f"{folder}/frames")
+    manifest = documents.sparkSession.read.parquet(f"{folder}/frames").drop("text")
+    manifest.write.option("header", True).csv(f"{folder}/manifest")
+    return manifest
+
+
 def write_inventory(atoms: DataFrame, folder: str) -> None:
     names = [f.split(" ")[0] for f in INVENTORY.split(", ")]
     atoms.select(*names).write.option("header", True).csv(folder)

@@ -19,6 +19,31 @@ def replay(events: DataFrame, cursor: int) -> DataFrame:
     return events.where(F.col("sequence") > cursor)
 
 
+def sse(events: DataFrame) -> DataFrame:
+    """(run_id, sequence, message): each event as a server-sent event, its fields as compact JSON in sorted order."""
+    data = F.to_json(F.struct(*sorted(events.columns)))
+    message = F.concat(F.lit("id: "), F.col("sequence").cast("string"), F.lit("\nevent: "), "event_type", F.lit("\ndata: "), data, F.lit("\n\n"))
+    return events.select("run_id", "sequence", message.alias("message"))
+
+
+def deliver(events: DataFrame, send, checkpoint: str):
+    """A query that hands a stream's events to `send`, run by run and in order, from the tasks that hold them.
+
+    send(run_id, messages) is called in the executors, once for each run of
+    a batch, and again where a task is run again: receivers go by the id.
+    """
+
+    def batch(df: DataFrame, number: int) -> None:
+        def run(frame):
+            ordered = frame.sort_values("sequence")
+            send(ordered["run_id"].iloc[0], ordered["message"].tolist())
+            return ordered[["run_id"]].head(1)
+
+        sse(df).groupBy("run_id").applyInPandas(run, "run_id string").write.format("noop").mode("append").save()
+
+    return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def monotonic_violations(events: DataFrame) -> DataFrame:
     """Events whose sequence is not their place in the run."""
     place = F.row_number().over(W.partitionBy("run_id").orderBy("sequence"))

@@ -15,6 +15,7 @@ from tessera.functions import matching as M, text as T
 from tessera.operators import benchmark, design, learning
 from tessera.plans import adapters, catalog
 from tessera.sources import tables
+from tessera.streaming import events
 from tests.test_oracle import DATA
 
 
@@ -59,6 +60,35 @@ def test_freeze_records_have_no_open_field():
         tables.freeze_record("protocol", {"a": "x", "c": "TBD"}, ["a", "c"])
 
 
+def test_source_pools_come_from_any_reader(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.html").write_text("<html><body><p>One two.</p><script>x</script></body></html>")
+    (tmp_path / "in/b.txt").write_text("Plain  text\nhere")
+    (tmp_path / "json").mkdir()
+    (tmp_path / "json/c.json").write_text('{"document_id": "c", "text": "Said."}')
+    pages = tables.SOURCES["html"](spark, str(tmp_path / "in"))
+    manifest = {r.document_id: r for r in tables.write_source_pool(pages, str(tmp_path / "pool"), 100).collect()}
+    assert {k: (r.token_count, r.sha256) for k, r in manifest.items()} == {"a.html": (3, hashlib.sha256(b"One two.").hexdigest()), "b.txt": (3, hashlib.sha256(b"Plain text\nhere").hexdigest())}
+    assert {r.document_id for r in spark.read.option("header", True).csv(str(tmp_path / "pool/manifest")).collect()} == set(manifest)
+    assert {r.text for r in tables.SOURCES["text"](spark, str(tmp_path / "in")).collect()} > {"Plain  text\nhere"} and tables.SOURCES["json"](spark, str(tmp_path / "json")).first().text == "Said."
+
+
+def test_events_are_delivered_by_run_in_order(spark, tmp_path):
+    log = spark.range(60).select((F.col("id") % 3).cast("string").alias("run_id"), (20 - F.floor(F.col("id") / 3)).alias("sequence"), F.lit("stage_done").alias("event_type"))
+    log.write.parquet(str(tmp_path / "log"))
+    sink = str(tmp_path)
+
+    def send(run, messages):
+        with open(f"{sink}/sent-{run}", "a") as f:
+            f.writelines(messages)
+
+    stream = spark.readStream.schema(log.schema).parquet(str(tmp_path / "log"))
+    events.deliver(stream, send, str(tmp_path / "state")).awaitTermination()
+    for run in "012":
+        sent = (tmp_path / f"sent-{run}").read_text().split("\n\n")[:-1]
+        assert [m.split("\n")[0] for m in sent] == [f"id: {i}" for i in range(1, 21)] and json.loads(sent[0].split("data: ")[1])["run_id"] == run
+
+
 def test_registries_and_guards(spark):
     with pytest.raises(ValueError):
         benchmark.register("vanilla_relay", benchmark.full_context)
