@@ -45,7 +45,7 @@ def register(name: str, compressor: Callable[[Column, int], Column]) -> None:
     COMPRESSORS[name] = compressor
 
 
-def handoffs(frames: DataFrame, budget: int, methods: tuple[str, ...] = ("full_context", "head_truncation", "vanilla_relay")) -> DataFrame:
+def handoffs(frames: DataFrame, budget: int, methods: tuple[str, ...] = ("full_context", "head_truncation")) -> DataFrame:
     """One row for each frame and method, in one pass over the frames, with token counts and whether the budget holds.
 
     Only the full context may pass its budget; another method that does is an error.

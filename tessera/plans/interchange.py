@@ -106,7 +106,7 @@ _TOKENS = r"\w+|[^\w\s]"
         FROM (SELECT *, len(regexp_extract_all(later, '{_TOKENS}')) AS m FROM (SELECT *, regexp_extract(text, '^[^.!?]*[.!?]\s+(.*)$', 1) AS later FROM t))
     UNION ALL SELECT document_id, 'head_truncation', rtrim(CASE WHEN n <= 60 THEN text ELSE regexp_extract(text, '\A(?:\s*(?:{_TOKENS})){{60}}') END), CAST(n AS INT), CAST(least(n, 60) AS INT), 60, true FROM t""")
 def handoff_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return benchmark.handoffs(disclosures(spark, sf_dir), 60)
+    return benchmark.handoffs(disclosures(spark, sf_dir), 60, ("full_context", "head_truncation", "vanilla_relay"))
 
 
 @query("""SELECT s_name AS method, array_to_string(list_filter([CASE WHEN s_suppkey % 3 = 0 THEN 'example_ran' END, CASE WHEN abs(s_acctbal / 1000) > 2 THEN 'native_metric_reproduced' END], lambda x: x IS NOT NULL), ',') AS failed_steps,
