@@ -154,7 +154,7 @@ def _search_shard(frame):
     found = repeated_windows(sequences, frame["times"].to_numpy(), WINDOW)
     hit = [int(f.dot(1 << np.arange(len(f), dtype=np.int64))) for f in found]
     out = pd.DataFrame({"words_digest": frame["words_digest"], "hit": np.array(hit, dtype=np.int64)})
-    return out[out["hit"] != 0]
+    return out[out["hit"] != 0].drop_duplicates("words_digest")  # copies of a window stand in one shard
 
 
 def _single_windows(hot: DataFrame) -> DataFrame:
@@ -211,7 +211,7 @@ def repeated_segments(docs: DataFrame) -> DataFrame:
     apart = windows.groupBy(F.col("window_digest").alias("words_digest"), "words").agg(F.sum("times").alias("n"))
     apart = apart.select("words_digest", "words", F.explode(F.array_repeat(F.lit(1).cast("long"), F.least("n", F.lit(2)).cast("int"))).alias("times"))
     apart = apart.withColumn("shard", F.pmod(F.xxhash64("words_digest"), F.lit(shards)))
-    apart_hits = apart.groupBy("shard").applyInPandas(_search_shard, found).select(F.col("words_digest").alias("window_digest")).distinct()
+    apart_hits = apart.groupBy("shard").applyInPandas(_search_shard, found).select(F.col("words_digest").alias("window_digest"))
     of_windows = windows.select("words_digest", "offset", "window_digest").join(apart_hits, "window_digest")
     of_windows = of_windows.groupBy("words_digest").agg(F.bit_or(F.expr("shiftleft(1L, offset)")).alias("hit"))
     hits = hits.unionByName(of_windows)
