@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, embed_dedup, langid, mixing, quality, sharding, simhash, substr_dedup, token_counts, toxicity
+from . import decontam, embed_dedup, fill_middle, langid, mixing, quality, sharding, simhash, substr_dedup, token_counts, toxicity
 from .common import discard, new_folder, read
 
 MIX = {"share": 0.8, "temper": 0.7, "rounds": 6, "seed": 11}
@@ -83,13 +83,23 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substr_dedup.remove_repeats(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(read(spark, sf_dir, "documents"))
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"), F.sha2(back.cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_quality, op3_language, op4_hilbert_shards, op5_mixture,
         op6_simhash, op7_decontamination, op8_toxicity, op9_embedding_links, op10_substring_dedup,
+        op13_fill_middle,
     )
 }
 
 #: The others' results rest on hashes, models or indexes that DuckDB lacks; the tests hold them against brute force.
-ORACLE_SQL = {"op5_mixture": op5_sql()}
+ORACLE_SQL = {"op5_mixture": op5_sql(), "op13_fill_middle": fill_middle.fill_in_middle_sql()}
