@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, embed_dedup, fill_middle, langid, mixing, quality, sharding, simhash, substr_dedup, token_counts, toxicity, vector_codes
+from . import decontam, embed_dedup, fill_middle, langid, mixing, nearest, quality, sharding, simhash, substr_dedup, token_counts, toxicity, vector_codes
 from .common import discard, new_folder, read
 
 MIX = {"share": 0.8, "temper": 0.7, "rounds": 6, "seed": 11}
@@ -83,6 +83,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substr_dedup.remove_repeats(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op11_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest_vectors(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.vector_codes(read(spark, sf_dir, "embeddings")).drop("label")
 
@@ -101,7 +105,7 @@ QUERIES = {
     for f in (
         op1_token_counts, op2_quality, op3_language, op4_hilbert_shards, op5_mixture,
         op6_simhash, op7_decontamination, op8_toxicity, op9_embedding_links, op10_substring_dedup,
-        op12_vector_codes, op13_fill_middle,
+        op11_nearest_vectors, op12_vector_codes, op13_fill_middle,
     )
 }
 
