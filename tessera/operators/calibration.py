@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tessera.functions.draws import draw
 
+from .quantiles import quantiles
+
 #: The budget grid and its target ratio, the tolerance grid and floor, the subset grid and limits.
 BUDGET_GRID, TARGET_RHO = (200, 250, 300, 400, 500), 2.0
 RETENTION_FLOOR = 0.80
@@ -20,15 +22,16 @@ BINS = ("low", "medium", "high")
 
 def primary_budget(costs: DataFrame, cost: str = "cost", grid: tuple[int, ...] = BUDGET_GRID, rho: float = TARGET_RHO) -> DataFrame:
     """The budget whose median cost ratio is nearest the target; the larger of equals."""
-    medians = costs.select(F.explode(F.array(*map(F.lit, grid))).alias("budget"), F.col(cost).alias("cost"))
-    medians = medians.groupBy("budget").agg(F.median(F.col("cost") / F.col("budget")).alias("median_rho"), F.count("*").alias("n_documents"))
+    middle = quantiles(costs, cost, {"m": 0.5})
+    medians = middle.select(F.explode(F.array(*map(F.lit, grid))).alias("budget"), "m", F.col("n").alias("n_documents")).where("n_documents > 0")
+    medians = medians.select("budget", (F.col("m") / F.col("budget")).alias("median_rho"), "n_documents")
     place = F.row_number().over(W.orderBy(F.abs(F.col("median_rho") - rho), F.col("budget").desc()))
     return medians.withColumn("_k", place).where("_k = 1").drop("_k")
 
 
 def receiver_budgets(costs: DataFrame) -> DataFrame:
     """The three budgets from each receiver's median cost: F/2, F/1.5 and 200 for the median F of medians."""
-    medians = costs.groupBy("receiver").agg(F.median("cost").alias("m"))
+    medians = quantiles(costs, "cost", {"m": 0.5}, ["receiver"])
     return medians.agg(F.median("m").alias("f_star")).select("f_star", F.bround(F.col("f_star") / 2).cast("int").alias("b1"), F.bround(F.col("f_star") / 1.5).cast("int").alias("b2"), F.lit(200).alias("b3"))
 
 

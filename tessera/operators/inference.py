@@ -1,11 +1,11 @@
 """Document-clustered bootstrap, verdicts and agreement statistics.
 
-Every bootstrapped statistic is a ratio of sums over documents, so a replicate
+Every statistic bootstrapped here is a ratio of sums over documents, so a replicate
 needs only each document's sums and how often it draws the document. Those
 draws are independent Poisson numbers of mean one, to which the numbers of
-times that n draws of n documents take each tend. A hash of the document times
-one of the replicate gives each, in any engine, on any partitioning. So all
-replicates come from one pass over the documents, as a matrix product in each
+times that n draws of n documents take each tend. Two hashes of the document
+(60 bits together) times two of the replicate give each, in any engine, on any
+partitioning. So all replicates come from one pass over the documents, as a matrix product in each
 task, without a join, a place or a count of them, and what is shuffled are sums
 for each replicate.
 """
@@ -19,50 +19,72 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tessera.functions.draws import draw
 
+from .quantiles import quantiles
+
 #: Replicates of a final and of a smoke run, and the normal quantile of a 95 % interval.
 FINAL_REPLICATES, SMOKE_REPLICATES = 10_000, 200
 Z95 = 1.959963984540054
 
 
-#: Hashes are multiplied modulo this prime; the product's first 15 bits are the draw.
-PRIME, DRAW_BITS = 2**31 - 1, 15
+#: A document's two hashes of 30 bits are multiplied by a replicate's two and added, modulo this prime; the first 15 bits are the draw.
+PRIME, HALF, DRAW_BITS = 2**31 - 1, 30, 15
 #: A draw takes a document as often as it reaches one of these: the cumulative Poisson probabilities of mean one.
 TAKEN = tuple(round(2**DRAW_BITS * math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1))) for k in range(7))
 #: Replicates whose draws are held at once, for each document of a batch.
 AT_ONCE = 256
+#: The number of the replicate that takes every document once.
+WHOLE = -1
+
+
+def hashed_rows(rows: DataFrame, seed: int, columns: list, key: str = "document_id") -> DataFrame:
+    """(the document's two hashes, columns), dealt out by document."""
+    h = draw(seed, F.col(key))
+    hashed = rows.select(F.shiftright(h, HALF).alias("_high"), h.bitwiseAND(F.lit((1 << HALF) - 1)).alias("_low"), *columns)
+    # few rows make much work: a fixed number of tasks is not merged for its few bytes
+    return hashed.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_high", "_low")
 
 
-def replicate_sums(stats: DataFrame, columns: list[str], replicates: int, seed: int, by: list[str] | None = None, key: str = "document_id") -> DataFrame:
-    """(by, replicate, columns, times): each replicate's sums of the columns, and of the documents taken.
+def times_taken(high, low, replicates: list[int], seed: int):
+    """How often each replicate takes each document: rows x replicates."""
+    import numpy as np
+
+    reached = np.searchsorted(np.array(TAKEN), np.arange(2**DRAW_BITS), side="right").astype(np.float64)
+    factors = np.array([replicate_hashes(seed, r) for r in replicates], dtype=np.uint64).reshape(-1, 2)
+    mixed = high.astype(np.uint64)[:, None] * factors[None, :, 0] + low.astype(np.uint64)[:, None] * factors[None, :, 1]  # below 2^62
+    times = reached[mixed % np.uint64(PRIME) >> np.uint64(31 - DRAW_BITS)]
+    times[:, [i for i, r in enumerate(replicates) if r == WHOLE]] = 1.0
+    return times
+
+
+def replicate_sums(stats: DataFrame, columns: list[str], replicates: int, seed: int, by: list[str] | None = None, key: str = "document_id", whole: bool = False) -> DataFrame:
+    """(by, replicate, columns, times): each replicate's sums of the columns, and of the rows taken.
 
     Rows of one document in different groups are taken equally often. A task
     gives one row for each of its groups and replicates. A null adds nothing.
+    whole: also the replicate WHOLE, which takes every document once.
     """
     by = by or []
-    hashed = stats.select(*by, (draw(seed, F.col(key)) % (PRIME - 1) + 1).alias("_h"), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns))
-    # few rows make much work: a fixed number of tasks is not merged for its few bytes
-    hashed = hashed.repartition(int(stats.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_h")
+    hashed = hashed_rows(stats, seed, [*(F.col(c) for c in by), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns)], key)
+    numbers = [*([WHOLE] if whole else []), *range(replicates)]
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        reached = np.searchsorted(np.array(TAKEN), np.arange(2**DRAW_BITS), side="right").astype(np.float64)
-        factor = np.array([replicate_hash(seed, r) for r in range(replicates)], dtype=np.uint64)
         sums: dict[tuple, np.ndarray] = {}
         for batch in batches:
-            groups = list(zip(*(c.to_pylist() for c in batch.columns[: len(by)]))) if by else [()] * batch.num_rows
-            h = batch.column(len(by)).to_numpy().astype(np.uint64)
-            values = np.column_stack([*(c.to_numpy() for c in batch.columns[len(by) + 1 :]), np.ones(len(h))])
-            for group in dict.fromkeys(groups):
-                mine = np.array([g == group for g in groups])
-                total = sums.setdefault(group, np.zeros((replicates, values.shape[1])))
-                for at in range(0, replicates, AT_ONCE):
-                    product = h[mine][:, None] * factor[None, at : at + AT_ONCE] % np.uint64(PRIME)
-                    total[at : at + AT_ONCE] += reached[product >> np.uint64(31 - DRAW_BITS)].T @ values[mine]
+            high, low = (batch.column(k).to_numpy() for k in (0, 1))
+            groups = list(zip(*(c.to_pylist() for c in batch.columns[2 : 2 + len(by)]))) if by else [()] * batch.num_rows
+            values = np.column_stack([*(c.to_numpy() for c in batch.columns[2 + len(by) :]), np.ones(len(high))])
+            for at in range(0, len(numbers), AT_ONCE):
+                times = times_taken(high, low, numbers[at : at + AT_ONCE], seed)
+                for group in dict.fromkeys(groups):
+                    mine = np.array([g == group for g in groups]) if by else slice(None)
+                    total = sums.setdefault(group, np.zeros((len(numbers), values.shape[1])))
+                    total[at : at + AT_ONCE] += times[mine].T @ values[mine]
         for group, total in sums.items():
-            names = [pa.array([g] * replicates) for g in group]
-            yield pa.RecordBatch.from_arrays([*names, pa.array(np.arange(replicates)), *(pa.array(x) for x in total.T)], names=[*by, "replicate", *columns, "times"])
+            names = [pa.array([g] * len(numbers)) for g in group]
+            yield pa.RecordBatch.from_arrays([*names, pa.array(numbers, pa.int64()), *(pa.array(x) for x in total.T)], names=[*by, "replicate", *columns, "times"])
 
     kinds = {f.name: f.dataType.simpleString() for f in stats.schema.fields}
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), "replicate long", *(f"{c} double" for c in [*columns, "times"])])
@@ -70,12 +92,13 @@ def replicate_sums(stats: DataFrame, columns: list[str], replicates: int, seed:
     return parts.groupBy(*by, "replicate").agg(*(F.sum(c).alias(c) for c in [*columns, "times"]))
 
 
-def replicate_hash(seed: int, replicate: int) -> int:
-    digest = hashlib.sha256(f"{seed}|replicate|{replicate}".encode()).hexdigest()
-    return int(digest[:15], 16) % (PRIME - 1) + 1
+def replicate_hashes(seed: int, replicate: int) -> tuple[int, int]:
+    bits = int(hashlib.sha256(f"{seed}|replicate|{replicate}".encode()).hexdigest()[:15], 16)
+    return bits >> HALF, bits & ((1 << HALF) - 1)
 
 
-def _interval(values: DataFrame, alpha: float) -> DataFrame:
+def interval(values: DataFrame, alpha: float) -> DataFrame:
+    """The percentile interval of the replicates' values v; as many rows as replicates at most."""
     ends = [F.percentile("v", F.lit(p)).alias(name) for p, name in ((alpha / 2, "lower"), (1 - alpha / 2, "upper"))]
     return values.where("v IS NOT NULL").agg(*ends, F.count("*").alias("n_replicates"))
 
@@ -92,7 +115,7 @@ def bootstrap_ratio(stats: DataFrame, numerator: str, denominator: str, replicat
         raise ValueError("no documents to resample")
     point = stats.agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.count("*").alias("n_documents"))
     values = replicate_sums(stats, ["a", "b"], replicates, seed).select(ratio.alias("v"))
-    return point.select(ratio.alias("point"), "n_documents").crossJoin(_interval(values, alpha))  # one row each
+    return point.select(ratio.alias("point"), "n_documents").crossJoin(interval(values, alpha))  # one row each
 
 
 def paired_bootstrap(first: DataFrame, second: DataFrame, numerator: str, denominator: str, replicates: int = FINAL_REPLICATES, seed: int = 0, alpha: float = 0.05) -> DataFrame:
@@ -109,7 +132,7 @@ def paired_bootstrap(first: DataFrame, second: DataFrame, numerator: str, denomi
         raise ValueError(f"{odd} of {n} documents are in one arm only")
     point = joined.agg(*(F.sum(c).alias(c) for c in names)).select(gap.alias("point"), F.lit(n).cast("long").alias("n_documents"))
     values = replicate_sums(joined, names, replicates, seed).select(gap.alias("v"))
-    return point.crossJoin(_interval(values, alpha))  # one row each
+    return point.crossJoin(interval(values, alpha))  # one row each
 
 
 def simultaneous_bootstrap(differences: DataFrame, replicates: int = FINAL_REPLICATES, seed: int = 42, alpha: float = 0.05, least_families: int = 4, least_documents: int = 10) -> DataFrame:
@@ -207,5 +230,5 @@ def holm(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
 
 def equivalence(values: DataFrame, value: str, margin: float = 0.05) -> DataFrame:
     """Equivalence by two one-sided tests: the 90 % percentile interval lies inside the margin."""
-    out = values.agg(F.percentile(value, F.lit(0.05)).alias("lower"), F.percentile(value, F.lit(0.95)).alias("upper"))
+    out = quantiles(values, value, {"lower": 0.05, "upper": 0.95}).drop("n")
     return out.withColumn("equivalent", (F.col("lower") > -margin) & (F.col("upper") < margin))

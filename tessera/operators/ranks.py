@@ -24,7 +24,7 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """df without its lineage, in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
@@ -37,7 +37,7 @@ def with_place(df: DataFrame, order: list[str], name: str) -> DataFrame:
     place there and the rows of the tasks before. Only the tasks' sizes, one
     row each, are gathered and broadcast.
     """
-    dealt = _cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    dealt = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
     task = F.shiftright("_at", 33)
     dealt.groupBy(task.alias("_task")).agg(F.count("*").alias("_n")).createOrReplaceTempView(view := f"tasks_{uuid.uuid4().hex}")
     before = df.sparkSession.sql(f"SELECT _task, sum(_n) OVER (ORDER BY _task) - _n AS _before FROM {view}")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.functions.draws import draw, draw_sql
-from tessera.operators import calibration, design, estimands, inference, learning, validation
+from tessera.operators import calibration, design, estimands, inference, learning, resampling, validation
+from tessera.operators.quantiles import quantiles
 from tessera.streaming import events
 
 from .adapters import ORDER_ATOMS, PROVIDER_CALLS, RECORDS, RUN_EVENTS, order_atoms, provider_calls, read, records, run_events
@@ -224,9 +225,10 @@ _STATS = """stats AS (SELECT CAST(o_custkey AS VARCHAR) AS document_id, sum(w *
 def _taken_sql(rows: str, seed: int, replicates: int) -> str:
     """SQL for taken: the rows with how often each replicate takes their document."""
     times = " + ".join(f"CAST(u >= {limit} AS INT)" for limit in inference.TAKEN)
-    hashed = lambda *parts: f"{draw_sql(f"'{seed}'", *parts)} % {inference.PRIME - 1} + 1"
-    return f"""replicates AS (SELECT r AS replicate, {hashed("'replicate'", "r")} AS g FROM range({replicates}) t(r)), keyed AS (SELECT *, {hashed("document_id")} AS h FROM {rows}),
-        drawn AS (SELECT *, (h * g % {inference.PRIME}) >> {31 - inference.DRAW_BITS} AS u FROM keyed, replicates), taken AS (SELECT *, {times} AS times FROM drawn)"""
+    bits, low = inference.HALF, (1 << inference.HALF) - 1
+    return f"""replicates AS MATERIALIZED (SELECT r AS replicate, g >> {bits} AS g1, g & {low} AS g2 FROM (SELECT r, {draw_sql(f"'{seed}'", "'replicate'", "r")} AS g FROM range({replicates}) t(r))),
+        keyed AS MATERIALIZED (SELECT *, h >> {bits} AS h1, h & {low} AS h2 FROM (SELECT *, {draw_sql(f"'{seed}'", "document_id")} AS h FROM {rows})),
+        drawn AS (SELECT *, ((h1 * g1 + h2 * g2) % {inference.PRIME}) >> {31 - inference.DRAW_BITS} AS u FROM keyed, replicates), taken AS (SELECT *, {times} AS times FROM drawn)"""
 
 
 def cluster_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -285,6 +287,47 @@ def superiority_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inference.superiority(bounds.select("comparator", "lower_a", "lower_c"), names, families, names)
 
 
+_BALANCES = """spent AS (SELECT concat_ws('-', c_nationkey, c_mktsegment) AS document_id, c_acctbal AS v FROM customer)"""
+_ORDERED = f"""WITH {_BALANCES}, {_taken_sql("spent", 21, inference.FINAL_REPLICATES)}, whole AS (SELECT -1 AS replicate, v, 1 AS times FROM spent),
+    every AS (SELECT replicate, v, times FROM taken WHERE times > 0 UNION ALL SELECT * FROM whole),
+    counted AS (SELECT replicate, v, CAST(sum(times) AS BIGINT) AS times FROM every GROUP BY replicate, v),
+    along AS (SELECT *, sum(times) OVER (PARTITION BY replicate ORDER BY v) AS upto, sum(times) OVER (PARTITION BY replicate) AS n FROM counted)"""
+_ENDS = f"""SELECT {r9("max(v) FILTER (replicate < 0)", "point")}, (SELECT count(DISTINCT document_id) FROM spent) AS n_documents, {r9("quantile_cont(v, 0.025) FILTER (replicate >= 0)", "lower")},
+    {r9("quantile_cont(v, 0.975) FILTER (replicate >= 0)", "upper")}, count(*) FILTER (replicate >= 0) AS n_replicates FROM found"""
+
+
+def _spent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' balances, in clusters of a nation and a segment, the documents to resample."""
+    return read(spark, sf_dir, "customer").select(F.concat_ws("-", F.col("c_nationkey").cast("string"), "c_mktsegment").alias("document_id"), F.col("c_acctbal").alias("v"))
+
+
+@query(f"""{_ORDERED}, found AS (SELECT replicate, sum(v * CASE WHEN upto > floor((n - 1) / 2e0) AND upto - times <= floor((n - 1) / 2e0) THEN 0.5e0 ELSE 0 END
+    + v * CASE WHEN upto > ceil((n - 1) / 2e0) AND upto - times <= ceil((n - 1) / 2e0) THEN 0.5e0 ELSE 0 END) AS v FROM along GROUP BY replicate) {_ENDS}""")
+def median_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(resampling.bootstrap(_spent(spark, sf_dir), resampling.quantile(F.col("v"), 0.5), seed=21))
+
+
+@query(f"""{_ORDERED}, found AS (SELECT replicate, sum(v * greatest(0, least(upto, n - floor(n * 0.1e0)) - greatest(upto - times, floor(n * 0.1e0)))) / max(n - 2 * floor(n * 0.1e0)) AS v FROM along GROUP BY replicate) {_ENDS}""")
+def trimmed_mean_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(resampling.bootstrap(_spent(spark, sf_dir), resampling.trimmed_mean(F.col("v"), 0.1), seed=21))
+
+
+@query(f"""WITH rows AS (SELECT CAST(l_suppkey AS VARCHAR) AS document_id, CAST(l_quantity AS DOUBLE) AS x, CAST(l_extendedprice AS DOUBLE) AS y FROM lineitem),
+    sums AS (SELECT document_id, count(*) AS c, sum(x) AS x, sum(y) AS y, sum(x * x) AS xx, sum(y * y) AS yy, sum(x * y) AS xy FROM rows GROUP BY document_id), {_taken_sql("sums", 22, inference.FINAL_REPLICATES)},
+    every AS (SELECT replicate, c, x, y, xx, yy, xy, times FROM taken UNION ALL SELECT -1, c, x, y, xx, yy, xy, 1 FROM sums),
+    t AS (SELECT replicate, sum(times * c) AS n, sum(times * x) AS x, sum(times * y) AS y, sum(times * xx) AS xx, sum(times * yy) AS yy, sum(times * xy) AS xy FROM every GROUP BY replicate),
+    found AS (SELECT replicate, (n * xy - x * y) / sqrt((n * xx - x * x) * (n * yy - y * y)) AS v FROM t WHERE n > 0), spent AS (SELECT document_id FROM sums) {_ENDS}""")
+def correlation_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("document_id"), F.col("l_quantity").cast("double").alias("x"), F.col("l_extendedprice").cast("double").alias("y"))
+    return rounded(resampling.bootstrap(rows, resampling.correlation(F.col("x"), F.col("y")), seed=22))
+
+
+@query("""SELECT l_returnflag AS flag, """ + ", ".join(r9(f"quantile_cont(CAST(l_extendedprice AS DOUBLE), {p})", name) for name, p in (("p05", 0.05), ("p50", 0.5), ("p99", 0.99))) + """, count(l_extendedprice) AS n FROM lineitem GROUP BY l_returnflag""")
+def price_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "lineitem").withColumnRenamed("l_returnflag", "flag")
+    return rounded(quantiles(rows, "l_extendedprice", {"p05": 0.05, "p50": 0.5, "p99": 0.99}, ["flag"]))
+
+
 @query(f"""WITH {ORDER_ATOMS}, c AS (SELECT role, sum(transmitted) AS s, CAST(count(*) AS DOUBLE) AS n FROM order_atoms GROUP BY role),
     p AS (SELECT role, s / n AS p, n, 1.959963984540054e0 * 1.959963984540054e0 AS z FROM c),
     q AS (SELECT role, (p + z / (2 * n)) / (1 + z / n) AS m, 1.959963984540054e0 * sqrt(p * (1 - p) / n + z / (4 * n * n)) / (1 + z / n) AS h FROM p)
