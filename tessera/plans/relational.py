@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.functions.draws import draw, draw_sql
-from tessera.operators import calibration, design, estimands, inference, learning, resampling, validation
+from tessera.operators import calibration, design, estimands, inference, learning, resampling, trees, validation
 from tessera.operators.quantiles import quantiles
 from tessera.streaming import events
 
@@ -651,6 +653,42 @@ def policy_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spark.createDataFrame([row], "family string, alpha double, cv_mse double, n_train_atoms long, n_train_documents long"))
 
 
+def _chosen(spark: SparkSession, sf_dir: str, family: str) -> DataFrame:
+    m = learning.fit_policy(_training(spark, sf_dir), list(_X), "target", family)
+    row = (m["family"], json.dumps(m["params"], sort_keys=True), m["cv_mse"], m["n_train_atoms"], m["n_train_documents"], len(m["estimator"].trees))
+    return rounded(spark.createDataFrame([row], "family string, params string, cv_mse double, n_train_atoms long, n_train_documents long, n_trees int"))
+
+
+@query()
+def policy_fit_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The primary learner over its whole grid; tests hold the trees against plain growing."""
+    return _chosen(spark, sf_dir, "HistGradientBoostingRegressor")
+
+
+@query()
+def policy_fit_extra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chosen(spark, sf_dir, "ExtraTreesRegressor")
+
+
+@query(f"""WITH {ORDER_ATOMS}, {_ROWS}, m AS (SELECT fold, x1, x2, x3 - avg(x3) OVER (PARTITION BY fold) AS g FROM rows), g AS (SELECT fold, 'x_tax' AS feature, x1 AS x, g FROM m UNION ALL SELECT fold, 'x_tokens', x2, g FROM m),
+    h AS (SELECT fold, feature, x, sum(g) AS g, count(*) AS n FROM g GROUP BY fold, feature, x),
+    c AS (SELECT *, sum(g) OVER w AS gl, sum(n) OVER w AS nl, sum(g) OVER (PARTITION BY fold, feature) AS gt, sum(n) OVER (PARTITION BY fold, feature) AS nt, (x + lead(x) OVER w) / 2 AS threshold FROM h WINDOW w AS (PARTITION BY fold, feature ORDER BY x)),
+    s AS (SELECT fold, feature, threshold, nl, round(gl * gl / nl + (gt - gl) * (gt - gl) / (nt - nl) - gt * gt / nt, 9) AS gain FROM c WHERE nl >= 20 AND nt - nl >= 20)
+    SELECT fold, feature, {r9("threshold", "threshold")}, CAST(nl AS BIGINT) AS n_left, {r9("gain", "gain")} FROM s WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY fold ORDER BY gain DESC, feature, threshold) = 1""")
+def boosting_first_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first split of a boosted tree in every fold, over features with few values."""
+    features = ["x_tax", "x_tokens"]
+    rows = _training(spark, sf_dir)
+    cuts = trees.thresholds(rows, features)
+    means = rows.groupBy("fold").agg(F.avg("target").alias("mean"))
+    bins = [trees.bin_column(F.col(x), c) for x, c in zip(features, cuts)]
+    each = F.array(*(F.struct(F.lit(k).alias("feature"), b.alias("bin")) for k, b in enumerate(bins)))
+    sums = rows.join(means, "fold").select("fold", (F.col("target") - F.col("mean")).alias("g"), F.explode(each).alias("_e")).groupBy("fold", "_e.feature", "_e.bin").agg(F.sum("g").alias("g"), F.count("*").alias("n"))
+    best = trees.best_splits(sums, ["fold"], F.lit(20))
+    at = F.element_at(F.element_at(F.array(*(F.array(*map(F.lit, c.tolist())) for c in cuts)), F.col("feature") + 1), F.col("bin") + 1)
+    return rounded(best.select("fold", F.element_at(F.array(*map(F.lit, features)), F.col("feature") + 1).alias("feature"), at.alias("threshold"), F.col("nl").alias("n_left"), "gain"))
+
+
 @query(f"""WITH {ORDER_ATOMS}, {_ROWS}, cells AS (SELECT fold, inner_fold, {_MOMENTS_SQL} FROM rows GROUP BY fold, inner_fold), folds AS (SELECT DISTINCT fold AS held FROM cells),
     rest AS (SELECT held, i AS inner_fold, {_ADDED} FROM folds, range(4) r(i), cells WHERE fold <> held AND inner_fold <> i GROUP BY held, i), tests AS (SELECT held, inner_fold, {_ADDED} FROM folds JOIN cells ON fold <> held GROUP BY held, inner_fold),
     solved AS ({_ridge_sql("rest", "held, inner_fold")}), scores AS (SELECT held, penalty, avg({_ERROR}) AS mse FROM solved JOIN tests USING (held, inner_fold) GROUP BY held, penalty),

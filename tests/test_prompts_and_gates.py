@@ -82,10 +82,3 @@ def test_manuscript_checks(spark):
     assert df.select(manuscript.visible_svg_text(F.col("svg"))).first()[0] == "Hi\nT"
     assert one(spark, manuscript.latex_escape(F.lit("a_b & 5%")))[0] == r"a\_b \& 5\%"
     assert one(spark, manuscript.shown_interval(F.lit(0.5), F.lit(0.25), F.lit(0.75), 2), manuscript.shown(F.lit(None).cast("double")))[:] == ("0.50 [0.25, 0.75]", "---")
-
-
-def test_trees_learn(spark):
-    rows = spark.range(200).selectExpr("cast(id % 10 as double) AS x0", "cast(id % 3 as double) AS x1", "cast(id % 10 as double) * 2 AS y")
-    model = learning.fit_trees(rows, ["x0", "x1"], "y", forest=True)
-    error = model.transform(rows).select(F.avg(F.abs(F.col("prediction") - F.col("y")))).first()[0]
-    assert error < 2

@@ -102,7 +102,7 @@ def test_registries_and_guards(spark):
 
 def test_policy_of_trees_takes_the_best_setting(spark):
     rows = spark.range(300).select((F.col("id") % 30).cast("string").alias("document_id"), (F.col("id") % 10 / 10).alias("x"), F.when((F.col("id") % 10).between(3, 5), 1.0).otherwise(0.0).alias("y"), (F.col("id") % 30 % 3).alias("fold"))
-    grid = [{"maxDepth": 1, "maxIter": 1, "stepSize": 0.01}, {"maxDepth": 2, "maxIter": 5, "stepSize": 0.5}]
+    grid = [{"max_depth": 1, "max_iter": 1, "learning_rate": 0.01, "min_samples_leaf": 1}, {"max_depth": 2, "max_iter": 8, "learning_rate": 0.5, "min_samples_leaf": 1}]
     model = learning.fit_policy(rows, ["x"], "y", "HistGradientBoostingRegressor", grid)
     assert model["params"] == grid[1] and model["cv_mse"] < 0.01 and model["n_train_documents"] == 30
     assert model["fingerprint"] == learning.fit_policy(rows, ["x"], "y", "HistGradientBoostingRegressor", grid[1:])["fingerprint"]
