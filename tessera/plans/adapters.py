@@ -105,6 +105,23 @@ def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 RUN_EVENTS = "run_events AS (SELECT CAST(user_id AS VARCHAR) AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS sequence, event_id, event_type, value FROM events)"
 
 
+def staged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log with stages: one starts at every sixth event, and planted starts repeat one, go back or are of no known stage."""
+    from tessera.streaming.events import STAGES, STARTED
+
+    sixth, i = (F.col("sequence") - 1) % 6 == 0, F.col("event_id")
+    started = sixth | (i % 11 == 0)
+    at = F.when(started & (i % 29 == 0), 0).otherwise(F.least(F.lit(13), F.floor((F.col("sequence") - 1) / 6) + 1) - F.when(sixth & (i % 17 == 0), 1).otherwise(0))
+    at = F.greatest(at, F.lit(0)).cast("int")
+    stage = F.when(at > 0, F.element_at(F.array(*map(F.lit, STAGES)), F.greatest(at, F.lit(1)))).otherwise("none")
+    ts = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("sequence") * 60)
+    return run_events(spark, sf_dir).select("run_id", "sequence", "event_id", F.when(started, STARTED).otherwise("stage.progress").alias("event_type"), stage.alias("stage"), ts.alias("ts"))
+
+
+STAGED_EVENTS = f"""{RUN_EVENTS}, marked AS (SELECT *, (sequence - 1) % 6 = 0 AS sixth, (sequence - 1) % 6 = 0 OR event_id % 11 = 0 AS started FROM run_events),
+    staged AS (SELECT *, greatest(0, CASE WHEN started AND event_id % 29 = 0 THEN 0 ELSE least(13, (sequence - 1) // 6 + 1) - CASE WHEN sixth AND event_id % 17 = 0 THEN 1 ELSE 0 END END) AS stage_at FROM marked)"""
+
+
 def provider_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as calls: the type is the provider, tokens of -1 are unknown."""
     e = read(spark, sf_dir, "events")

@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tessera.functions import atoms as A, manuscript, matching as M
 from tessera.functions.draws import draw, draw_sql
 from tessera.operators import benchmark, design, estimands, figures, prompts, validation
+from tessera.operators.ranks import cut, discard, new_folder
 from tessera.sources import tables
 from tessera.streaming import events
 
-from .adapters import COMPOSED, DISCLOSURES, ORDER_ATOMS, RUN_EVENTS, SURFACES, disclosures, order_atoms, provider_calls, read, records, run_events
+from .adapters import COMPOSED, DISCLOSURES, ORDER_ATOMS, PROVIDER_CALLS, RUN_EVENTS, STAGED_EVENTS, SURFACES, disclosures, order_atoms, provider_calls, read, records, run_events, staged_events
 from . import relational
 from .relational import ORACLE_SQL as RELATIONAL_SQL, r9, rounded
 from .textual import EDITED_SQL, edited
@@ -299,13 +300,50 @@ def canonical_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT run_id, count(*) AS n, count(*) FILTER (sequence <> coalesce(before, 0) + 1) AS n_bad FROM k GROUP BY run_id""")
 def event_stream_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A log with gaps read as a stream from files, each run's numbering checked with state; the sink is files too."""
-    from tessera.operators.ranks import new_folder
-
     log, checked, state = (new_folder(spark, name) for name in ("log", "checked", "state"))
     run_events(spark, sf_dir).where("event_id % 50 <> 3").select("run_id", "sequence").write.parquet(log)
     stream = events.checked_stream(spark.readStream.schema("run_id string, sequence long").parquet(log))
     stream.writeStream.format("parquet").option("path", checked).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(checked).groupBy("run_id").agg(F.count("*").alias("n"), F.count_if(~F.col("ok")).alias("n_bad"))
+    counts = cut(spark.read.parquet(checked).groupBy("run_id").agg(F.count("*").alias("n"), F.count_if(~F.col("ok")).alias("n_bad")))
+    for folder in (log, checked, state):
+        discard(spark, folder)
+    return counts
+
+
+@query(f"""WITH {STAGED_EVENTS}, kept AS (SELECT * FROM staged WHERE event_id % 50 <> 3),
+    p AS (SELECT *, lag(sequence) OVER w AS last, max(CASE WHEN started THEN stage_at END) OVER (PARTITION BY run_id ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM kept WINDOW w AS (PARTITION BY run_id ORDER BY sequence))
+    SELECT run_id, count(*) AS n, count(*) FILTER (sequence <> coalesce(last, 0) + 1) AS n_gaps, count(*) FILTER (started AND (stage_at = 0 OR stage_at <= before)) AS n_disorders FROM p GROUP BY run_id""")
+def stage_stream_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log with gaps and disordered stages, in three parts, read as a stream that is stopped after the first and started again."""
+    log, checked, state = (new_folder(spark, name) for name in ("log", "checked", "state"))
+    kept = staged_events(spark, sf_dir).where("event_id % 50 <> 3").drop("event_id")
+    part = F.when(F.col("sequence") <= 20, 0).when(F.col("sequence") <= 40, 1).otherwise(2)
+    kept = cut(kept.withColumn("_part", part))
+    for number in range(3):
+        kept.where(F.col("_part") == number).drop("_part").write.mode("append").parquet(log)
+        if number != 1:
+            events.start(events.watched_stream(spark.readStream.schema(kept.drop("_part").schema).parquet(log)), checked, state).awaitTermination()
+    counts = spark.read.parquet(checked).groupBy("run_id").agg(F.count("*").alias("n"), F.count_if(~F.col("in_sequence")).alias("n_gaps"), F.count_if(~F.col("in_order")).alias("n_disorders"))
+    counts = cut(counts)
+    for folder in (log, checked, state):
+        discard(spark, folder)
+    return counts
+
+
+@query(f"""WITH {PROVIDER_CALLS} SELECT provider, status, count(*) AS n_calls, CAST(sum(greatest(0, input_tokens)) AS BIGINT) AS input_tokens, CAST(sum(greatest(0, output_tokens)) AS BIGINT) AS output_tokens, count(*) FILTER (attempt > 1) AS n_retries,
+    round(sum(latency_s), 9) + 0e0 AS latency_s FROM calls GROUP BY provider, status""")
+def ledger_stream_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls read as a stream from files, a batch for each, summed in files by batch; the stream runs twice without its memory of what it has done, and no call counts twice."""
+    log, sums = (new_folder(spark, name) for name in ("calls", "sums"))
+    calls = provider_calls(spark, sf_dir)
+    calls.repartition(3, "provider", "attempt").write.parquet(log)
+    for state in (first := new_folder(spark, "state"), again := new_folder(spark, "state")):
+        stream = spark.readStream.option("maxFilesPerTrigger", 1).schema(calls.schema).parquet(log)
+        events.ledger_stream(stream, sums, state).awaitTermination()
+    totals = cut(events.ledger_totals(spark, sums))
+    for folder in (log, sums, first, again):
+        discard(spark, folder)
+    return totals.withColumn("latency_s", F.round("latency_s", 9) + 0.0)
 
 
 @query(f"""WITH {RUN_EVENTS} SELECT run_id, sequence, concat('id: ', sequence, chr(10), 'event: ', event_type, chr(10), 'data: ',

@@ -11,7 +11,7 @@ from tessera.operators import calibration, design, estimands, inference, learnin
 from tessera.operators.quantiles import quantiles
 from tessera.streaming import events
 
-from .adapters import ORDER_ATOMS, PROVIDER_CALLS, RECORDS, RUN_EVENTS, order_atoms, provider_calls, read, records, run_events
+from .adapters import ORDER_ATOMS, PROVIDER_CALLS, RECORDS, RUN_EVENTS, STAGED_EVENTS, order_atoms, provider_calls, read, records, run_events, staged_events
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -594,12 +594,10 @@ def event_monotonic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.monotonic_violations(run_events(spark, sf_dir).where("event_id % 50 <> 3")).select("run_id", "sequence", "expected")
 
 
-@query(f"""WITH {RUN_EVENTS}, k AS (SELECT run_id, sequence, CASE WHEN event_type = 'error' THEN 0 ELSE sequence % 11 + 1 END AS stage_at FROM run_events), p AS (SELECT *, lag(stage_at) OVER (PARTITION BY run_id ORDER BY sequence) AS before FROM k)
-    SELECT run_id, sequence FROM p WHERE stage_at = 0 OR stage_at < before""")
+@query(f"""WITH {STAGED_EVENTS}, p AS (SELECT *, max(stage_at) OVER (PARTITION BY run_id ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM staged WHERE started)
+    SELECT run_id, sequence FROM p WHERE stage_at = 0 OR stage_at <= before""")
 def event_topology(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stages = F.array(*map(F.lit, events.STAGES))
-    stage = F.when(F.col("event_type") == "error", "none").otherwise(F.element_at(stages, (F.col("sequence") % 11 + 1).cast("int")))
-    return events.topology_violations(run_events(spark, sf_dir).withColumn("stage", stage)).select("run_id", "sequence")
+    return events.topology_violations(staged_events(spark, sf_dir)).select("run_id", "sequence")
 
 
 # Learners.
