@@ -1,9 +1,7 @@
 """Document quality by supervised subword embeddings.
 
-A document's features are its words, its pairs of neighbouring words, the
-character n-grams of each word with its boundaries, and, for what a pair of
-words never met in training still tells, the pattern of a pair whose words are
-equal. Each feature is hashed to a
+A document's features are its words, its pairs of neighbouring words and the
+character n-grams of each word with its boundaries. Each feature is hashed to a
 learned vector, a document is the mean of its features' vectors, and a softmax
 layer gives the class. Training is numpy stochastic gradient descent, one
 document a step, on a bounded sample of labelled rows; the vectors have a
@@ -33,7 +31,7 @@ from .common import bucket_of, labelled_sample, utf8
 #: Bytes in a buffer; the arrays beside it take about a hundred times that.
 BUFFER = 1 << 20
 _BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-_ODD, _PAIR, _EQUAL = 0x9E3779B97F4A7C15, np.uint64(0xC2B2AE3D27D4EB4F), np.array([1], dtype=np.uint64)
+_ODD, _PAIR = 0x9E3779B97F4A7C15, np.uint64(0xC2B2AE3D27D4EB4F)
 #: Powers of an odd number and of its inverse modulo 2^64: a run's hash is a difference of two running sums.
 _POWER = np.concatenate([[np.uint64(1)], np.full(BUFFER + 64, _ODD, dtype=np.uint64)]).cumprod(dtype=np.uint64)
 _INVERSE = np.concatenate([[np.uint64(1)], np.full(BUFFER + 64, pow(_ODD, -1, 1 << 64), dtype=np.uint64)]).cumprod(dtype=np.uint64)
@@ -70,8 +68,6 @@ def features(data: np.ndarray, s: Settings, before: int | None = None) -> tuple[
     first = np.concatenate([np.array([before or 0], dtype=np.uint64), word])[: len(word)]
     pair = np.concatenate([[before is not None], parted[1:] == parted[:-1]])[: len(word)]
     kinds.append((starts[pair], _bucket(first[pair] * _PAIR + word[pair] + np.uint64(1), s.buckets)))
-    twice = starts[pair & (first == word)]
-    kinds.append((twice, np.full(len(twice), _bucket(_EQUAL, s.buckets)[0])))
     blanks = np.where(data == 0, np.uint8(32), data).astype(np.uint64)
     for n in range(s.low, s.high + 1):
         if len(data) < n:

@@ -81,20 +81,8 @@ def _swapped(starts: Counter, word: str, other: str) -> tuple[list[str], list[st
     return lost, gained
 
 
-def _distinct_rows(rows: list[tuple[str, int]]) -> list[int]:
-    """Places of one row for each near-copy class: texts alike in one of three pairs of least word hashes."""
-    seen, out = set(), []
-    for place, (text, y) in enumerate(rows):
-        raw = [w.encode() for w in words_of(text)]
-        keys = {(i, min(crc32(w, i) for w in raw), min(crc32(w, i + 9) for w in raw), y) for i in range(3)} if raw else set()
-        if not keys & seen:
-            out.append(place)
-        seen |= keys
-    return out
-
-
-def _vocabulary(rows: list[tuple[str, int]], least: int, z: float, most: int, buckets: int = 1 << 20) -> list[str]:
-    """Features whose document frequency differs by `z` standard errors, the clearest first.
+def _vocabulary(rows: list[tuple[str, int]], least: int, z: float, buckets: int = 1 << 20) -> list[str]:
+    """All features whose document frequency differs by `z` standard errors, and the identity terms met; identity terms first, then the clearest.
 
     Frequencies are counted by hash bucket first, so that only features whose
     bucket is frequent enough get an exact count; memory does not grow with
@@ -117,15 +105,14 @@ def _vocabulary(rows: list[tuple[str, int]], least: int, z: float, most: int, bu
         gap = (b / max(1, n[1]) - a / max(1, n[0])) / math.sqrt(p * (1 - p) * (1 / max(1, n[0]) + 1 / max(1, n[1])))
         if abs(gap) >= z or w in KIND:
             scored.append((w not in KIND, -abs(gap), w))
-    return [w for *_, w in sorted(scored)[:most]]
+    return [w for *_, w in sorted(scored)]
 
 
-def fit(rows: list[tuple[str, int]], least: int = 5, z: float = 4.0, most: int = 4096, ridge: float = 5e-5, swap_penalty: float = 1.0, epochs: int = 1000, rate: float = 0.5) -> WordModel:
+def fit(rows: list[tuple[str, int]], least: int = 5, z: float = 4.0, ridge: float = 5e-5, swap_penalty: float = 1.0, epochs: int = 1000, rate: float = 0.5) -> WordModel:
     """Train on (text, label) rows by full-batch gradient steps with momentum."""
     if not rows:
         return WordModel({}, -math.inf)
-    rows = [rows[i] for i in _distinct_rows(rows)]
-    vocabulary = _vocabulary(rows, least, z, most)
+    vocabulary = _vocabulary(rows, least, z)
     place = {w: i for i, w in enumerate(vocabulary)}
     doc, col = [], []
     swap_from, swap_to = [], []

@@ -94,7 +94,7 @@ def test_scorers(odd, empty, labels, operator):
 
 
 def brute_bag(text, s):
-    """A text's features one by one: words, pairs, equal pairs and n-grams, hashed alone in buffers of their own."""
+    """A text's features one by one: words, pairs and n-grams, hashed alone in buffers of their own."""
     from collections import Counter
 
     words = quality._plain(text).tobytes().split()
@@ -103,10 +103,9 @@ def brute_bag(text, s):
     bag = Counter()
     for w in words:
         bag.update(one(w, 0).tolist())
-        bag.update(i for kind in range(3, 3 + s.high - s.low + 1) for i in one(w, kind).tolist())
+        bag.update(i for kind in range(2, 2 + s.high - s.low + 1) for i in one(w, kind).tolist())
     for a, b in zip(words, words[1:]):
         bag.update(one(a + b" " + b, 1).tolist())
-        bag.update(one(b"x x", 2).tolist() if a == b else [])
     return bag
 
 
