@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.functions.draws import draw, draw_sql
-from tessera.operators import calibration, design, estimands, inference, learning, resampling, trees, validation
+from tessera.operators import calibration, design, estimands, inference, intervals, learning, resampling, trees, validation
 from tessera.operators.quantiles import quantiles
 from tessera.streaming import events
 
@@ -600,6 +600,63 @@ def event_topology(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.topology_violations(staged_events(spark, sf_dir)).select("run_id", "sequence")
 
 
+# Joins by order and overlap.
+
+_DAY = 86_400_000_000
+
+
+@query("""WITH p AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'), v AS (SELECT event_id AS view_id, user_id, ts AS view_ts, value AS view_value FROM events WHERE event_type = 'view'),
+    m AS (SELECT p.event_id, max({'t': view_ts, 'i': view_id, 'v': view_value}) AS b, min({'t': view_ts, 'i': -view_id}) FILTER (view_ts >= ts) AS a FROM p JOIN v ON p.user_id = v.user_id AND v.view_ts <= p.ts GROUP BY p.event_id),
+    n AS (SELECT p.event_id, min({'t': view_ts, 'i': -view_id}) AS a FROM p JOIN v ON p.user_id = v.user_id AND v.view_ts >= p.ts AND v.view_ts <= p.ts + INTERVAL 2 DAY GROUP BY p.event_id)
+    SELECT p.event_id, m.b.i AS view_before, round(m.b.v, 9) + 0e0 AS value_before, -n.a.i AS view_after FROM p LEFT JOIN m USING (event_id) LEFT JOIN n USING (event_id)""")
+def views_around_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each purchase with its user's last view before it and the first after it within two days."""
+    e = read(spark, sf_dir, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    views = e.where("event_type = 'view'").select("user_id", "at", F.col("event_id").alias("view_before"), F.col("value").alias("value_before"))
+    bought = e.where("event_type = 'purchase'").select("event_id", "user_id", "at")
+    out = intervals.as_of(bought, views, ["user_id"], "at", ["view_before", "value_before"], 7 * _DAY)
+    out = intervals.as_of(out, views.select("user_id", "at", F.col("view_before").alias("view_after")), ["user_id"], "at", ["view_after"], 7 * _DAY, tolerance=2 * _DAY, forward=True)
+    return rounded(out.select("event_id", "view_before", "value_before", "view_after"))
+
+
+_WINDOWS = "w AS (SELECT o_custkey, o_orderkey, epoch_us(o_orderdate) AS s, epoch_us(o_orderdate) + (10 + o_orderkey % 50) * 86400000000 AS e FROM orders)"
+
+
+def _order_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as intervals of 10 to 59 days."""
+    s = F.unix_micros(F.col("o_orderdate").cast("timestamp"))
+    return read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", s.alias("s"), (s + (10 + F.col("o_orderkey") % 50) * F.lit(_DAY)).alias("e"))
+
+
+@query(f"""WITH {_WINDOWS} SELECT a.o_custkey, a.o_orderkey AS first_order, b.o_orderkey AS second_order FROM w a JOIN w b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey AND a.s < b.e AND b.s < a.e""")
+def overlapping_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first, second = (_order_windows(spark, sf_dir).toDF("o_custkey", f"{k}_order", f"s{i}", f"e{i}") for i, k in enumerate(("first", "second")))
+    return intervals.overlapping(first, second, ["o_custkey"], ("s0", "e0"), ("s1", "e1"), 30 * _DAY).where("first_order < second_order").select("o_custkey", "first_order", "second_order")
+
+
+@query(f"""WITH RECURSIVE {_WINDOWS}, firsts AS (SELECT o_custkey, min({{'e': e, 's': s, 'k': o_orderkey}}) AS x FROM w GROUP BY o_custkey),
+    pick AS (SELECT o_custkey, x FROM firsts UNION ALL SELECT p.o_custkey, (SELECT min({{'e': w.e, 's': w.s, 'k': w.o_orderkey}}) FROM w WHERE w.o_custkey = p.o_custkey AND w.s >= p.x.e) AS x FROM pick p WHERE p.x IS NOT NULL)
+    SELECT o_custkey, x.k AS o_orderkey FROM pick WHERE x IS NOT NULL""")
+def disjoint_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each customer's order windows, taken by their ends, those that touch none taken before."""
+    return intervals.greedy_disjoint(_order_windows(spark, sf_dir), ["o_custkey"], "s", "e", ["e", "s", "o_orderkey"]).select("o_custkey", "o_orderkey")
+
+
+@query("""WITH e AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+    c AS (SELECT user_id, ts AS start, coalesce(lead(ts) OVER (PARTITION BY user_id ORDER BY i), ts + INTERVAL 1 DAY) AS until, i // 5 AS session FROM e WHERE i % 5 = 0), s AS (SELECT user_id, start, least(until, start + INTERVAL 3 DAY) AS until, session FROM c)
+    SELECT e.event_id, max(s.session) AS session FROM e LEFT JOIN s ON e.user_id = s.user_id AND e.ts >= s.start AND e.ts < s.until GROUP BY e.event_id""")
+def events_in_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event with the interval of its user that holds it: from every fifth event to the next, three days at most."""
+    from pyspark.sql import Window as W
+
+    e = read(spark, sf_dir, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    numbered = e.withColumn("i", F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")))
+    fifth = numbered.where("i % 5 = 0")
+    until = F.coalesce(F.lead("at").over(W.partitionBy("user_id").orderBy("i")), F.col("at") + _DAY)
+    sessions = fifth.select("user_id", F.col("at").alias("start"), F.least(until, F.col("at") + 3 * _DAY).alias("until"), F.floor(F.col("i") / 5).alias("session"))
+    return intervals.covering(e.select("event_id", "user_id", "at"), sessions, ["user_id"], "at", "start", "until", ["session"], 7 * _DAY).select("event_id", "session")
+
+
 # Learners.
 
 _X = ("x_price", "x_tax", "x_tokens")
