@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tessera.functions.text import head_tokens, token_count
 
 from .prompts import mock_relay, relay_prompt
+from .ranks import cut
 from .validation import assert_not_test, reasons
 
 #: The reproduction gate's steps before the metric, and its tolerance.
@@ -104,32 +105,35 @@ def status_accounting(leaves: DataFrame) -> DataFrame:
     return leaves.groupBy(F.coalesce("status", F.lit("UNDECLARED")).alias("status")).agg(F.count("*").alias("n"))
 
 
-def leaves(document: object) -> list[tuple[str, str | None, str | None]]:
-    """(path, status, value) of every leaf of a protocol: a mapping with a status, or any other value, in document order.
-
-    A list of plain values is one value; value is its JSON, null for a leaf
-    with a status.
-    """
-    out, todo = [], [("", document)]
-    while todo:
-        path, node = todo.pop()
-        if isinstance(node, dict) and "status" in node:
-            out.append((path, str(node["status"]).strip().lower(), None))
-        elif isinstance(node, dict):
-            todo += [(f"{path}.{k}" if path else str(k), v) for k, v in reversed(node.items())]
-        elif isinstance(node, list) and any(isinstance(v, (dict, list)) for v in node):
-            # plain values among nested ones are no leaves of their own
-            todo += [(f"{path}[{i}]", v) for i, v in reversed(list(enumerate(node))) if isinstance(v, (dict, list))]
-        else:
-            out.append((path, None, json.dumps(node, sort_keys=True)))
-    return out
-
-
 def protocol_leaves(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, path, status, value) of the leaves of each JSON document; a null text has none, bad JSON is an error."""
-
-    @F.udf("array<struct<path:string,status:string,value:string>>", useArrow=True)
-    def walk(raw):
-        return None if raw is None else leaves(json.loads(raw))
+    """(key, path, status, value) of the leaves of each JSON document: a mapping with a status, or any other value.
 
-    return documents.select(key, F.explode(walk(F.col(text))).alias("leaf")).select(key, "leaf.*")
+    A list of plain values is one value, and plain values among nested ones are
+    no leaves of their own. value is JSON, null for a leaf with a status. A
+    null text has no leaves, an empty mapping none either; bad JSON is an error.
+    Documents are walked as variants, one level of all of them at a time.
+    """
+    container = "^(OBJECT|ARRAY)<"
+    todo = documents.where(F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.lit("").alias("path"), F.parse_json(F.col(text)).alias("_v"))
+    found = None
+    while True:
+        kind = F.schema_of_variant("_v")
+        elements = F.when(F.startswith(kind, F.lit("ARRAY<")), F.col("_v").cast("array<variant>"))
+        nested = F.coalesce(F.exists(elements, lambda x: F.schema_of_variant(x).rlike(container)), F.lit(False))
+        status = F.when(F.startswith(kind, F.lit("OBJECT<")), F.try_variant_get("_v", "$.status", "variant"))
+        listed = F.concat(F.lit("["), F.array_join(F.transform(elements, lambda x: F.to_json(x)), ", "), F.lit("]"))
+        named = F.when(F.is_variant_null(status), "none").otherwise(F.lower(F.trim(F.coalesce(F.try_variant_get("_v", "$.status", "string"), F.to_json(status)))))
+        todo = cut(todo.select("*", kind.alias("_kind"), nested.alias("_nested"), F.when(status.isNotNull(), named).alias("status"), F.when(kind.rlike(container), listed).otherwise(F.to_json(F.col("_v"))).alias("value")))
+        leaf = F.col("status").isNotNull() | ~(F.startswith("_kind", F.lit("OBJECT<")) | F.col("_nested"))
+        leaves = todo.where(leaf).select(F.col("_key").alias(key), "path", "status", F.when(F.col("status").isNull(), F.col("value")).alias("value"))
+        found = leaves if found is None else found.unionByName(leaves)
+        inner = todo.where(~leaf)
+        if inner.isEmpty():
+            return found
+        inner.createOrReplaceTempView(view := f"walk_{uuid.uuid4().hex}")
+        inside = documents.sparkSession.sql(f"SELECT t._key, t.path, t._kind, e.pos, e.key, e.value FROM {view} t, LATERAL variant_explode(t._v) e")
+        documents.sparkSession.catalog.dropTempView(view)
+        listed_in = F.startswith("_kind", F.lit("ARRAY<"))
+        inside = inside.where(~listed_in | F.schema_of_variant("value").rlike(container))
+        step = F.when(listed_in, F.concat("path", F.lit("["), F.col("pos").cast("string"), F.lit("]"))).when(F.col("path") == "", F.col("key")).otherwise(F.concat("path", F.lit("."), F.col("key")))
+        todo = inside.select("_key", step.alias("path"), F.col("value").alias("_v"))

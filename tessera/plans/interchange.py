@@ -8,7 +8,7 @@ from tessera.functions import atoms as A, manuscript, matching as M
 from tessera.functions.draws import draw, draw_sql
 from tessera.operators import benchmark, design, estimands, figures, prompts, validation
 from tessera.operators.ranks import cut, discard, new_folder
-from tessera.sources import tables
+from tessera.sources import freeze, tables
 from tessera.streaming import events
 
 from .adapters import COMPOSED, DISCLOSURES, ORDER_ATOMS, PROVIDER_CALLS, RUN_EVENTS, STAGED_EVENTS, SURFACES, disclosures, order_atoms, provider_calls, read, records, run_events, staged_events
@@ -310,6 +310,22 @@ def event_stream_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts
 
 
+@query("""WITH k AS (SELECT DISTINCT doc_id % 40 AS k FROM documents) SELECT concat('k=', k) AS path, CASE k WHEN 3 THEN 'changed' ELSE 'missing' END AS state FROM k WHERE k IN (3, 5) UNION ALL SELECT 'k=77', 'added' UNION ALL SELECT '', 'changed'""")
+def frozen_folder_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents frozen in forty folders, of which one is then changed, one deleted and one added: the folders whose digests tell."""
+    folder = new_folder(spark, "frozen")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs.withColumn("k", F.col("doc_id") % 40).repartition("k").write.partitionBy("k").parquet(folder)
+    before = cut(freeze.digest_tree(freeze.file_digests(spark, folder)))
+    docs.where("doc_id % 40 = 3").withColumn("text", F.upper("text")).write.mode("overwrite").parquet(f"{folder}/k=3")
+    docs.where("doc_id % 40 = 4").write.parquet(f"{folder}/k=77")
+    discard(spark, f"{folder}/k=5")
+    after = freeze.digest_tree(freeze.file_digests(spark, folder, before, thorough=False))
+    found = cut(freeze.tree_differences(before, after).where("NOT is_file").select("path", "state"))
+    discard(spark, folder)
+    return found
+
+
 @query(f"""WITH {STAGED_EVENTS}, kept AS (SELECT * FROM staged WHERE event_id % 50 <> 3),
     p AS (SELECT *, lag(sequence) OVER w AS last, max(CASE WHEN started THEN stage_at END) OVER (PARTITION BY run_id ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM kept WINDOW w AS (PARTITION BY run_id ORDER BY sequence))
     SELECT run_id, count(*) AS n, count(*) FILTER (sequence <> coalesce(last, 0) + 1) AS n_gaps, count(*) FILTER (started AND (stage_at = 0 OR stage_at <= before)) AS n_disorders FROM p GROUP BY run_id""")
