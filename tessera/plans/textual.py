@@ -270,6 +270,46 @@ def allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(interventions.allocate(scored, 60))
 
 
+#: (edit, message, piece, text, reason) of a composed case; V, W and Z stand for a value, another and another way to write it.
+_EDIT_CASES = (
+    ("delete", "Margin V in Europe. Sales rose.", "", "Margin in Europe. Sales rose.", ""),
+    ("delete", "Margin rose from V to W in Europe.", "", None, "entangled"),
+    ("delete", "Sales rose in Europe.", "", None, "absent"),
+    ("insert", "Margin V in Europe.", "- numeric: V", None, "present"),
+    ("insert", "Sales rose.", "- numeric: V", "Sales rose.\n- numeric: V", ""),
+    ("insert", "Sales rose.", "- numeric: W", None, "undetected"),
+    ("sham_delete", "Margin V up, then W.", "Z", "Margin Z up, then W.", "sham"),
+    ("sham_delete", "Margin V up, then W.", "W", None, "destroyed"),
+    ("sham_insert", "Margin V up.", "- numeric: W", "Margin V up.\n- numeric: W", "sham"),
+    ("sham_insert", "Margin V up.", "- numeric: V", None, "availability_changed"),
+    ("sham_delete", "Sales rose.", "Z", None, "absent"),
+)
+
+
+@query(f"""WITH k AS (SELECT c_custkey, CAST(1 + c_custkey % 80 AS VARCHAR) AS a, CAST(2 + c_custkey % 80 AS VARCHAR) AS w, CAST(1 + c_custkey % 9 AS VARCHAR) AS b, CAST(c_custkey % {len(_EDIT_CASES)} AS INT) AS i FROM customer),
+    t AS (SELECT c_custkey, a || '.' || b || '%' AS v, w || '.' || b || '%' AS other, a || '.' || b || '0%' AS z, list_extract({[c[0] for c in _EDIT_CASES]}, i + 1) AS edit, list_extract({[c[4] for c in _EDIT_CASES]}, i + 1) AS reason, list_extract([{", ".join("NULL" if c[3] is None else "'" + c[3].replace(chr(10), "' || chr(10) || '") + "'" for c in _EDIT_CASES)}], i + 1) AS said FROM k)
+    SELECT c_custkey, edit, reason, said IS NOT NULL AS accepted, replace(replace(replace(said, 'V', v), 'W', other), 'Z', z) AS text FROM t""")
+def edit_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Composed messages for every reason to refuse an edit that a message can give, and for those accepted."""
+    k = F.col("c_custkey")
+    a, w, b = ((1 + k % 80).cast("string"), (2 + k % 80).cast("string"), (1 + k % 9).cast("string"))
+    values = {"V": F.concat(a, F.lit("."), b, F.lit("%")), "W": F.concat(w, F.lit("."), b, F.lit("%")), "Z": F.concat(a, F.lit("."), b, F.lit("0%"))}
+    case = F.element_at(F.array(*(F.struct(*(F.lit(x).alias(n) for n, x in zip(("edit", "message", "piece"), c))) for c in _EDIT_CASES)), (k % len(_EDIT_CASES) + 1).cast("int"))
+
+    def filled(column):
+        for mark, value in values.items():
+            column = F.replace(column, F.lit(mark), value)
+        return column
+
+    rows = read(spark, sf_dir, "customer").select("c_custkey", case.alias("case"), values["V"].alias("value"), F.lit("numeric").alias("role"))
+    rows = rows.select("c_custkey", "case.edit", filled(F.col("case.message")).alias("message"), filled(F.col("case.piece")).alias("piece"), "value", "role")
+    parts = [rows.where(F.col("edit") == kind).withColumn("e", M.sham_col(kind, "message", "value", "role", F.col("piece"))) for kind in M.KINDS]
+    done = parts[0]
+    for part in parts[1:]:
+        done = done.unionByName(part)
+    return done.select("c_custkey", "edit", "e.reason", "e.accepted", "e.text")
+
+
 # The mock study, end to end.
 
 
