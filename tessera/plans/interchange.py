@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.functions import atoms as A, manuscript, matching as M
 from tessera.functions.draws import draw, draw_sql
-from tessera.operators import benchmark, design, estimands, figures, prompts, validation
+from tessera.operators import artifacts, benchmark, design, estimands, figures, prompts, validation
 from tessera.operators.ranks import cut, discard, new_folder
 from tessera.sources import freeze, tables
 from tessera.streaming import events
@@ -183,6 +183,42 @@ def protocol_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark.protocol_leaves(c.select("c_custkey", text.alias("text")), "c_custkey", "text")
 
 
+@query("""WITH k AS (SELECT p_partkey AS id, concat('part-', p_partkey) AS figure_id, p_partkey % 11 AS size, p_partkey % 7 AS broken, p_partkey % 5 AS unsized, p_partkey % 13 AS said, p_partkey % 17 AS lacking FROM part)
+    SELECT figure_id, 'failure' AS severity, CASE lacking WHEN 0 THEN 'pdf missing or empty' ELSE 'svg missing or empty' END AS problem, NULL AS item FROM k WHERE lacking IN (0, 1)
+    UNION ALL SELECT figure_id, 'failure', 'not well-formed', NULL FROM k WHERE lacking > 1 AND broken = 0 UNION ALL SELECT figure_id, 'warning', 'no viewBox and no width and height', NULL FROM k WHERE lacking > 1 AND broken > 0 AND unsized = 0
+    UNION ALL SELECT figure_id, 'failure', 'letters below the floor', printf('%.1f', CAST(size AS DOUBLE)) FROM k WHERE lacking > 1 AND size < 6 UNION ALL SELECT figure_id, 'failure', 'operational language', '2:spend ceiling' FROM k WHERE lacking > 1 AND said = 0""")
+def figure_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A drawing of each part, with failures planted by its key."""
+    k = F.col("p_partkey")
+    piece = lambda c, yes, no: F.when(c, yes).otherwise(no)
+    svg = F.concat(
+        F.lit('<svg xmlns="http://www.w3.org/2000/svg"'), piece(k % 5 == 0, ' width="9"', ' viewBox="0 0 9 9"'), F.lit('>\n<g><text font-size="12px">Part</text>\n<text style="font-size: '), (k % 11).cast("string"), F.lit('pt">'),
+        piece(k % 13 == 0, "Spend ceiling", "Price"), F.lit("</text>"), piece(k % 7 == 0, "", "</g>"), F.lit("</svg>"),
+    )
+    figures = read(spark, sf_dir, "part").select(F.concat(F.lit("part-"), k).alias("figure_id"), F.when(k % 17 != 0, F.lit(4).cast("long")).alias("pdf_bytes"), F.when(k % 17 != 1, svg).alias("svg"))
+    return artifacts.figure_problems(figures, ("spend ceiling",))
+
+
+@query("""WITH k AS (SELECT s_suppkey AS i, concat('m', s_suppkey) AS manuscript FROM supplier)
+    SELECT manuscript, 'failure' AS severity, 'unfilled values' AS problem, CAST(i % 3 AS VARCHAR) AS item FROM k WHERE i % 3 > 0 UNION ALL SELECT manuscript, 'warning', 'figure drawn by hand', 'fig:hero' FROM k WHERE i % 2 = 0
+    UNION ALL SELECT manuscript, 'failure', 'figure placeholder', concat('fig:', i) FROM k WHERE i % 4 = 1 UNION ALL SELECT manuscript, 'failure', 'missing table', concat('tab', i, '.tex') FROM k WHERE i % 5 = 0
+    UNION ALL SELECT manuscript, 'failure', 'untraced table', concat('tab', i, '.tex') FROM k WHERE i % 5 > 0 AND i % 7 = 0 UNION ALL SELECT manuscript, 'failure', 'undefined references', '2' FROM k WHERE i % 6 = 0""")
+def manuscript_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manuscript of each supplier, with what is left to do planted by its key."""
+    i = F.col("s_suppkey")
+    name = lambda head, tail="": F.concat(F.lit(head), i.cast("string"), F.lit(tail))
+    tex = F.concat(
+        F.repeat(F.lit("A \\tbd here. "), (i % 3).cast("int")), F.lit("\\begin{figure}"), F.when(i % 2 == 0, "\\phfig").otherwise("drawn"), F.lit("\\label{fig:hero}\\end{figure} text \\begin{figure*}"),
+        F.when(i % 4 == 1, "{\\phfig}").otherwise(""), name("\\label{fig:", "}\\end{figure}\\label{tab:"), i.cast("string"), F.lit("}"),
+    )
+    base = read(spark, sf_dir, "supplier")
+    rows = base.select(name("m").alias("manuscript"), tex.alias("tex"), F.when(i % 6 == 0, "Citation `a' undefined\nLaTeX Warning: There were undefined citations").when(i % 6 == 1, "").alias("log"))
+    targets = base.select(name("tab:").alias("label"), name("tab", ".tex").alias("file"), F.lit("table").alias("kind"))
+    files = lambda keep: base.where(keep).select(name("tab", ".tex").alias("file"))
+    hero = spark.range(1).select(F.lit("fig:hero").alias("label"))
+    return artifacts.manuscript_problems(rows, targets, files(i % 5 > 0), files(i % 7 > 0), hero)
+
+
 @query("""SELECT event_id, event_type, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS place FROM events) WHERE place <= 100""")
 def reserve_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return design.reserve_order(read(spark, sf_dir, "events").select("event_id", "event_type"), "event_type", "event_id")
