@@ -199,10 +199,13 @@ def repeated_segments(docs: DataFrame) -> DataFrame:
     distinct = passages.groupBy("key", "words_digest", "words").agg(F.count("*").alias("times"))
     distinct.write.option("compression", "zstd").parquet(kept)
     distinct = spark.read.parquet(kept)
-    total = distinct.agg(F.sum(F.size(F.split(F.col("words").cast("string"), " "))).alias("n")).first()["n"] or 0
-    shards = max(1, -(-total // SHARD_WORDS))
-    sizes = distinct.groupBy("key").agg(F.count("*").alias("n"))
-    hot = sizes.where(F.col("n") > HOT_SEGMENTS).select("key")
+    sizes = cut(distinct.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.size(F.split(F.col("words").cast("string"), " "))).alias("w")))
+    is_hot = F.col("n") > HOT_SEGMENTS
+    total, single = sizes.agg(F.sum(F.when(~is_hot, F.col("w"))), F.sum(F.when(is_hot, F.col("w") - (WINDOW - 1) * F.col("n")))).first()
+    shards = max(1, -(-(total or 0) // SHARD_WORDS))
+    # a hot key's segments become windows of 35 words, two copies of each at most
+    window_shards = max(1, -(-(single or 0) * 2 * WINDOW // SHARD_WORDS))
+    hot = sizes.where(is_hot).select("key")
     calm = distinct.join(hot, "key", "left_anti").select("words_digest", "times", "words", F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"))
     found = "words_digest binary, hit long"
     hits = calm.groupBy("shard").applyInPandas(_search_shard, found)
@@ -210,7 +213,7 @@ def repeated_segments(docs: DataFrame) -> DataFrame:
     # two copies of a window are as good as thousands: the index finds the second, and no shard fills with one window
     apart = windows.groupBy(F.col("window_digest").alias("words_digest"), "words").agg(F.sum("times").alias("n"))
     apart = apart.select("words_digest", "words", F.explode(F.array_repeat(F.lit(1).cast("long"), F.least("n", F.lit(2)).cast("int"))).alias("times"))
-    apart = apart.withColumn("shard", F.pmod(F.xxhash64("words_digest"), F.lit(shards)))
+    apart = apart.withColumn("shard", F.pmod(F.xxhash64("words_digest"), F.lit(window_shards)))
     apart_hits = apart.groupBy("shard").applyInPandas(_search_shard, found).select(F.col("words_digest").alias("window_digest"))
     of_windows = windows.select("words_digest", "offset", "window_digest").join(apart_hits, "window_digest")
     of_windows = of_windows.groupBy("words_digest").agg(F.bit_or(F.expr("shiftleft(1L, offset)")).alias("hit"))
