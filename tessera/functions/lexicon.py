@@ -99,6 +99,9 @@ LINE_MARKS = ("users", "/home/", "desktop/", "sk-", "aiza", "hf_", "akia", "----
 PROSE_MARKS = ("iclr", "neurips", "icml", "aaai", "acl findings", "under review", "paper submission", "rebuttal", "reviewer", "camera", "submission deadline", "double-blind", "state", "outperforms", "superior to", "empirically")
 EMAIL_ALLOWED = r"(?i)(you@example\.com|your\.email@example\.com|name@example\.com|user@example\.com|noreply@|security@example\.com|\{\{[^}]+\}\}|<[^>]*>)"
 
+#: Folders that must hold no tracked file.
+PRIVATE_FOLDERS = ("data/", "runs/", "cache/", "logs/", "artifacts/", "calibration/", "third_party/", "protocol_freeze/", "test_freeze/", "secrets/", "private/")
+
 #: Constructions in which a fact cannot be deleted alone.
 ENTANGLED_LEFT = re.compile(r"(?:compared\s+with|versus|vs\.?|from|between)\s*$", re.I)
 ENTANGLED_RIGHT = re.compile(r"^\s*(?:and|or|to|through)\s+\d", re.I)

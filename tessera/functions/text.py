@@ -198,6 +198,15 @@ def line_findings(files: DataFrame, key: str, text: str, prose: Column | None =
     return found
 
 
+def path_findings(files: DataFrame, path: str) -> DataFrame:
+    """(path, line_number 0, rule, excerpt) of files in folders that must hold no tracked file; paths are relative to the root."""
+    relative = F.regexp_replace(path, r"^(?:\./)+", "")
+    private = F.lit(False)
+    for folder in L.PRIVATE_FOLDERS:
+        private = private | F.startswith(relative, F.lit(folder))
+    return files.where(private).select(F.col(path).alias("path"), F.lit(0).alias("line_number"), F.lit("tracked_private_directory").alias("rule"), F.col(path).alias("excerpt"))
+
+
 def source_frames(documents: DataFrame, window: int, section: str = "full", required: bool = False) -> DataFrame:
     """(document_id, text, token_count, tokenizer, window_tokens, truncated, sha256, section).
 
