@@ -110,6 +110,15 @@ def handoff_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark.handoffs(disclosures(spark, sf_dir), 60, ("full_context", "head_truncation", "vanilla_relay"))
 
 
+@query(rf"""WITH {DISCLOSURES}, t AS (SELECT len(regexp_extract_all(text, '{_TOKENS}')) AS n FROM disclosures)
+    SELECT 'full_context' AS method, count(*) AS n_documents, CAST(sum(n) AS BIGINT) AS input_tokens, CAST(sum(n) AS BIGINT) AS output_tokens, count(*) FILTER (n > 60) AS over_budget, true AS timed FROM t
+    UNION ALL SELECT 'head_truncation', count(*), CAST(sum(n) AS BIGINT), CAST(sum(least(n, 60)) AS BIGINT), 0, true FROM t""")
+def handoff_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each method takes in, gives out and costs over all disclosures; of the seconds only that there are any."""
+    timed = benchmark.timed_handoffs(disclosures(spark, sf_dir), 60)
+    return timed.withColumn("timed", F.col("seconds") > 0).drop("seconds")
+
+
 @query("""SELECT s_name AS method, array_to_string(list_filter([CASE WHEN s_suppkey % 3 = 0 THEN 'example_ran' END, CASE WHEN abs(s_acctbal / 1000) > 2 THEN 'native_metric_reproduced' END], lambda x: x IS NOT NULL), ',') AS failed_steps,
     CASE WHEN s_suppkey % 3 = 0 OR abs(s_acctbal / 1000) > 2 THEN 'UNREPRODUCED' ELSE 'READY' END AS status FROM supplier""")
 def reproduction_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
