@@ -25,7 +25,7 @@ shards leave shards empty; columns of other names are ignored.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import cut, ranked
 
@@ -75,10 +75,13 @@ def hilbert_index(axes: list[np.ndarray], bits: int) -> np.ndarray:
 
 def _with_class(rows: DataFrame, met: DataFrame, column: str, name: str) -> DataFrame:
     """rows with the class of a column's value: its place among the values met, scaled to the grid; nulls come first."""
-    placed = ranked(met.select(F.col(column).alias("_value")).distinct(), [F.col("_value")], "_place")
-    n, held = placed.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col("_value").cast("string"))), F.lit(0))).first()
+    values = met.select(F.col(column).alias("_value")).distinct()
+    n, held = values.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col("_value").cast("string"))), F.lit(0))).first()
+    # few values are numbered in one task; more are dealt out by range
+    few = n <= SMALL_VALUES
+    placed = values.withColumn("_place", F.row_number().over(Window.orderBy("_value")) - 1) if few else ranked(values, [F.col("_value")], "_place")
     values = placed.select("_value", F.expr(f"cast(_place * {CLASSES} div {max(1, n)} as long)").alias(name))
-    values = F.broadcast(values) if n <= SMALL_VALUES and held <= SMALL_BYTES else values
+    values = F.broadcast(values) if few and held <= SMALL_BYTES else values
     return rows.join(values, F.col(column).eqNullSafe(F.col("_value"))).drop("_value")
 
 
