@@ -80,6 +80,18 @@ def source_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.source_frames(_documents(spark, sf_dir), 2000)
 
 
+@query(rf"""WITH documents AS (SELECT doc_id, concat(' ', text, chr(10)) AS text FROM documents WHERE doc_id % 3 < 2 AND length(text) + 2 >= 500),
+    t AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, regexp_extract_all({_NORMAL}, '\s*(?:{_WORDS})') AS words FROM documents), f AS (SELECT document_id, array_to_string(list_slice(words, 1, 2000), '') AS text, len(words) AS n FROM t)
+    SELECT document_id, text, CAST(least(n, 2000) AS INT) AS token_count, 'regex' AS tokenizer, 2000 AS window_tokens, n > 2000 AS truncated, sha256(text) AS sha256, 'mdna' AS section FROM f""")
+def discussion_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents set as a filing's discussion, after a table of contents that names it too; a third have none."""
+    k = F.col("doc_id") % 3
+    contents = "Contents\nItem 7. Management's Discussion and Analysis 12\nItem 7A. Quantitative Disclosures 20\n"
+    head = F.when(k == 0, "Item 7. Management's Discussion and Analysis").when(k == 1, "ITEM 7 - MANAGEMENT’S DISCUSSION  AND ANALYSIS").otherwise("Notes")
+    filed = F.concat(F.lit(contents), head, F.lit(" "), "text", F.lit("\n"), F.when(k == 0, "item 7A: Quantitative and so on").otherwise("Item 8. Financial Statements"), F.lit("\nSignatures " + "x" * 600))
+    return T.source_frames(read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), filed.alias("text")), 2000, "mdna", True)
+
+
 @query()
 def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", T.looks_like_html(F.col("html")).alias("is_html"), T.html_col("html").alias("text"))
@@ -222,6 +234,12 @@ def atom_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(A.features(A.atoms_of(frames), frames))
 
 
+@query(rf"""WITH {SURFACES} SELECT document_id, role, canonical_value, CAST(char_start AS INT) AS char_start, CAST(char_start + length(surface) AS INT) AS char_end,
+    CAST(len(regexp_extract_all(left(text, char_start), '\w+|[^\w\s]')) AS INT) AS token_start, CAST(len(regexp_extract_all(left(text, char_start + length(surface)), '\w+|[^\w\s]')) AS INT) AS token_end FROM surfaced""")
+def token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.atoms_of(disclosures(spark, sf_dir), ("document_id", "role", "canonical_value", "char_start", "char_end", "token_start", "token_end"))
+
+
 @query(f"WITH {SURFACES} SELECT document_id, string_agg(concat('- ', role, ': ', canonical_value), chr(10) ORDER BY char_start, role, atom_id) AS message FROM surfaced GROUP BY document_id")
 def render_message(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.messages(A.atoms_of(disclosures(spark, sf_dir)), ["document_id"])
