@@ -10,8 +10,8 @@ the half window before the next stretch.
 
 A label's vectors are centred before they are projected, else what they have in
 common decides most signs and few tell them apart. The centre is the mean of
-about SAMPLE unit vectors, of the largest labels only (CENTRES components in
-all); smaller labels keep the origin.
+about SAMPLE unit vectors of the label; a label that fits half a window needs
+none. Centres are a table that is joined to the vectors.
 
 Inside the classes found, every two vectors are compared, in blocks, so each
 vector's links within its class are counted in full however large the class.
@@ -19,9 +19,11 @@ A link between two classes that no pass joined is not found. Two vectors at the
 threshold keep each leading sign with a chance of 1 - angle / pi (0.94 at a
 cosine of 0.98, less where centring widens the angle), and meet where they keep
 as many as cut their label down to half a window. The number of passes follows
-from that and the labels' sizes, so that such a lone pair is missed with a
-chance of about MISSED however large its label: eight passes at least, and
-`most_passes` at most.
+from that and the labels' sizes and spreads, so that such a lone pair is missed
+with a chance of about MISSED however large its label. A label that would need
+more than `most_passes` is not hashed at all: its vectors are compared in
+blocks, every block with every other, which is exact and costs the square of
+its size.
 
 Vectors equal in label and components are compared once and weighted.
 
@@ -36,7 +38,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import cut, ranked
 from .components import components
@@ -44,8 +46,8 @@ from .components import components
 SIGNS = 48
 #: Half windows in a stretch; the chance to miss a lone pair that sets the number of passes.
 STRETCH, MISSED = 8, 1e-3
-#: Vectors sampled for a label's centre, and components of all centres together, which reach the driver (under 10 MB).
-SAMPLE, CENTRES = 1000, 200_000
+#: Vectors sampled for a label's centre, and the steps in which spreads are told apart.
+SAMPLE, STEPS = 1000, 200
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -80,36 +82,38 @@ def _units(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(lists, pa.list_(pa.float64()))], names=["label", "size", "unit"])
 
 
-def _centres(distinct: DataFrame, half: int) -> tuple[dict, dict]:
-    """By (label, size), of the largest labels that do not fit half a window: the centre, and the number of vectors."""
-    sizes = distinct.groupBy("label", "size").agg(F.count("*").alias("rows")).where(F.col("rows") > half)
-    widest = sizes.agg(F.max("size")).first()[0]
-    if widest is None:
-        return {}, {}
-    large = cut(sizes.orderBy(F.desc("rows"), "label", "size").limit(max(1, CENTRES // widest)))
+def _large_labels(distinct: DataFrame, half: int) -> DataFrame:
+    """(label, size, rows, depth, step, centre) of the labels that do not fit half a window.
+
+    depth: the signs that cut the label down to half a window; step: in which
+    of STEPS the mean square distance of its unit vectors from the centre lies.
+    """
+    key = ["label", "size"]
+    sizes = cut(distinct.groupBy(*key).agg(F.count("*").alias("rows")).where(F.col("rows") > half))
     kind = distinct.schema["label"].dataType.simpleString()
-    picked = distinct.join(F.broadcast(large), ["label", "size"]).where(F.pmod(F.xxhash64("node"), F.col("rows")) < SAMPLE).select("label", "size", "embedding")
+    picked = distinct.join(sizes, key).where(F.pmod(F.xxhash64("node"), F.col("rows")) < SAMPLE).select(*key, "embedding")
     units = picked.mapInArrow(_units, f"label {kind}, size int, unit array<double>")
-    means = units.select("label", "size", F.posexplode("unit").alias("at", "x")).groupBy("label", "size", "at").agg(F.avg("x").alias("x"))
-    found: dict = {}
-    for r in means.collect():
-        found.setdefault((r["label"], r["size"]), np.zeros(r["size"]))[r["at"]] = r["x"]
-    return found, {(r["label"], r["size"]): r["rows"] for r in large.collect()}
+    means = units.select(*key, F.posexplode("unit").alias("at", "x")).groupBy(*key, "at").agg(F.avg("x").alias("x"))
+    # as many numbers as a vector has
+    centres = means.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("c"), F.sum(F.col("x") * F.col("x")).alias("square"))
+    depth = F.ceil(F.log2(F.col("rows") / half)).cast("int").alias("depth")
+    step = F.floor(F.greatest(1 - F.coalesce("square", F.lit(0.0)), F.lit(0.0)) * STEPS).cast("int").alias("step")
+    return cut(sizes.join(centres, key, "left").select(*key, "rows", depth, step, F.col("c.x").alias("centre")))
 
 
-def _hasher(passes: int, centres: dict):
+def _hasher(passes: int):
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             sizes = np.asarray(batch.column(2))
-            labels, lists = batch.column(1).to_pylist(), batch.column(3).to_pylist()
+            lists, centres = batch.column(3).to_pylist(), batch.column(4).to_pylist()
             for number in range(passes):
                 keys = np.zeros(len(sizes), dtype=np.int64)
                 for d in np.unique(sizes):
                     rows = np.flatnonzero(sizes == d)
                     origin = np.zeros(d)
-                    around = np.array([centres.get((labels[i], d), origin) for i in rows])
+                    around = np.array([origin if centres[i] is None else centres[i] for i in rows])
                     keys[rows] = keys_of(np.array([lists[i] for i in rows]), number, around)
                 at = pa.array(np.full(len(sizes), number, dtype=np.int32))
                 yield pa.RecordBatch.from_arrays([at, *batch.columns[:3], pa.array(keys)], names=["pass", "node", "label", "size", "order_key"])
@@ -173,6 +177,28 @@ def _window_links(threshold: float, half: int):
     return run
 
 
+def _block_links(threshold: float):
+    """Links inside pairs of blocks of a label."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for frame in _grouped(batches, 4):
+            unit = _unit(np.stack(frame["embedding"].to_numpy()))
+            node = frame["node"].to_numpy()
+            pairs = forest(unit @ unit.T >= threshold)
+            yield pa.RecordBatch.from_arrays([pa.array([int(node[a]) for a, _ in pairs], pa.int64()), pa.array([int(node[b]) for _, b in pairs], pa.int64())], names=["u", "v"])
+
+    return run
+
+
+def _in_block_pairs(rows: DataFrame, count: Column, block: int) -> DataFrame:
+    """rows, each once for every pair (i, j) of blocks that its own block is in; a group of `count` rows has blocks of about `block`."""
+    rows = rows.withColumn("blocks", F.ceil(count / F.lit(block)).cast("int")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("mine", j).alias("i"), F.greatest("mine", j).alias("j")))
+    return rows.withColumn("_p", F.explode(pairs)).select(*rows.columns, "_p.i", "_p.j")
+
+
 def _class_counts(threshold: float):
     def run(batches):
         import pyarrow as pa
@@ -200,10 +226,16 @@ def linked_vectors(vectors: DataFrame, threshold: float = 0.98, passes: int = 8,
     distinct = cut(distinct.withColumn("node", F.monotonically_increasing_id()).withColumn("size", F.size("embedding")))
     kind = distinct.schema["label"].dataType.simpleString()
     half = window // 2
-    centres, sizes = _centres(distinct, half)
-    spread = {k: 1 - float(c @ c) for k, c in centres.items()}
-    passes = min(max(most_passes, passes), max([passes, *(passes_for(n, half, threshold, spread.get(k, 1.0)) for k, n in sizes.items())]))
-    keyed = distinct.select("node", "label", "size", "embedding").mapInArrow(_hasher(passes, centres), f"pass int, node long, label {kind}, size int, order_key long")
+    key = ["label", "size"]
+    large = _large_labels(distinct, half)
+    # at most as many rows as there are depths times steps
+    kinds = [(r["depth"], r["step"], passes_for(r["rows"], half, threshold, r["step"] / STEPS)) for r in large.groupBy("depth", "step").agg(F.max("rows").alias("rows")).collect()]
+    beyond = [F.lit(f"{d}:{s}") for d, s, need in kinds if need > most_passes]
+    passes = max([passes, *(need for *_, need in kinds if need <= most_passes)])
+    whole = F.concat_ws(":", "depth", "step").isin(*beyond) if beyond else F.lit(False)
+    with_centre = distinct.select("node", *key, "embedding").join(large.select(*key, "rows", "centre", whole.alias("whole")), key, "left")
+    hashed = with_centre.where(~F.coalesce("whole", F.lit(False))).select("node", *key, "embedding", "centre")
+    keyed = hashed.mapInArrow(_hasher(passes), f"pass int, node long, label {kind}, size int, order_key long")
     placed = ranked(keyed, [F.col(c) for c in ("pass", "label", "size", "order_key", "node")], "place")
     order = ("window", "pass", "label", "size")
     stretch = STRETCH * half
@@ -213,15 +245,16 @@ def linked_vectors(vectors: DataFrame, threshold: float = 0.98, passes: int = 8,
     meet = placed.join(distinct.select("node", "embedding"), "node").select(*order, "place", "node", "embedding")
     meet = meet.repartition(*order).sortWithinPartitions(*order, "place")
     found = meet.mapInArrow(_window_links(threshold, half), "u long, v long")
+    if beyond:
+        blocked = _in_block_pairs(with_centre.where("whole").select("node", *key, "embedding", "rows"), F.col("rows"), half)
+        blocked = blocked.select(*key, "i", "j", "node", "embedding").repartition(*key, "i", "j").sortWithinPartitions(*key, "i", "j")
+        found = found.unionByName(blocked.mapInArrow(_block_links(threshold), "u long, v long"))
     roots = cut(components(found))
     classes = distinct.select("node", "least", "n").join(roots, "node")
     # a table of its own, not an aggregate in the joins' stages: so Spark can split the rows of a large class
     names = cut(classes.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members")))
     classes = distinct.select("node", "embedding", "n").join(roots, "node").join(names, "root")
-    blocks = F.ceil(F.col("members") / F.lit(block)).cast("int")
-    classes = classes.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("mine", j).alias("i"), F.greatest("mine", j).alias("j")))
-    dealt = classes.select("root", F.explode(pairs).alias("p"), "node", "mine", "n", "embedding").select("root", "p.i", "p.j", "node", "mine", "n", "embedding")
+    dealt = _in_block_pairs(classes, F.col("members"), block).select("root", "i", "j", "node", "mine", "n", "embedding")
     dealt = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
     near = dealt.mapInArrow(_class_counts(threshold), "node long, near long").groupBy("node").agg(F.sum("near").alias("near"))
     named = roots.join(names, "root").select("node", "component_id")
