@@ -183,7 +183,7 @@ def targeting(candidates: DataFrame, budget: int, seed: int = 0, draws: int = 51
     """
     kind = candidates.schema["document_id"].dataType.simpleString()
     fields = ("atom_id", "transmitted", "delta_budget", "rendered_tokens", "value")
-    listed = candidates.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("items"))
+    listed = candidates.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("items"))
 
     def solve(items) -> tuple:
         ids = [i["atom_id"] for i in items]
@@ -255,7 +255,7 @@ def uniform_atoms(atoms: DataFrame, budget: int, seed: int) -> DataFrame:
 
     atoms: (document_id, atom_id, cost).
     """
-    ordered = F.array_sort(F.collect_list(F.struct(draw(seed, F.col("document_id"), F.col("atom_id")).alias("h"), "atom_id", "cost")))
+    ordered = F.sort_array(F.collect_list(F.struct(draw(seed, F.col("document_id"), F.col("atom_id")).alias("h"), "atom_id", "cost")))
     start = F.struct(F.lit(0).cast("long").alias("spent"), F.array().cast("array<string>").alias("ids"))
 
     def step(state, item):

@@ -30,7 +30,7 @@ def _place(role: Column) -> Column:
 
 def skeletons(slots: DataFrame, value: str = "canonical_value", name: str = "skeleton") -> DataFrame:
     """For each tuple and focal role the lines of all slots, the focal one left out."""
-    whole = slots.groupBy("slot_id").agg(F.array_sort(F.collect_list(F.struct(_place(F.col("role")).alias("k"), "role", F.col(value).alias("value")))).alias("slots"))
+    whole = slots.groupBy("slot_id").agg(F.sort_array(F.collect_list(F.struct(_place(F.col("role")).alias("k"), "role", F.col(value).alias("value")))).alias("slots"))
     focal = slots.select("slot_id", "document_id", "sentence_index", F.col("role").alias("focal_role"), F.col("canonical_value").alias("focal_value")).join(whole, "slot_id")
     lines = F.transform("slots", lambda s: render(s["role"], F.when(s["role"] == F.col("focal_role"), OMITTED).otherwise(s["value"])))
     return focal.withColumn(name, F.array_join(lines, "\n")).drop("slots")
@@ -44,7 +44,7 @@ def blocked_values(slots: DataFrame, support: DataFrame, seed: int) -> DataFrame
     pair of slot and vocabulary is formed. A role without another value keeps
     a null.
     """
-    listed = support.select("role", "value").distinct().groupBy("role").agg(F.array_sort(F.collect_list("value")).alias("_values"))
+    listed = support.select("role", "value").distinct().groupBy("role").agg(F.sort_array(F.collect_list("value")).alias("_values"))
     joined = slots.join(listed, "role", "left")
     others = F.filter("_values", lambda v: v != F.col("canonical_value"))
     place = draw(seed, F.col("slot_id"), F.col("role"))
@@ -58,9 +58,12 @@ def signature(skeleton: Column) -> Column:
 
 def matched_arms(slots: DataFrame) -> DataFrame:
     """natural and blocked skeletons side by side, and whether they match: same slots, one left out in each."""
-    natural = skeletons(slots, "canonical_value", "natural")
-    blocked = skeletons(slots, "blocked_value", "blocked").select("slot_id", "focal_role", "blocked")
-    both = natural.join(blocked, ["slot_id", "focal_role"])
+    fields = F.struct(_place(F.col("role")).alias("k"), "role", F.col("canonical_value").alias("value"), "blocked_value", "document_id", "sentence_index")
+    whole = slots.groupBy("slot_id").agg(F.sort_array(F.collect_list(fields)).alias("slots"))
+    focal = whole.select("slot_id", "slots", F.explode("slots").alias("focal"))  # a join of the slots with themselves would work them out for each side
+    lines = lambda field: F.array_join(F.transform("slots", lambda s: render(s["role"], F.when(s["role"] == F.col("focal.role"), OMITTED).otherwise(s[field]))), "\n")
+    names = [F.col(f"focal.{c}").alias(n) for c, n in (("document_id", "document_id"), ("sentence_index", "sentence_index"), ("role", "focal_role"), ("value", "focal_value"))]
+    both = focal.select("slot_id", *names, lines("value").alias("natural"), lines("blocked_value").alias("blocked"))
     once = lambda c: F.size(F.split(c, r"\[OMITTED\]")) == 2
     return both.withColumn("matched", (signature(F.col("natural")) == signature(F.col("blocked"))) & once("natural") & once("blocked"))
 
@@ -73,7 +76,7 @@ def allocate(atoms: DataFrame, budget: int, score: str = "score") -> DataFrame:
     over. A document's atoms are gathered into one row.
     """
     fields = ("atom_id", "role", "canonical_value", "char_start", score)
-    listed = atoms.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("items"))
+    listed = atoms.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("items"))
 
     def message(items) -> str:
         ordered = sorted(items, key=lambda i: (i["char_start"], i["role"], i["atom_id"]))
