@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tessera.functions.draws import draw
+from tessera.functions.text import pieces
 
 from .quantiles import quantiles
 
@@ -185,30 +188,69 @@ def targeting(candidates: DataFrame, budget: int, seed: int = 0, draws: int = 51
     fields = ("atom_id", "transmitted", "delta_budget", "rendered_tokens", "value")
     listed = candidates.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("items"))
 
-    def solve(items) -> tuple:
-        ids = [i["atom_id"] for i in items]
-        costs = [int(i["rendered_tokens"]) for i in items]
-        t = np.array([i["transmitted"] for i in items], dtype=float)
-        d = np.array([i["delta_budget"] for i in items], dtype=float)
-        utility = np.array([i["value"] for i in items], dtype=float) * d
-        observed = float(utility[t == 1].sum())
-        _, _, best, ties = knapsack(list(zip(ids, costs, utility.tolist())), budget)
-        rng = np.random.default_rng(seed)
-        fills = [float(utility[greedy_fill(costs, budget, rng.permutation(len(costs)))].sum()) for _ in range(draws)]
-        fill = float(np.mean(fills)) if fills else 0.0
-        eta = (observed - fill) / (best - fill) if best > fill else None
-        return observed, fill, best, eta, ties, len(items), float(np.mean(t * d) - t.mean() * d.mean())
-
     names = ["g_obs", "g_rand", "g_star", "eta_u", "ties_broken", "n_candidates", "cov_t_delta"]
 
-    def run(frames):
-        import pandas as pd
-
-        for frame in frames:
-            solved = pd.DataFrame([solve(x) for x in frame["items"]], columns=names)
-            yield pd.concat([frame[["document_id"]].reset_index(drop=True), solved], axis=1)
-
-    return listed.mapInPandas(run, f"document_id {kind}, g_obs double, g_rand double, g_star double, eta_u double, ties_broken long, n_candidates long, cov_t_delta double")
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in pieces(batches):
+            sizes, flat = batch.column(1).value_lengths().to_numpy(), batch.column(1).flatten()
+            starts = np.cumsum(sizes) - sizes
+            cost = pc.struct_field(flat, "rendered_tokens")
+            if cost.null_count:
+                raise ValueError("a candidate without tokens")
+            cost, ids = cost.to_numpy(zero_copy_only=False).astype(np.int64), pc.struct_field(flat, "atom_id").to_pylist()
+            t, d, v = (pc.struct_field(flat, c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("transmitted", "delta_budget", "value"))
+            out = np.zeros((len(sizes), len(names)))
+            for n in np.unique(sizes):  # documents of one size are solved side by side
+                rows = np.flatnonzero(sizes == n)
+                at = starts[rows][:, None] + np.arange(n)
+                utility = v[at] * d[at]
+                placed = np.array([sorted(x, key=lambda i: (cost[i], ids[i])) for x in at.tolist()])
+                best, ties = best_values(cost[placed], v[placed] * d[placed], budget)
+                fill = mean_fills(cost[at], utility, budget, seed, draws)
+                cov = np.mean(t[at] * d[at], axis=1) - t[at].mean(axis=1) * d[at].mean(axis=1)
+                observed = np.where(t[at] == 1, utility, 0.0).sum(axis=1)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    out[rows] = np.column_stack([observed, fill, best, (observed - fill) / (best - fill), ties, np.full(len(rows), n), cov])
+            null = ~(out[:, 2] > out[:, 1])
+            columns = [pa.array(x.astype(np.int64)) if c in ("ties_broken", "n_candidates") else pa.array(x, mask=null if c == "eta_u" else None) for c, x in zip(names, out.T)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["document_id", *names])
+
+    return listed.mapInArrow(run, f"document_id {kind}, g_obs double, g_rand double, g_star double, eta_u double, ties_broken long, n_candidates long, cov_t_delta double")
+
+
+def best_values(costs: np.ndarray, utility: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best utility within the budget and the ties met, as knapsack() has them, for many documents (rows) of as many items in its order."""
+    best, ties = np.zeros((len(costs), budget + 1)), np.zeros(len(costs), dtype=np.int64)
+    for cost, gain in zip(costs.T, utility.T):
+        before = np.arange(budget + 1) - cost[:, None]
+        can = (before >= 0) & (cost[:, None] >= 0)
+        with_it = np.where(can, np.take_along_axis(best, np.clip(before, 0, budget), axis=1) + gain[:, None], -np.inf)
+        ties += (can & (with_it == best)).sum(axis=1)
+        best = np.maximum(best, with_it)
+    return best[:, budget], ties
+
+
+@lru_cache(maxsize=32)
+def _orders(n: int, seed: int, draws: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different orders among the drawn ones of n items, and which of them each draw is; they depend on n alone."""
+    rng = np.random.default_rng(seed)
+    return np.unique(np.array([rng.permutation(n) for _ in range(draws)]).reshape(draws, n), axis=0, return_inverse=True)
+
+
+def mean_fills(costs: np.ndarray, utility: np.ndarray, budget: int, seed: int, draws: int) -> np.ndarray:
+    """The mean utility of greedy fills in drawn orders, for many documents (rows) of as many items."""
+    if not draws:
+        return np.zeros(len(costs))
+    orders, of = _orders(costs.shape[1], seed, draws)
+    left, total = np.full((len(costs), len(orders)), budget), np.zeros((len(costs), len(orders)))
+    for items in orders.T:
+        fits = costs[:, items] <= left
+        left -= np.where(fits, costs[:, items], 0)
+        total += np.where(fits, utility[:, items], 0.0)
+    return np.ascontiguousarray(total[:, of.reshape(-1)]).mean(axis=1)
 
 
 def targeting_covariance(candidates: DataFrame, by: list[str]) -> DataFrame:
