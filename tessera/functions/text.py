@@ -14,6 +14,7 @@ from itertools import accumulate
 from typing import NamedTuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import lexicon as L
@@ -104,18 +105,24 @@ def pieces(batches: Iterable) -> Iterable:
             yield batch.slice(at, PIECE_ROWS)
 
 
+def in_pieces(function: Callable, values: pa.Array, kind: pa.DataType) -> pa.Array:
+    """function of each value, null for null, a piece at a time."""
+    return pa.concat_arrays([pa.array([], kind), *(pa.array([None if v is None else function(v) for v in values.slice(at, PIECE_ROWS).to_pylist()], kind) for at in range(0, len(values), PIECE_ROWS))])
+
+
 def normalize_col(text: Column | str) -> Column:
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(normalize, na_action="ignore")
+    @F.arrow_udf("string")
+    def run(s: pa.Array) -> pa.Array:
+        return in_pieces(normalize, s, pa.string())
 
     return run(text)
 
 
 def sentences_col(text: Column | str) -> Column:
-    @F.pandas_udf("array<struct<start:int,end:int>>")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: None if t is None else [{"start": a, "end": b} for a, b in sentences(t)])
+    @F.arrow_udf("array<struct<start:int,end:int>>")
+    def run(s: pa.Array) -> pa.Array:
+        spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        return in_pieces(lambda t: [{"start": a, "end": b} for a, b in sentences(t)], s, spans)
 
     return run(text)
 

@@ -69,3 +69,25 @@ def test_an_edited_message_is_read_once():
     M.read.cache_clear()
     M.outcome("Margin 5% in Europe.", "5%", "numeric", "- numeric: 5%", 60)
     assert M.read.cache_info().misses == 2 and M.mend("a  b ( c ) , , d .") == "a b (c), d."
+
+
+def test_columns_hold_a_piece_at_a_time():
+    import pyarrow as pa
+
+    held = []
+
+    class Values:
+        def __init__(self, values):
+            self.values = values
+
+        def __len__(self):
+            return len(self.values)
+
+        def slice(self, at, n):
+            held.append(len(self.values[at : at + n]))
+            return pa.array(self.values[at : at + n], pa.string())
+
+    texts = [None if i % 7 == 0 else f"a  {i}" for i in range(600)]
+    got = T.in_pieces(T.normalize, Values(texts), pa.string()).to_pylist()
+    assert max(held) == T.PIECE_ROWS and got == [None if t is None else T.normalize(t) for t in texts]
+    assert T.in_pieces(T.normalize, pa.array([], pa.string()), pa.string()).to_pylist() == []
