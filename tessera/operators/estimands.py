@@ -8,7 +8,7 @@ gives all of them; what does not exist is null, never zero.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .inference import FINAL_REPLICATES, replicate_sums
 
@@ -77,26 +77,33 @@ def _estimates(atom_level: bool) -> dict[str, Column]:
 def decompose(records: DataFrame, by: list[str] | None = None, two_phase: bool = False, atom_level: bool = True) -> DataFrame:
     """The decomposition for each group: A = R0 + T D + Cov(T, D), with its 18 figures.
 
-    Groups are those that occur; no records at all give no row.
+    Groups are those that occur; no records at all give no row. Rows are
+    summed for each document of a group first, so that documents are counted
+    over those sums, in the tasks that hold them, and not shuffled again.
     """
-    counts = [F.count("*").alias("n_atoms"), F.count_distinct("document_id").alias("n_documents")]
-    grouped = records.groupBy(*(by or [])).agg(*counts, *_sums(two_phase)).where("n_atoms > 0")
-    return grouped.select(*(by or []), "n_atoms", "n_documents", *(v.alias(k) for k, v in _estimates(atom_level).items()))
+    by = by or []
+    partial = records.groupBy(*dict.fromkeys(["document_id", *by])).agg(F.count("*").alias("n"), *_sums(two_phase))
+    names = [c for c in partial.columns if c.startswith("s_")]
+    grouped = partial.groupBy(*by).agg(F.sum("n").alias("n_atoms"), F.count("document_id").alias("n_documents"), *(F.sum(c).alias(c) for c in names)).where("n_atoms > 0")
+    return grouped.select(*by, "n_atoms", "n_documents", *(v.alias(k) for k, v in _estimates(atom_level).items()))
 
 
 def decompose_by_role(records: DataFrame, **kw) -> DataFrame:
     """Each role's decomposition and the pooled one (role `pooled`).
 
     Rows are summed for each (document, role) first, so that the grouping sets
-    expand and count documents over those sums only, and the records are
-    worked out once.
+    expand those sums only, and the records are worked out once. A document
+    counts in the whole by the first of its roles.
     """
     two_phase, atom_level = kw.get("two_phase", False), kw.get("atom_level", True)
     partial = records.groupBy("document_id", "role").agg(F.count("*").alias("n"), *_sums(two_phase))
     names = [c for c in partial.columns if c.startswith("s_")]
-    sums = partial.rollup("role").agg(F.grouping("role").alias("all_roles"), F.sum("n").alias("n_atoms"), F.count_distinct("document_id").alias("n_documents"), *(F.sum(c).alias(c) for c in names))
-    role = F.when(F.col("all_roles") == 1, "pooled").otherwise(F.col("role")).alias("role")
-    return sums.select(role, "n_atoms", "n_documents", *(v.alias(k) for k, v in _estimates(atom_level).items()))
+    first = F.row_number().over(W.partitionBy("document_id").orderBy("role")) == 1
+    counted = partial.withColumns({"_each": F.when(F.col("document_id").isNotNull(), 1).otherwise(0), "_first": F.when(F.col("document_id").isNotNull() & first, 1).otherwise(0)})
+    sums = counted.rollup("role").agg(F.grouping("role").alias("all_roles"), *(F.sum(c).alias(c) for c in ("n", "_each", "_first", *names)))
+    whole = F.col("all_roles") == 1
+    n_documents = F.when(whole, F.coalesce("_first", F.lit(0))).otherwise(F.col("_each"))
+    return sums.select(F.when(whole, "pooled").otherwise(F.col("role")).alias("role"), F.col("n").alias("n_atoms"), n_documents.alias("n_documents"), *(v.alias(k) for k, v in _estimates(atom_level).items()))
 
 
 def divergence_by_hop(records: DataFrame, hop: str = "hop") -> DataFrame:
@@ -188,11 +195,13 @@ def matched_prior_estimates(slots: DataFrame, roles: list[str], replicates: int
     used = slots.where(F.col("is_focal") & F.col("is_compliant") & F.col("role").isin(*roles))
     w = design_weight(F.col("pi"))
     rows = used.select("document_id", "role", "y_nat", "y_blk", (F.col("y_nat") - F.col("y_blk")).alias("gap"), w.alias("w"))
-    points = rows.groupBy("role").agg(
-        F.count("*").alias("n_slots"), F.count_distinct("document_id").alias("n_documents"), F.avg("y_nat").alias("r_natural"), F.avg("y_blk").alias("r_blocked"),
-        (F.sum(F.col("w") * F.col("gap")) / F.sum("w")).alias("estimate"), F.avg("gap").alias("unweighted_mean"),
+    counted = [F.count("*").alias("n"), *(f(c).alias(f"{k}_{c}") for c in ("y_nat", "y_blk", "gap") for k, f in (("s", F.sum), ("n", F.count)))]
+    sums = rows.groupBy("document_id", "role").agg(F.sum(F.col("w") * F.col("gap")).alias("a"), F.sum("w").alias("b"), *counted)
+    mean = lambda c: F.sum(f"s_{c}") / F.nullif(F.sum(f"n_{c}"), F.lit(0))
+    points = sums.groupBy("role").agg(  # one row of sums for each document of a role
+        F.sum("n").alias("n_slots"), F.count("document_id").alias("n_documents"), mean("y_nat").alias("r_natural"), mean("y_blk").alias("r_blocked"),
+        (F.sum("a") / F.sum("b")).alias("estimate"), mean("gap").alias("unweighted_mean"),
     )
-    sums = rows.groupBy("document_id", "role").agg(F.sum(F.col("w") * F.col("gap")).alias("a"), F.sum("w").alias("b"))
     values = replicate_sums(sums, ["a", "b"], replicates, seed, ["role"]).where("b > 0").select("role", (F.col("a") / F.col("b")).alias("v"))
     ends = values.groupBy("role").agg(F.percentile("v", F.lit(0.025)).alias("lower"), F.percentile("v", F.lit(0.975)).alias("upper"))
     every = slots.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, roles))).alias("role"))

@@ -30,6 +30,16 @@ def discard(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of a task in which whole documents meet.
+TASK_ROWS = 500_000
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df dealt out by the keys, in as many tasks as so many rows need: a task does not grow with the table."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-rows // TASK_ROWS)), *keys)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df without its lineage, in the shared folder."""
     shared_folder(df.sparkSession)

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.operators.design import stratum_sizes
+from tessera.operators.ranks import dealt
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -36,7 +37,7 @@ ORDER_ATOMS = """order_atoms AS (SELECT CAST(l_orderkey AS VARCHAR) AS document_
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as causal records: one focal role drawn from each order's roles."""
-    sized = stratum_sizes(order_atoms(spark, sf_dir))
+    sized = stratum_sizes(dealt(order_atoms(spark, sf_dir), read(spark, sf_dir, "lineitem").count(), "document_id"))
     return sized.withColumn("pi", 1.0 / F.col("populated_strata") * (1.0 / F.col("stratum_size")))
 
 
