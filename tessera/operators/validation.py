@@ -24,19 +24,20 @@ def reasons(checks: dict[str, Column]) -> Column:
 
 def exclusion_reasons(atoms: DataFrame, require_verified: bool = True) -> DataFrame:
     """atoms (with the frame's `text`) and their exclusion_reason, null where eligible."""
-    roles = F.size(F.collect_set("role").over(W.partitionBy("document_id", "canonical_value")))
     start, end = F.col("char_start"), F.col("char_end")
     hyphen = ((start > 0) & (F.substring("text", start, F.lit(1)) == "-")) | (F.substring("text", end + 1, F.lit(1)) == "-")
     whole = F.length(F.trim("surface_form")) >= F.length(F.trim("text"))
+    roles = F.size(F.collect_set("role").over(W.partitionBy("document_id", "canonical_value")))
+    marked = atoms.withColumn("_entangled", hyphen | whole).withColumn("_roles", roles)  # the text is read before the shuffle, which need not carry it
     reason = (
-        F.when(roles > 1, EXCLUSION_REASONS[0])
+        F.when(F.col("_roles") > 1, EXCLUSION_REASONS[0])
         .when(F.trim("canonical_value") == "", EXCLUSION_REASONS[1])
-        .when(hyphen | whole, EXCLUSION_REASONS[2])
+        .when(F.col("_entangled"), EXCLUSION_REASONS[2])
         .when(F.col("verification") == "rejected", EXCLUSION_REASONS[3])
     )
     if require_verified:
         reason = reason.when(~F.col("verification").eqNullSafe("accepted"), EXCLUSION_REASONS[4])
-    return atoms.withColumn("exclusion_reason", reason)
+    return marked.withColumn("exclusion_reason", reason).drop("_entangled", "_roles")
 
 
 def exclusion_rates(marked: DataFrame) -> DataFrame:
