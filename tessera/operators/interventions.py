@@ -76,7 +76,12 @@ def allocate(atoms: DataFrame, budget: int, score: str = "score") -> DataFrame:
     over. A document's atoms are gathered into one row.
     """
     fields = ("atom_id", "role", "canonical_value", "char_start", score)
-    listed = atoms.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("items"))
+    return allocate_of(atoms.groupBy("document_id").agg(F.collect_list(F.struct(*fields)).alias("items")), budget, score)
+
+
+def allocate_of(lists: DataFrame, budget: int, score: str = "score") -> DataFrame:
+    """The same of (document_id, items), an array of structs (atom_id, role, canonical_value, char_start, score) for each document."""
+    listed = lists.select("document_id", F.sort_array("items").alias("items"))
 
     def message(items) -> str:
         ordered = sorted(items, key=lambda i: (i["char_start"], i["role"], i["atom_id"]))
