@@ -15,7 +15,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .tables import OPEN
+from .tables import OPEN, file_hashes
 
 TREE = "path string, is_file boolean, sha256 string, bytes long, modified timestamp"
 
@@ -39,14 +39,14 @@ def file_digests(spark: SparkSession, folder: str, recorded: DataFrame | None =
     """
     files = _files(spark, folder)
     names = [_relative(folder).alias("path"), F.lit(True).alias("is_file")]
-    whole = lambda df: df.select(*names, F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+    whole = lambda since=None: file_hashes(spark, folder, since).select(*names, "sha256", "bytes", "modified")
     if recorded is None or thorough:
-        return whole(files)
+        return whole()
     latest = recorded.where("is_file").agg(F.max("modified")).first()[0]
     if latest is None:
-        return whole(files)
+        return whole()
     # both filters reach the scan, so the contents of the older files stay unread
-    newer, older = whole(files.where(F.col("modificationTime") > latest)), files.where(F.col("modificationTime") <= latest)
+    newer, older = whole(F.col("modificationTime") > latest), files.where(F.col("modificationTime") <= latest)
     listed = older.select(*names, F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
     known = recorded.where("is_file").select("path", "bytes", "modified", "sha256")
     return newer.unionByName(listed.join(known, ["path", "bytes", "modified"], "left").select(*newer.columns))

@@ -8,8 +8,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tessera.functions import digests
 from tessera.functions.text import has_secret, html_col, looks_like_html, source_frames
-from tessera.operators.ranks import with_place
+from tessera.operators.ranks import discard, new_folder, with_place
 
 DOCUMENT = "document_id string, issuer_id string, fiscal_year int, text string, retrieved_utc string, source_url string, licence string"
 INVENTORY = "document_id string, atom_id string, role string, canonical_value string, surface_form string, char_start int, char_end int, sentence_index int, occurrence_count int, verification string"
@@ -157,10 +158,105 @@ def results_manifest(entries: DataFrame) -> DataFrame:
     return entries.select("*", gaps.alias("gaps"), F.sha2(body, 256).alias("entry_sha256"))
 
 
+#: Bytes of a file that one task reads whole, of a longer one that a task takes on from where the one before it ended, and of a piece.
+WHOLE_BYTES, STEP_BYTES, PIECE_BYTES = 1 << 27, 1 << 28, 1 << 18
+#: Endings of names whose files Spark's reader of lines would unpack.
+PACKED = (".gz", ".bz2", ".deflate", ".lz4", ".snappy", ".zst", ".passthrough")
+#: What that reader leaves out at the beginning of a file.
+BYTE_ORDER_MARK = b"\xef\xbb\xbf"
+
+
 def file_manifest(spark: SparkSession, path: str) -> DataFrame:
     """(path, sha256, bytes) of every file under a path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+    return file_hashes(spark, path).select("path", "sha256", "bytes")
+
+
+def file_hashes(spark: SparkSession, path: str, since: Column | None = None) -> DataFrame:
+    """(path, sha256, bytes, modified) of every file under a path, or of those only that meet `since`, a condition on modificationTime.
+
+    A file of more than WHOLE_BYTES is cut by Spark's reader of lines, which
+    splits it, into pieces in the shared folder; they are hashed step by step,
+    each step of a file in a task that takes on the state of the step before.
+    Packed files, which that reader would unpack, are read whole, and so is
+    every file where the state is not to be had; Spark then takes none of 2 GB.
+    """
+    load = lambda names="*": spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", names).load(path).where(F.lit(True) if since is None else since)
+    whole = lambda df: df.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+    files, longer = load(), F.col("length") > WHOLE_BYTES
+    # contents stay unread here: a row for each long file
+    long = files.where(longer).select(F.col("_metadata.file_path").alias("file"), "path", F.col("length").alias("bytes"), F.unix_micros("modificationTime").alias("micros")).collect() if digests.available() else []
+    if not long:
+        return whole(files)
+    out = whole(files.where(~longer))
+    if any(r.path.endswith(PACKED) for r in long):
+        out = out.unionByName(whole(load(f"*{{{','.join(PACKED)}}}").where(longer)))
+    if plain := {r.file: r for r in long if not r.path.endswith(PACKED)}:
+        hashed = _hashed_in_steps(spark, path, {f: r.bytes for f, r in plain.items()})
+        rows = spark.createDataFrame([(r.path, hashed[f], r.bytes, r.micros) for f, r in plain.items()], "path string, sha256 string, bytes long, micros long")
+        out = out.unionByName(rows.select("path", "sha256", "bytes", F.timestamp_micros("micros").alias("modified")))
+    return out
+
+
+def _hashed_in_steps(spark: SparkSession, path: str, sizes: dict[str, int]) -> dict[str, str]:
+    """The SHA-256 of each of some long files; only one state for each file comes to the driver after a step."""
+    lines = spark.read.option("recursiveFileLookup", True).option("lineSep", "\n").text(path)
+    file = F.col("_metadata.file_path")
+    lines = lines.where((F.col("_metadata.file_size") > WHOLE_BYTES) & ~F.coalesce(F.regexp_like(file, F.lit("(" + "|".join(p.replace(".", r"\.") for p in PACKED) + ")$")), F.lit(False)))
+    given = lines.select(file.alias("file"), F.col("_metadata.file_block_start").alias("at"), F.col("value").cast("binary").alias("line"))
+
+    def cut_up(batches):
+        import pyarrow as pa
+
+        number = 0  # pieces of a task are in order
+        for batch in batches:
+            files, starts = batch.column(0), batch.column(1)
+            cuts = [0, batch.num_rows]
+            if batch.num_rows and (files[0], starts[0]) != (files[-1], starts[-1]):  # lines of one block lie together
+                keys = list(zip(files.to_pylist(), starts.to_pylist()))
+                cuts[1:1] = [i for i in range(1, len(keys)) if keys[i] != keys[i - 1]]
+            for a, b in zip(cuts, cuts[1:]):
+                if a < b and (name := files[a].as_py()) in sizes:
+                    text = b"\n".join([*batch.column(2).slice(a, b - a).to_pylist(), b""])
+                    parts = [text[i : i + PIECE_BYTES] for i in range(0, len(text), PIECE_BYTES)]
+                    n, start = len(parts), starts[a].as_py()
+                    columns = [pa.array([name] * n), pa.array([start] * n, pa.int64()), pa.array(range(number, number + n), pa.int64()), pa.array(map(len, parts), pa.int64()), pa.array(parts, pa.binary()), pa.array([start // STEP_BYTES] * n, pa.int64())]
+                    number += n
+                    yield pa.RecordBatch.from_arrays(columns, names=["file", "at", "number", "n", "bytes", "step"])
+
+    folder, schema = new_folder(spark, "pieces"), "file string, at long, number long, n long, bytes binary, step long"
+    given.mapInArrow(cut_up, schema).write.option("compression", "none").partitionBy("step").parquet(folder)
+    pieces = spark.read.schema(schema).parquet(folder)
+    totals = dict(pieces.groupBy("file").agg(F.sum("n")).collect())
+    states: dict[str, tuple[bytes, int]] = {}
+    for name, size in sizes.items():
+        # each line has its end put on, the last one too, which may have had none
+        short = size - totals.get(name, 0)
+        if short not in (0, -1, 3, 2):
+            raise ValueError(f"{name} was read as {totals.get(name, 0)} bytes of {size}")
+        mark = BYTE_ORDER_MARK if short > 0 else b""
+        states[name] = (digests.fed(digests.begun(), mark), len(mark))
+
+    def taken_on(before: dict[str, tuple[bytes, int]]):
+        def run(batches):
+            import pyarrow as pa
+
+            now: dict[str, tuple[bytes, int]] = {}
+            for batch in batches:
+                for name, part in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    state, done = now.get(name) or before[name]
+                    data = part.as_py()[: sizes[name] - done]
+                    now[name] = (digests.fed(state, data), done + len(data))
+            yield pa.RecordBatch.from_arrays([pa.array(list(now), pa.string()), pa.array([s for s, _ in now.values()], pa.binary()), pa.array([d for _, d in now.values()], pa.int64())], names=["file", "state", "done"])
+
+        return run
+
+    for step in range(max(sizes.values()) // STEP_BYTES + 1):
+        ordered = pieces.where(F.col("step") == step).repartition("file").sortWithinPartitions("file", "at", "number")
+        states |= {r.file: (bytes(r.state), r.done) for r in ordered.select("file", "bytes").mapInArrow(taken_on(dict(states)), "file string, state binary, done long").collect()}
+    discard(spark, folder)
+    if wrong := [name for name, (_, done) in states.items() if done != sizes[name]]:
+        raise ValueError(f"not hashed to their ends: {wrong}")
+    return {name: digests.ended(state) for name, (state, _) in states.items()}
 
 
 def manifest_differences(recorded: DataFrame, found: DataFrame) -> DataFrame:

@@ -67,6 +67,18 @@ def test_older_files_are_not_read_again(spark, folder):
     assert ("part0/run0/f0.txt", "unknown") in states(before, tree(spark, folder, before, False))
 
 
+@pytest.mark.parametrize("thorough", [True, False])
+def test_long_files_are_in_the_tree_as_others_are(spark, folder, monkeypatch, thorough):
+    (folder / "part1/long.txt").write_text("a line\n" * 2000)
+    before = tree(spark, folder)
+    monkeypatch.setattr(tables, "WHOLE_BYTES", 1000)
+    assert sorted(tree(spark, folder, before, thorough).collect()) == sorted(before.collect())
+    os.utime(folder / "part1/long.txt", (1_900_000_000, 1_900_000_000))
+    (folder / "part2/long.txt").write_text("a line\n" * 1000)
+    os.utime(folder / "part2/long.txt", (1_900_000_000, 1_900_000_000))
+    assert states(before, tree(spark, folder, before, thorough)) == {("part2/long.txt", "added"), ("part2", "changed"), ("", "changed")}
+
+
 def test_records_are_read_and_held_against_their_artefacts(spark, folder):
     sha = {p: hashlib.sha256((folder / p).read_bytes()).hexdigest() for p in ("top.txt", "part0/run0/f0.txt", "part1/run1/f1.txt")}
     text = tables.freeze_record("protocol", {"top": sha["top.txt"], "zero": sha["part0/run0/f0.txt"], "one": sha["part1/run1/f1.txt"], "n": 5}, ["top"])

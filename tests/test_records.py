@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import json
+import random
 from collections import Counter, defaultdict
 from itertools import combinations
 from pathlib import Path
@@ -173,3 +175,26 @@ def test_pages_lose_their_markup(spark):
         bare = re.sub(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<!doctype[^>]*>", " ", pages[r.page_id])
         assert words(r.text) == words(unescape(re.sub(r"(?s)<[^>]*>", "\x00", bare)).replace("\x00", "")) or words(r.text) == words(unescape(re.sub(r"(?s)<[^>]*>", "\n", bare)))
     assert len(got) == len(pages)
+
+
+def test_long_files_are_hashed_in_steps(spark, tmp_path, monkeypatch):
+    """Files beyond what a task reads whole: of any bytes, with and without a last line's end, in splits of the reader; no task is given more than a step."""
+    rng = random.Random(3)
+    contents = {
+        "random.bin": rng.randbytes(300_000), "line's end.txt": b"a line\n" * 30_000, "no end+x.txt": b"a line\n" * 30_000 + b"rest", "mark.txt": b"\xef\xbb\xbf" + b"marked\r\n" * 20_000, "marked no end": b"\xef\xbb\xbf" + b"x\n" * 50_000 + b"y",
+        "blank": b"\n" * 120_000, "one line": b"x" * 200_000, "zeros%20.bin": bytes(150_000), "packed.gz": gzip.compress(rng.randbytes(200_000)), "short": b"short", "exact": rng.randbytes(65_536), "over": rng.randbytes(65_537),
+    }
+    (tmp_path / "in [a]" / "deep").mkdir(parents=True)
+    for i, (name, content) in enumerate(contents.items()):
+        (tmp_path / "in [a]" / ("deep" if i % 2 else "") / name).write_bytes(content)
+    monkeypatch.setattr(tables, "WHOLE_BYTES", 1 << 16)
+    monkeypatch.setattr(tables, "STEP_BYTES", 1 << 16)
+    monkeypatch.setattr(tables, "PIECE_BYTES", 1 << 10)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 1 << 14)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 300_000 - 1)  # the longest could not be read whole
+    try:
+        got = {r.path.rsplit("/", 1)[-1]: (r.sha256, r.bytes) for r in tables.file_manifest(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert got == {name: (hashlib.sha256(content).hexdigest(), len(content)) for name, content in contents.items()}
