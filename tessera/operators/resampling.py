@@ -93,8 +93,12 @@ def correlation(x: Column, y: Column) -> Sums:
 def replicate_values(rows: DataFrame, statistic: Sums | Ranks | States, replicates: int, seed: int, key: str = "document_id") -> DataFrame:
     """(replicate, v): the statistic of each replicate, and of the rows themselves as replicate WHOLE."""
     if isinstance(statistic, Sums):
+        names = list(statistic.terms)
         terms = rows.select(F.col(key).alias("document_id"), *(c.cast("double").alias(name) for name, c in statistic.terms.items()))
-        return replicate_sums(terms, list(statistic.terms), replicates, seed, whole=True).select("replicate", statistic.value.alias("v"))
+        # a document's rows are taken together: draws are made for documents, not for rows
+        sums = terms.groupBy("document_id").agg(*(F.sum(c).alias(c) for c in names), F.count("*").cast("double").alias("_rows"))
+        whole = replicate_sums(sums, [*names, "_rows"], replicates, seed, whole=True)
+        return whole.drop("times").withColumnRenamed("_rows", "times").select("replicate", statistic.value.alias("v"))
     if isinstance(statistic, States):
         return _merged(rows, statistic, replicates, seed, key)
     return _ranked(rows, statistic, replicates, seed, key)

@@ -149,3 +149,15 @@ def test_quantiles_equal_sorting(spark, groups):
 def test_quantiles_of_nothing(spark):
     r = Q.quantiles(spark.createDataFrame([(None,)], "x double"), "x", {"mid": 0.5}).first()
     assert (r.mid, r.n) == (None, 0)
+
+
+def test_sums_are_drawn_once_for_a_document(rows, monkeypatch):
+    """Many rows of one document are one row before any draw is made, and count as many."""
+    listed, df = rows
+    many = df.where("x IS NOT NULL AND NOT isnan(x)")
+    drawn = []
+    sums = R.replicate_sums
+    monkeypatch.setattr(R, "replicate_sums", lambda stats, *a, **k: drawn.append(stats.count()) or sums(stats, *a, **k))
+    values = {r["replicate"]: r["v"] for r in R.replicate_values(many, R.mean_of(F.col("x")), REPLICATES, SEED).collect()}
+    assert drawn == [len({d for d, _ in listed})]
+    assert values == pytest.approx(resampled(listed, np.mean))
