@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 import pytest
@@ -103,3 +104,38 @@ def test_a_review_shuffles_identifiers_only(spark):
     plan = catalog.queries()["review_applied"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     shuffled = plan.split("Exchange hashpartitioning(atom_id", 1)[1].split("MapInArrow", 1)[0]
     assert "Project [concat_ws(|, document_id" in shuffled and shuffled.count("Project") == 1
+
+
+def test_facts_of_many_texts_are_those_of_each_alone():
+    """One search of all texts at once finds what each text has by itself, whatever stands at its ends."""
+    bits = [
+        " ", ".", ",", "-", "\n", "\0", "%", "é", "Ⅷ", "٣", "n", "7", "12%", "3,000.50 %", "$12,410.90 million", "€5bn", "usd 7 k", "FY1995", "Q2 FY1995", "second quarter of fiscal 2001",
+        "Note 5", "Part IV", "Acme & Co.", "Cust12 Holdings", "Inc.", "Group", "Europe", "Asia Pacific", "Retail Group", "Europe Holdings", "5",
+    ]
+    draw = random.Random(3)
+    texts = ["".join(draw.choice(bits) + draw.choice(["", " "]) for _ in range(draw.randrange(1, 12))) for _ in range(600)]
+    many = A._Texts([str(i) for i in range(len(texts))], texts, ("spans",))
+    got = list(zip(many.of.tolist(), many.roles, many.values, many.subtypes, many.spans()))
+    want = []
+    for i, text in enumerate(texts):
+        places: dict = {}
+        for f in A.without_overlaps(A.candidates(text)):
+            places.setdefault((f.role, f.value), (f.subtype, []))[1].append({"start": f.start, "end": f.end})
+        want += [(i, role, value, subtype, spans) for (role, value), (subtype, spans) in places.items()]
+    assert got == want and len(want) > 1000
+
+
+def test_plain_texts_are_counted_and_mended_like_others():
+    """The short ways of ASCII texts give what the patterns give."""
+    draw = random.Random(4)
+    for _ in range(3000):
+        text = "".join(draw.choice([" ", "  ", ".", ",", "%", "(", ")", "[", '"', "\n", "\x1c", "a", "B1", "_", ", ", " ( ) ", "USD 5", "7%", "Note 2", "Europe 7"]) for _ in range(draw.randrange(12)))
+        assert T.count_tokens(text) == len(re.findall(L.TOKEN, text))
+        mended = text
+        for _ in range(L.MENDING_PASSES):
+            if L.TO_MEND.search(mended):
+                for pattern, to in L.MENDINGS:
+                    mended = pattern.sub(to, mended)
+        assert M.mend(text) == mended.strip()
+        assert M.Reading(text)._plain_words == " " + " ".join(re.findall(L.TOKEN, M.plain(text))) + " "
+        assert [m.span() for m in M.Reading(text)._scanned("numeric").finditer(text)] == [m.span() for m in L.NUMERIC_SPAN.finditer(text)]
