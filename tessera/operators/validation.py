@@ -23,21 +23,35 @@ def reasons(checks: dict[str, Column]) -> Column:
 
 
 def exclusion_reasons(atoms: DataFrame, require_verified: bool = True) -> DataFrame:
-    """atoms (with the frame's `text`) and their exclusion_reason, null where eligible."""
+    """atoms (with the frame's `text`) and their exclusion_reason, null where eligible; whether their value has several roles is looked up, or read off `conflict` where they have it."""
     start, end = F.col("char_start"), F.col("char_end")
     hyphen = ((start > 0) & (F.substring("text", start, F.lit(1)) == "-")) | (F.substring("text", end + 1, F.lit(1)) == "-")
     whole = F.length(F.trim("surface_form")) >= F.length(F.trim("text"))
     roles = F.size(F.collect_set("role").over(W.partitionBy("document_id", "canonical_value")))
-    marked = atoms.withColumn("_entangled", hyphen | whole).withColumn("_roles", roles)  # the text is read before the shuffle, which need not carry it
+    conflict = F.col("conflict") if "conflict" in atoms.columns else roles > 1
+    marked = atoms.withColumn("_entangled", hyphen | whole).withColumn("_conflict", conflict)  # the text is read before the shuffle, which need not carry it
     reason = (
-        F.when(F.col("_roles") > 1, EXCLUSION_REASONS[0])
+        F.when(F.col("_conflict"), EXCLUSION_REASONS[0])
         .when(F.trim("canonical_value") == "", EXCLUSION_REASONS[1])
         .when(F.col("_entangled"), EXCLUSION_REASONS[2])
         .when(F.col("verification") == "rejected", EXCLUSION_REASONS[3])
     )
     if require_verified:
         reason = reason.when(~F.col("verification").eqNullSafe("accepted"), EXCLUSION_REASONS[4])
-    return marked.withColumn("exclusion_reason", reason).drop("_entangled", "_roles")
+    return marked.withColumn("exclusion_reason", reason).drop("_entangled", "_conflict")
+
+
+def with_conflicts(lists: DataFrame) -> DataFrame:
+    """Documents' lists of atoms as rows with `conflict`, whether the value has several roles in the document: nothing is shuffled.
+
+    Such values are neighbours among the document's sorted pairs of value and role.
+    """
+    pairs = lists.withColumn("_pairs", F.sort_array(F.transform("atoms", lambda a: F.struct(a["canonical_value"].alias("value"), a["role"].alias("role")))))
+    before = lambda i: F.element_at("_pairs", F.greatest(i, F.lit(1)))
+    differs = lambda x, i: (i > 0) & (before(i)["value"] == x["value"]) & (before(i)["role"] != x["role"])
+    found = pairs.withColumn("_conflicts", F.transform(F.filter("_pairs", differs), lambda x: x["value"]))
+    rows = found.select(*(c for c in lists.columns if c != "atoms"), "_conflicts", F.inline("atoms"))
+    return rows.withColumn("conflict", F.array_contains("_conflicts", F.col("canonical_value"))).drop("_conflicts")
 
 
 def exclusion_rates(marked: DataFrame) -> DataFrame:

@@ -57,17 +57,20 @@ def disclosures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(document_id, text): a disclosure composed for each order from its customer and lines."""
     line, orders, customer, nation, region = (read(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "nation", "region"))
     where = customer.join(F.broadcast(nation.join(region, nation.n_regionkey == region.r_regionkey)), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.expr(scope_sql("r_name")).alias("scope"))
-    head = orders.join(where, orders.o_custkey == where.c_custkey).select("o_orderkey", "scope", F.concat(F.lit("Cust"), "o_custkey", F.lit(" Holdings reported results for FY"), F.year("o_orderdate"), F.lit(".")).alias("head"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # both sides are dealt by the order, as columns: what is composed of them is moved no more. What follows is work
+    # of Python on small rows: a fixed number of tasks is not merged for its few bytes
+    head = orders.join(where, orders.o_custkey == where.c_custkey).select("o_orderkey", "o_custkey", "scope", F.year("o_orderdate").alias("year")).repartition(tasks, "o_orderkey")
+    line = line.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount", "l_shipdate").repartition(tasks, "l_orderkey")
     said = F.concat(
         F.lit(" segment margin improved by "), F.round(F.col("l_discount") * 100).cast("int"), F.lit("%. Charges were $"), F.format_number("l_extendedprice", 2),
         F.lit(" million in Q"), F.quarter("l_shipdate"), F.lit(" FY"), F.year("l_shipdate"), F.lit(". See Note "), F.col("l_linenumber"), F.lit(" to the statements."),
     )
     lines = line.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", said.alias("said")))).alias("lines"))
     joined = head.join(lines, head.o_orderkey == lines.l_orderkey)
+    opening = F.concat(F.lit("Cust"), "o_custkey", F.lit(" Holdings reported results for FY"), "year", F.lit("."))
     body = F.array_join(F.transform("lines", lambda x: F.concat(F.col("scope"), x["said"])), " ")
-    out = joined.select(F.col("o_orderkey").cast("string").alias("document_id"), F.concat_ws(" ", "head", body).alias("text"))
-    # what follows is work of Python on small rows: a fixed number of tasks is not merged again for its few bytes
-    return out.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "document_id")
+    return joined.select(F.col("o_orderkey").cast("string").alias("document_id"), F.concat_ws(" ", opening, body).alias("text"))
 
 
 DISCLOSURES = f"""disclosures AS (SELECT CAST(o_orderkey AS VARCHAR) AS document_id,

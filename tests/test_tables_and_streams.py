@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import design, interventions, learning, validation
+from tessera.plans import textual
 from tessera.sources import tables
 from tessera.streaming import events
 
@@ -78,6 +79,23 @@ def test_eligibility_cascade(spark):
     assert rates == dict.fromkeys(validation.EXCLUSION_REASONS, 0.0)
 
 
+def test_eligibility_of_lists(spark):
+    """The same reasons from documents with their atoms in a list, whose texts are neither copied to atoms nor shuffled."""
+    rows = [(d, i, r, v, s, a, b, k) for d in "de" for i, r, v, s, a, b, k in [
+        ("a", "scope", "x", "x", 0, 1, "accepted"), ("b", "entity", "x", "x", 0, 1, "accepted"), ("i", "scope", "x", "x", 0, 1, "rejected"), ("c", "scope", " ", "y", 2, 3, "accepted"), ("e", "scope", "z", "z", 4, 5, "accepted"),
+        ("f", "scope", "w", "w", 8, 9, "rejected"), ("g", "scope", "v", "v", 8, 9, None), ("h", "scope", "u", "u", 8, 9, "accepted"), ("j", "scope", "h", "h", 8, 9, "accepted"), ("k", "scope", "h", "h", 8, 9, "accepted"),
+    ]]
+    df = spark.createDataFrame(rows, ATOM + ", canonical_value string, surface_form string, char_start int, char_end int, verification string").withColumn("text", F.lit("x y z-q w."))
+    atom = F.struct(*(c for c in df.columns if c not in ("document_id", "text")))
+    lists = df.groupBy("document_id", "text").agg(F.collect_list(atom).alias("atoms"))
+    for verified in (True, False):
+        found = validation.exclusion_reasons(validation.with_conflicts(lists), verified)
+        want = {(r.document_id, r.atom_id): r.exclusion_reason for r in validation.exclusion_reasons(df, verified).collect()}
+        assert {(r.document_id, r.atom_id): r.exclusion_reason for r in found.collect()} == want
+    plan = textual.eligibility_reasons(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "exchange hashpartitioning(document_id" not in plan.lower()
+
+
 def test_guards():
     with pytest.raises(AssertionError):
         validation.assert_pretreatment(["x", "mean_delta"])
