@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: The least effect that a contrast is held against.
 GATE = 0.10
+#: Documents that are tried for a gallery before all are.
+FIRST_AT_MOST = 2_000
 
 
 def selection_bias_points(decomposition: DataFrame, label: str) -> DataFrame:
@@ -47,3 +51,20 @@ def gallery(edits: DataFrame, n: int = 6) -> DataFrame:
     """The first n accepted edits by document and role: the natural message beside the other arm."""
     shown = edits.where("edit.accepted").select("document_id", "role", "canonical_value", F.col("message").alias("natural"), F.col("edit.text").alias("other"), "edit.mechanism")
     return shown.orderBy("document_id", "role", "canonical_value").limit(n)
+
+
+def gallery_of(documents: DataFrame, edits_to: Callable[[str | None], DataFrame], n: int = 6) -> DataFrame:
+    """gallery() of edits_to(None), the edits of all documents (document_id), of which only the first are made where they give n.
+
+    edits_to(last): the edits of the documents up to that one in their order.
+    Where the first documents give fewer than n, four times as many are tried, and soon all.
+    """
+    ids, most = documents.select("document_id").where("document_id IS NOT NULL"), n
+    while True:
+        last, met = ids.orderBy("document_id").limit(most).agg(F.max("document_id"), F.count("*")).first()
+        last = last if met == most and most <= FIRST_AT_MOST else None
+        shown = gallery(edits_to(last), n)
+        rows = shown.collect()
+        if len(rows) == n or last is None:
+            return documents.sparkSession.createDataFrame(rows, shown.schema)
+        most *= 4

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
-from tessera.operators import artifacts as A
+from tessera.operators import artifacts as A, figures
 
 GOOD = '<?xml version="1.0"?>\n<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 9 9"><g style="font-size: 9px"><text font-size="8pt">Fine &amp; dandy</text></g></svg>'
 
@@ -50,3 +51,23 @@ def test_each_failure_of_a_manuscript_is_told(spark):
         ("bad", "failure", "unfilled values", "2"), ("bad", "warning", "figure drawn by hand", "fig:hero"), ("bad", "failure", "figure placeholder", "fig:open"), ("bad", "failure", "missing table", "gone.tex"),
         ("bad", "failure", "untraced figure", "there.pdf"), ("bad", "failure", "undefined references", "2"), ("bad", "warning", "question marks in the log", None),
     ])
+
+
+def test_a_gallery_makes_the_first_documents_only(spark, monkeypatch):
+    """The first accepted edits are those of all documents; the rest is made only where they are too few."""
+    rows = [(str(i), r, "v", "m", ("t" if i % 7 == 3 else None, "del", i % 7 == 3)) for i in range(40) for r in ("scope", "entity")]
+    edits = spark.createDataFrame(rows, "document_id string, role string, canonical_value string, message string, edit struct<text: string, mechanism: string, accepted: boolean>")
+    asked = []
+
+    def edits_to(last):
+        asked.append(last)
+        return edits if last is None else edits.where(F.col("document_id") <= last)
+
+    documents = edits.select("document_id").distinct()
+    for n, tries in ((2, 2), (6, 2), (200, 1)):
+        asked.clear()
+        assert figures.gallery_of(documents, edits_to, n).collect() == figures.gallery(edits, n).collect()
+        assert len(asked) == tries
+    monkeypatch.setattr(figures, "FIRST_AT_MOST", 1)
+    asked.clear()
+    assert figures.gallery_of(documents, edits_to, 2).count() == 2 and asked == [None]
